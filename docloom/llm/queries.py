@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import conversations, leaks, mixing, splitter
+from . import conversations, leaks, mixing, neardup, splitter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = table
     return {
+        "p2_found": lambda s, d: neardup.found(t(s, d, "chunks")),
+        "p2_groups": lambda s, d: neardup.groups(t(s, d, "chunks")),
         "p3_found": lambda s, d: conversations.defects(conversations.rebuild(t(s, d, "chat_messages")), t(s, d, "chat_sessions")),
         "p3_conversations": lambda s, d: conversations.conversations(t(s, d, "chat_messages"), t(s, d, "chat_sessions")),
         "p6_found": lambda s, d: splitter.found(t(s, d, "segments")),
