@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import conversations, leaks, mixing, neardup, splitter
+from . import conversations, leaks, mixing, neardup, neighbours, splitter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_groups": lambda s, d: neardup.groups(t(s, d, "chunks")),
         "p3_found": lambda s, d: conversations.defects(conversations.rebuild(t(s, d, "chat_messages")), t(s, d, "chat_sessions")),
         "p3_conversations": lambda s, d: conversations.conversations(t(s, d, "chat_messages"), t(s, d, "chat_sessions")),
+        "p4_found": lambda s, d: neighbours.found(t(s, d, "chunk_vectors")),
+        "p4_neighbours": lambda s, d: neighbours.neighbours(t(s, d, "chunk_vectors")),
         "p6_found": lambda s, d: splitter.found(t(s, d, "segments")),
         "p6_pieces": lambda s, d: splitter.split(t(s, d, "segments")),
         "p8_found": lambda s, d: leaks.found(t(s, d, "documents"), t(s, d, "eval_items")),
