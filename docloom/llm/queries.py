@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import conversations, leaks, mixing, neardup, neighbours, splitter
+from . import conversations, leaks, mixing, neardup, neighbours, scans, splitter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = table
     return {
+        "p1_found": lambda s, d: scans.found(t(s, d, "segments")),
+        "p1_repaired": lambda s, d: scans.repair(t(s, d, "segments")),
         "p2_found": lambda s, d: neardup.found(t(s, d, "chunks")),
         "p2_groups": lambda s, d: neardup.groups(t(s, d, "chunks")),
         "p3_found": lambda s, d: conversations.defects(conversations.rebuild(t(s, d, "chat_messages")), t(s, d, "chat_sessions")),
