@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` held for several uses, in memory as far as it fits. Parts on a lost executor are computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def strip_blanks(c: Column | str) -> Column:
     """Column without outer blanks (space, tab, line feed, carriage return)."""
     return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(BLANKS))
