@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import conversations, leaks, mixing, neardup, neighbours, pairs, scans, splitter
+from . import conversations, leaks, mixing, neardup, neighbours, pairs, scans, sentences, splitter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_neighbours": lambda s, d: neighbours.neighbours(t(s, d, "chunk_vectors")),
         "p5_found": lambda s, d: pairs.find_defects(t(s, d, "chat_turns")),
         "p5_by_mode": lambda s, d: pairs.by_mode(t(s, d, "chat_turns")),
+        "p10_found": lambda s, d: sentences.split_sentences(t(s, d, "documents")),
+        "p10_sentences": lambda s, d: sentences.split_sentences(t(s, d, "documents"), with_text=True),
         "p6_found": lambda s, d: splitter.found(t(s, d, "segments")),
         "p6_pieces": lambda s, d: splitter.split(t(s, d, "segments")),
         "p8_found": lambda s, d: leaks.found(t(s, d, "documents"), t(s, d, "eval_items")),
