@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import conversations, leaks, mixing, neardup, neighbours, pairs, scans, sentences, splitter
+from . import conversations, leaks, mixing, neardup, neighbours, pairs, pii, scans, sentences, splitter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,6 +27,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p10_sentences": lambda s, d: sentences.split_sentences(t(s, d, "documents"), with_text=True),
         "p6_found": lambda s, d: splitter.found(t(s, d, "segments")),
         "p6_pieces": lambda s, d: splitter.split(t(s, d, "segments")),
+        "p7_found": lambda s, d: pii.found(t(s, d, "segments"), t(s, d, "chat_messages")),
+        "p7_redacted": lambda s, d: pii.redacted(t(s, d, "segments"), t(s, d, "chat_messages")),
         "p8_found": lambda s, d: leaks.found(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_leaks": lambda s, d: leaks.leaks(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_found": lambda s, d: mixing.found(t(s, d, "documents"), t(s, d, "mix_targets")),
