@@ -373,8 +373,8 @@ def mend(text: str, words: Words) -> tuple[str, bool, bool]:
         before, left, hyphen, right, after = m.groups()
         if words.broken(before, left, right, after):
             hyphened = True
-            return f"{before}{left}{right}{after}\n"
-        return f"{before}{left}{'' if hyphen == chr(0xAD) else '-'}{right}{after}\n"
+            return f"{before}{left}{right}{after}"
+        return f"{before}{left}{'' if hyphen == chr(0xAD) else '-'}{right}{after}"
 
     if any(h + e in text for h in HYPHENS for e in ("\n", " ", "\t", "\r")):
         text = BROKEN.sub(join, text)
@@ -394,18 +394,21 @@ def paragraphs(text: str, drop: list[int], words: Words) -> tuple[str, bool, boo
     lines = [l for i, l in enumerate(text.split("\n")) if i not in gone]
     text, hyphened, misread = mend("\n".join(lines), words)
     out: list[str] = []
-    open_ = False
-    for line in text.split("\n"):
-        s = " ".join(line.split())
+    rows = [" ".join(line.split()) for line in text.split("\n")]
+    width = max(map(len, rows), default=0)
+    open_, short, label = False, True, False
+    for s in rows:
         if not s:
-            open_ = False
+            open_, short, label = False, True, False
             continue
-        alone = s[0] in "|#*•" or s.startswith("- ") or bool(LABEL.match(s)) and len(s) < 32 or bool(re.match(r"^[^\W\d_][^.!?]{1,30}:\s", s))
+        little = len(s) < 0.6 * width or width < 45
+        titled = bool(LABEL.match(s)) and len(s) < 32 and s[0].isupper() and little and (short or not open_)
+        alone = s[0] in "|#*•" or s.startswith("- ") or titled or label and little or bool(re.match(r"^[^\W\d_][^.!?]{1,30}:\s", s))
         if open_ and not alone:
             out[-1] += " " + s
         else:
             out.append(s)
-        open_ = not alone
+        open_, short, label = not alone, little, titled
     return "\n\n".join(out), hyphened, misread
 
 
