@@ -39,11 +39,11 @@ THEMES = (
 )
 
 
-def lines(texts: DataFrame, key: str = "document_id") -> DataFrame:
-    """``source_name, <key>, line_no, line, following`` of every line; ``following`` are up to four lines behind it."""
-    split = texts.where("text is not null").select("source_name", key, F.split(F.btrim("text", F.lit(" \t\n\r")), r"\r\n|\n|\r").alias("_l"))
-    at = split.select("source_name", key, "_l", F.posexplode("_l").alias("line_no", "line"))
-    return at.select("source_name", key, "line_no", "line", F.slice("_l", F.col("line_no") + 2, 4).alias("following"))
+def lines(texts: DataFrame, key: str = "document_id", by: str = "source_name") -> DataFrame:
+    """``<by>, <key>, line_no, line, following`` of every line; ``following`` are up to four lines behind it."""
+    split = texts.where("text is not null").select(by, key, F.split(F.btrim("text", F.lit(" \t\n\r")), r"\r\n|\n|\r").alias("_l"))
+    at = split.select(by, key, "_l", F.posexplode("_l").alias("line_no", "line"))
+    return at.select(by, key, "line_no", "line", F.slice("_l", F.col("line_no") + 2, 4).alias("following"))
 
 
 def field_value(kind: str, line: Column, following: Column) -> Column:
@@ -85,7 +85,7 @@ def first_fields(texts: DataFrame, by: str = "source_name", key: str = "document
     Lines that hold no field are dropped before anything is shuffled; the first of the rest is an aggregate, so groups
     of any size are combined on the map side.
     """
-    at = lines(texts, key)
+    at = lines(texts, key, by)
     values = F.array(*[F.struct(F.lit(k).alias("kind"), field_value(k, F.col("line"), F.col("following")).alias("value")) for k in FIELDS])
     found = at.select(by, key, "line_no", F.explode(values).alias("f")).where("f.value is not null").select(by, key, "line_no", "f.*")
     first = found.groupBy(by, "kind").agg(F.min(F.struct(F.col(key), "line_no", "value")).alias("m"))
