@@ -54,7 +54,9 @@ def bm25(queries: DataFrame, corpus: DataFrame, key: str = "chunk_id", k1: float
     """
     asked = queries.where("text is not null").select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     terms = inverse_frequencies(corpus, key).join(asked.select("token").distinct(), "token", "left_semi")
-    scored = postings(corpus, key).join(terms, "token").join(F.broadcast(corpus_stats(corpus)))
+    # tokens that no query has are dropped before anything is shuffled
+    found = corpus.select(key, tokens(F.col("text")).alias("_t")).select(key, F.size("_t").alias("dl"), F.explode("_t").alias("token")).join(terms, "token")
+    scored = found.groupBy(key, "token", "dl", "idf").agg(F.count("*").alias("tf")).join(F.broadcast(corpus_stats(corpus)))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return scored.select("token", key, weight.alias("w")).join(asked, "token").groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
 
@@ -74,10 +76,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, key:
 
     ``queries(<query_id>, embedding)`` are a stated set, sent in blocks against all of ``vectors(<key>, embedding)``;
     each task keeps its own ``k`` nearest of every query, and only those are shuffled. Vectors of another length than
-    the query's are passed over.
+    the query's are passed over. More than ``MOST_QUERIES`` queries are an error; ask in several calls.
     """
-    rows = queries.where(f"{query_id} is not null and embedding is not null")
-    asked = [(r[0], r[1]) for r in rows.select(query_id, "embedding").orderBy(query_id).toLocalIterator()]
+    rows = bounded_collect(queries.where(f"{query_id} is not null and embedding is not null").select(query_id, "embedding"), MOST_QUERIES)
+    if rows is None:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors")
+    asked = sorted(((r[0], r[1]) for r in rows), key=lambda r: r[0])
     kinds = dict(queries.dtypes)[query_id], dict(vectors.dtypes)[key]
     schema = f"{query_id} {kinds[0]}, {key} {kinds[1]}, distance double"
     parts = []
