@@ -33,7 +33,8 @@ SHARE, LEAST_PAGES = 1 / 20_000, 4
 MOST_WORDS = 5_000_000
 EDGE = 3
 
-BROKEN = re.compile(rf"(\S*?)([^\W\d_]+)([{HYPHENS}])[ \t\r]*\n[ \t]*([^\W\d_]+)(\S*)")
+BROKEN = re.compile(rf"(?<=[^\W\d_])([{HYPHENS}])[ \t\r]*\n[ \t]*(?=[^\W\d_])")
+TOKEN_END, TOKEN_START = re.compile(r"[^\W\d_]+$"), re.compile(r"([^\W\d_]+)(\S*)")
 STRIP = ".,;:()[]{}\"'“”„»«‘’?…*#<>—–"
 ODD = re.compile(r"[\d_.:+/\\=%&~^]")
 LETTERS = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)*")
@@ -93,6 +94,7 @@ class Words:
 
     def __init__(self, known: dict[str, int], ratio: int = 8):
         self.known, self.ratio, self.memo = known, ratio, {}
+        self.judged: dict[str, tuple[str, str] | None] = {}
 
     def read_as(self, token: str) -> str | None:
         """The ordinary word that a misread token stands for, in lower case, or None."""
@@ -136,6 +138,13 @@ class Words:
 
     def misread(self, raw: str) -> tuple[str, str] | None:
         """(wrong, right) for a token as it stands between blanks, or None."""
+        if raw not in self.judged:
+            if len(self.judged) > 300_000:
+                self.judged.clear()
+            self.judged[raw] = self._misread(raw)
+        return self.judged[raw]
+
+    def _misread(self, raw: str) -> tuple[str, str] | None:
         w = raw.strip(STRIP)
         if not w or w.isdigit() or w.lower() in self.known and w.isalpha():
             return None
@@ -370,11 +379,16 @@ def mend(text: str, words: Words) -> tuple[str, bool, bool]:
 
     def join(m: re.Match) -> str:
         nonlocal hyphened
-        before, left, hyphen, right, after = m.groups()
-        if words.broken(before, left, right, after):
+        at = m.start()
+        while at > 0 and not m.string[at - 1].isspace():
+            at -= 1
+        token = m.string[at : m.start()]
+        left = TOKEN_END.search(token)[0]
+        right, after = TOKEN_START.match(m.string, m.end()).groups()
+        if words.broken(token[: len(token) - len(left)], left, right, after):
             hyphened = True
-            return f"{before}{left}{right}{after}"
-        return f"{before}{left}{'' if hyphen == chr(0xAD) else '-'}{right}{after}"
+            return ""
+        return "" if m[1] == chr(0xAD) else "-"
 
     if any(h + e in text for h in HYPHENS for e in ("\n", " ", "\t", "\r")):
         text = BROKEN.sub(join, text)
