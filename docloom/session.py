@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +14,29 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\r"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the session's executors, once, so that it need not be installed there.
+
+    The archive is served by the driver; executors keep their copy among Spark's own files.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="docloom-"), "docloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent).as_posix())
+    sc.addPyFile(archive)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table ``name`` in ``directory``."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
