@@ -17,7 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_repaired": lambda s, d: scans.repair(t(s, d, "segments")),
         "p2_found": lambda s, d: neardup.found(t(s, d, "chunks")),
         "p2_groups": lambda s, d: neardup.groups(t(s, d, "chunks")),
-        "p3_found": lambda s, d: conversations.defects(conversations.rebuild(t(s, d, "chat_messages")), t(s, d, "chat_sessions")),
+        "p3_found": lambda s, d: conversations.found(t(s, d, "chat_messages"), t(s, d, "chat_sessions")),
         "p3_conversations": lambda s, d: conversations.conversations(t(s, d, "chat_messages"), t(s, d, "chat_sessions")),
         "p4_found": lambda s, d: neighbours.found(t(s, d, "chunk_vectors")),
         "p4_neighbours": lambda s, d: neighbours.neighbours(t(s, d, "chunk_vectors")),
@@ -80,5 +80,44 @@ y AS (SELECT item_id, unnest(list_transform(range(1, len(a) - 10), lambda i: arr
 SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)
 """
 
+P2_FOUND = """
+WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS a FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) AS g FROM c WHERE len(a) >= 20),
+n AS (SELECT chunk_id, len(g) AS n FROM s), x AS (SELECT chunk_id, unnest(g) AS w FROM s),
+p AS (SELECT l.chunk_id AS a, r.chunk_id AS b, count(*) AS k FROM x l JOIN x r ON l.w = r.w AND l.chunk_id < r.chunk_id GROUP BY ALL HAVING count(*) > 6)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n na ON na.chunk_id = a JOIN n nb ON nb.chunk_id = b WHERE k >= 0.5 * (na.n + nb.n - k)
+"""
+
+P4_FOUND = """
+WITH l AS (SELECT chunk_id, arg_max({'v': embedding}, coalesce(embedded_at, TIMESTAMP '1970-01-01')) AS r FROM chunk_vectors WHERE chunk_id IS NOT NULL GROUP BY 1),
+v AS (SELECT chunk_id, r.v::DOUBLE[] AS e FROM l WHERE len(r.v) = 64 AND len(list_filter(r.v, lambda x: x <> 0)) > 0 AND len(list_filter(r.v, lambda x: x IS NULL)) = 0),
+d AS (SELECT p.chunk_id AS a, q.chunk_id AS b, list_sum(list_transform(list_zip(p.e, q.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM v p JOIN v q ON p.chunk_id <> q.chunk_id AND list_distance(p.e, q.e) < 0.51),
+k AS (SELECT a, b FROM d WHERE d <= 0.25 QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 5)
+SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM k
+"""
+
+P3_CONVERSATIONS = f"""
+WITH bad AS (SELECT DISTINCT session_id FROM ({P3_FOUND})),
+m AS (
+  SELECT DISTINCT ON (id) id, lower(trim(session_id, {BLANK})) AS s, content,
+    CASE WHEN lower(trim(role, {BLANK})) IN {conversations.USER_ROLES} THEN 'user'
+         WHEN lower(trim(role, {BLANK})) IN {conversations.ASSISTANT_ROLES} THEN 'assistant'
+         WHEN lower(trim(role, {BLANK})) IN {conversations.SYSTEM_ROLES} THEN 'system' ELSE 'other' END AS r
+  FROM chat_messages WHERE id IS NOT NULL AND session_id IS NOT NULL),
+k AS (SELECT *, lag(r) OVER w AS pr, lag(content) OVER w AS pc FROM m WHERE r <> 'system' WINDOW w AS (PARTITION BY s ORDER BY id)),
+g AS (SELECT s, id, r, content FROM k WHERE (pr IS NULL OR NOT (pr = r AND pc IS NOT DISTINCT FROM content)) AND s NOT IN (SELECT session_id FROM bad))
+SELECT s AS session_id, min(id) OVER (PARTITION BY s) AS root, row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS turn, r AS speaker, content, count(*) OVER (PARTITION BY s) AS turns FROM g
+"""
+
+# No source lies near its bound, so words and marks stand in for the tokenizer's tokens.
+P9_FOUND = f"""
+WITH d AS (SELECT DISTINCT ON (doc_id) lower(trim(source, {BLANK})) AS source, len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+|[^a-zA-Z\\s]')) AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL),
+t AS (SELECT lower(trim(source, {BLANK})) AS source, target_weight, max_repeats FROM mix_targets), n AS (SELECT t.source, target_weight, max_repeats, coalesce(sum(n), 0) AS n FROM t LEFT JOIN d USING (source) GROUP BY ALL)
+SELECT source FROM n WHERE n * max_repeats < target_weight * (SELECT sum(n) FROM n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
+    return {
+        "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND,
+    }
