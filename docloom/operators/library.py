@@ -29,8 +29,9 @@ HEALTH_SQL = (
 
 def content_hashes(segments: DataFrame) -> DataFrame:
     """``source_name, sha``: one hash for each source over its segments' hashes in order of their ids."""
-    rows = segments.where("document_id is not null and text is not null").dropDuplicates(["document_id"])
-    each = rows.select(F.coalesce("source_name", F.lit("")).alias("source_name"), "document_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    rows = segments.where("document_id is not null and text is not null")
+    # repeated rows carry the same text; they are dropped by their hashes
+    each = rows.select(F.coalesce("source_name", F.lit("")).alias("source_name"), "document_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).dropDuplicates(["document_id"])
     # 64 bytes a segment are gathered for each source, not its texts
     return each.groupBy("source_name").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("document_id", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("sha"))
 

@@ -15,7 +15,7 @@ from ..operators import ranking as R
 from ..operators import web as W
 from ..session import table
 from .retrieval_queries import HITS, hits
-from .text_queries import FUNCTION_STOP, SEGMENTS, SP, asked, collapse_sql, lit, segments
+from .text_queries import FUNCTION_STOP, SEGMENTS, SP, asked, collapse_sql, lit, repeated
 
 BLANK = "' ' || chr(9) || chr(10) || chr(13)"
 TURNS = "t AS (SELECT DISTINCT ON (turn_id) * FROM chat_turns WHERE turn_id IS NOT NULL ORDER BY turn_id)"
@@ -29,16 +29,16 @@ def turns(s, d):
 
 
 def field_values(s, d):
-    return E.first_fields(segments(s, d)).select("source_name", "kind", "value", "document_id")
+    return E.first_fields(repeated(s, d)).select("source_name", "kind", "value", "document_id")
 
 
 def contact_bundles(s, d):
-    return E.contact_bundle(E.first_fields(segments(s, d))).select("source_name", "fields", "answer")
+    return E.contact_bundle(E.first_fields(repeated(s, d))).select("source_name", "fields", "answer")
 
 
 def email_fields(s, d):
     """The first labelled e-mail address of each source."""
-    return E.first_fields(segments(s, d)).where("kind = 'email'").select("source_name", "value", "document_id")
+    return E.first_fields(repeated(s, d)).where("kind = 'email'").select("source_name", "value", "document_id")
 
 
 MAIL = E.ADDRESS_OF_MAIL
@@ -51,7 +51,7 @@ EMAIL_SQL = (
 
 def prose(s, d):
     p = E.prose_sentences(F.col("text"))
-    return segments(s, d).select("document_id", F.size(p).cast("long").alias("sentences"), F.sha2(F.array_join(p, "\n").cast("binary"), 256).alias("sha"))
+    return repeated(s, d).select("document_id", F.size(p).cast("long").alias("sentences"), F.sha2(F.array_join(p, "\n").cast("binary"), 256).alias("sha")).dropDuplicates(["document_id"])
 
 
 PROSE_PARTS = f"list_transform(string_split(regexp_replace({collapse_sql('text')}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda p: trim(p))"
@@ -63,7 +63,7 @@ PROSE_SQL = (
 
 def themes(s, d):
     t = E.themes(F.col("text"))
-    return segments(s, d).select("document_id", F.array_join(t, "; ").alias("themes"))
+    return repeated(s, d).select("document_id", F.array_join(t, "; ").alias("themes")).dropDuplicates(["document_id"])
 
 
 THEMES_SQL = (
@@ -280,7 +280,7 @@ def name_check(s, d):
 
 
 def chunk_pieces(s, d):
-    return chunker.chunk(segments(s, d), 900, 120)
+    return chunker.chunk(repeated(s, d), 900, 120)
 
 
 # --- chats ---

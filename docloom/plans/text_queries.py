@@ -23,6 +23,12 @@ def segments(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "segments").where("document_id is not null and text is not null").dropDuplicates(["document_id"])
 
 
+def repeated(s: SparkSession, d: str) -> DataFrame:
+    """Segments with text as they are stored. Repeated rows carry the same text, so results are made unique, not texts:
+    no text is shuffled."""
+    return table(s, d, "segments").where("document_id is not null and text is not null")
+
+
 def asked(s: SparkSession, d: str) -> DataFrame:
     """Evaluation questions and chat requests as ``query_id, text``."""
     items = table(s, d, "eval_items").select(F.concat(F.lit("i"), F.col("item_id")).alias("query_id"), F.col("query").alias("text"))
@@ -80,12 +86,12 @@ def intents_sql(q: str) -> dict[str, str]:
 
 def normalized_text(s, d):
     t = T.normalize_text(F.col("text"))
-    return segments(s, d).select("document_id", F.sha2(t.cast("binary"), 256).alias("sha"), F.char_length(t).cast("long").alias("chars"), (F.size(F.split(t, "\n\n"))).cast("long").alias("blocks"))
+    return repeated(s, d).select("document_id", F.sha2(t.cast("binary"), 256).alias("sha"), F.char_length(t).cast("long").alias("chars"), (F.size(F.split(t, "\n\n"))).cast("long").alias("blocks")).dropDuplicates(["document_id"])
 
 
 def hyphen_repair(s, d):
     t = T.repair_hyphens(T.normalize_text(F.col("text")))
-    return segments(s, d).where("file_type = 'pdf'").select("document_id", F.char_length(t).cast("long").alias("chars"), F.sha2(t.cast("binary"), 256).alias("sha"))
+    return repeated(s, d).where("file_type = 'pdf'").select("document_id", F.char_length(t).cast("long").alias("chars"), F.sha2(t.cast("binary"), 256).alias("sha")).dropDuplicates(["document_id"])
 
 
 def query_normalize(s, d):
@@ -103,14 +109,15 @@ def query_keywords(s, d):
 
 def tokenize_stats(s, d):
     t = T.tokens(F.col("text"))
-    return I.stored(table(s, d, "chunks")).select("chunk_id", F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("distinct_tokens"), F.size(T.content_tokens(F.col("text"))).cast("long").alias("content_tokens"))
+    rows = table(s, d, "chunks").where("chunk_id is not null and text is not null")
+    return rows.select("chunk_id", F.size(t).cast("long").alias("tokens"), F.size(F.array_distinct(t)).cast("long").alias("distinct_tokens"), F.size(T.content_tokens(F.col("text"))).cast("long").alias("content_tokens")).dropDuplicates(["chunk_id"])
 
 
 def snippets(s, d):
     t = F.col("text")
-    return segments(s, d).select(
+    return repeated(s, d).select(
         "document_id", T.snippet(t).alias("snippet"), T.source_label(F.col("source_name"), F.col("page_number")).alias("label"), T.path_hint(F.coalesce("file_path", F.lit(""))).alias("file"), T.html_note(F.substring(T.normalize_line(t), 1, 80)).alias("note")
-    )
+    ).dropDuplicates(["document_id"])
 
 
 def evidence_windows(s, d):
