@@ -25,7 +25,7 @@ from ..session import bounded_collect, cut
 
 # Characters and pairs that scanners confuse, wrong one first.
 SINGLE = {"0": "o", "1": "l", "5": "s", "8": "b", "6": "g", "!": "i", "†": "t", "@": "a", "$": "s", "€": "e", "|": "l", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
-DOUBLE = (("c", "e"), ("rn", "m"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("m", "rn"), ("h", "li"), ("d", "cl"), ("u", "ii"), ("e", "c"), ("ri", "n"), ("nn", "m"), ("in", "m"), ("f", "t"), ("t", "f"))
+DOUBLE = (("c", "e"), ("rn", "m"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("m", "rn"), ("h", "li"), ("d", "cl"), ("u", "ii"), ("e", "c"), ("ri", "n"), ("nn", "m"))
 HYPHENS = "-‐‑\xad"
 #: A word counts as known if it stands on this share of all pages, and on ``LEAST_PAGES`` at least. As a page of P
 #: words adds P to the counts, at most P / SHARE words are known, however many pages there are.
@@ -92,8 +92,9 @@ def vocabulary(segments: DataFrame) -> dict[str, int]:
 class Words:
     """Judges words by the pages they stand on."""
 
-    def __init__(self, known: dict[str, int], ratio: int = 8):
-        self.known, self.ratio, self.memo = known, ratio, {}
+    def __init__(self, known: dict[str, int], ratio: int = 8, known_ratio: int = 40):
+        # a misreading that is common enough to be known itself must be far rarer than the word it stands for
+        self.known, self.ratio, self.known_ratio, self.memo = known, ratio, known_ratio, {}
         self.judged: dict[str, tuple[str, str] | None] = {}
 
     def read_as(self, token: str) -> str | None:
@@ -119,7 +120,7 @@ class Words:
         best = max((f for f in folded if self.known.get(f, 0) > 2 * own), key=lambda f: self.known[f], default=None)
         if best:
             return best
-        front, least = (folded or {t}), max(own, 1) * (2 if folded else self.ratio)
+        front, least = (folded or {t}), max(own, 1) * (2 if folded else self.known_ratio if own else self.ratio)
         for _ in range(2):
             back = set()
             for f in front:
@@ -146,10 +147,10 @@ class Words:
 
     def _misread(self, raw: str) -> tuple[str, str] | None:
         w = raw.strip(STRIP)
-        if not w or w.isdigit() or w.lower() in self.known and w.isalpha():
+        if not w or w.isdigit():
             return None
         bare = w.strip("!|")
-        if bare.lower() in self.known or not any(c.isalpha() for c in w):
+        if bare != w and bare.lower() in self.known or not any(c.isalpha() for c in w):
             return None
         if ODD.search(w.translate(_FOLD)) or w.count("@") > 1 and len(w) < 6:
             return None
