@@ -169,6 +169,8 @@ class Words:
 
     def broken(self, before: str, left: str, right: str, after: str) -> bool:
         """Whether the hyphen between two lines is none of the word's own."""
+        if after[:1] in SINGLE and self.read_as((left + right + after).strip(STRIP)):
+            return True
         if right[0].isupper() and not left.isupper() or re.search(r"[@\d_/]", before + after) or re.search(r"\w\.\w", before + after):
             return False
         join, own = (left + right).lower(), f"{before.strip(STRIP)}{left}-{right}".lower()
