@@ -24,6 +24,8 @@ FIELDS = {
     "website": ((rf"\b(website|web{BLANK}page|homepage|url)\b{BLANK}[:\-]?\s*((?:https?://|www\.)[A-Za-z0-9._~/?#=\-]+)", 2),),
     "address": ((rf"\b(current{BLANK}address|mailing{BLANK}address|address)\b{BLANK}[:\-]?\s*(.+?)\s*$", 2),),
 }
+#: Words that every label holds; other lines are not looked at.
+LABEL_WORDS = r"(?i)(name|holder|application|amount|mail|contact|phone|mobile|cell|tel|web|url|homepage|address)"
 # Labels whose value stands on the next line, and words that no name holds.
 LABEL_ALONE = {"email": r"^\s*(e-?mail|email)\s*[:\-]?\s*$", "phone": r"^\s*(phone|contact|mobile|cell|tel|contact number)\s*[:\-]?\s*$"}
 VALUE_ALONE = {"email": rf"^{ADDRESS_OF_MAIL}$", "phone": r"^[\d()+\-\s]{10,24}$"}
@@ -85,7 +87,7 @@ def first_fields(texts: DataFrame, by: str = "source_name", key: str = "document
     Lines that hold no field are dropped before anything is shuffled; the first of the rest is an aggregate, so groups
     of any size are combined on the map side.
     """
-    at = lines(texts, key, by)
+    at = lines(texts, key, by).where(F.regexp_like("line", F.lit(LABEL_WORDS)))
     values = F.array(*[F.struct(F.lit(k).alias("kind"), field_value(k, F.col("line"), F.col("following")).alias("value")) for k in FIELDS])
     found = at.select(by, key, "line_no", F.explode(values).alias("f")).where("f.value is not null").select(by, key, "line_no", "f.*")
     first = found.groupBy(by, "kind").agg(F.min(F.struct(F.col(key), "line_no", "value")).alias("m"))

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import bounded_collect
+from ..session import bounded_collect, kept
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query vectors that are sent to the tasks at once; more queries go in several such blocks.
 QUERY_BLOCK = 4096
 #: Bound on the query vectors of one call (64 numbers each: 100 MB on the driver).
 MOST_QUERIES = 200_000
+#: Queries whose words are matched at once in the word index: a matrix of their distinct words by queries (8 bytes each).
+BM25_BLOCK = 512
 
 
 def stored(chunks: DataFrame) -> DataFrame:
@@ -32,18 +34,30 @@ def postings(corpus: DataFrame, key: str = "chunk_id") -> DataFrame:
     return sized.groupBy(key, "token", "dl").agg(F.count("*").alias("tf"))
 
 
+def token_lists(corpus: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``<key>, t``: the tokens of every text."""
+    return corpus.select(key, tokens(F.col("text")).alias("t"))
+
+
+def _stats(lists: DataFrame) -> DataFrame:
+    return lists.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
+
+
+def _frequencies(lists: DataFrame, epsilon: float) -> DataFrame:
+    each = lists.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    raw = each.join(F.broadcast(lists.agg(F.count("*").alias("n")))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    return raw.join(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
 def corpus_stats(corpus: DataFrame) -> DataFrame:
     """One row: ``n`` texts and their mean length ``avgdl`` in tokens."""
-    return corpus.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))
+    return _stats(corpus.select(tokens(F.col("text")).alias("t")))
 
 
 def inverse_frequencies(corpus: DataFrame, key: str = "chunk_id", epsilon: float = EPSILON) -> DataFrame:
     """``token, df, idf`` of the whole corpus: ln(n - df + 0.5) - ln(df + 0.5), where negative ``epsilon`` times the mean."""
-    each = corpus.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    n = corpus.agg(F.count("*").alias("n"))
-    raw = each.join(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.join(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return _frequencies(token_lists(corpus, key), epsilon)
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
@@ -66,9 +80,67 @@ def top(scored: DataFrame, k: int, by: list[Column], partition: str = "query_id"
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(partition).orderBy(*by))).where(F.col(rank) <= k)
 
 
-def bm25_top(queries: DataFrame, corpus: DataFrame, k: int = 24, key: str = "chunk_id") -> DataFrame:
-    """``query_id, <key>, score, rank``: the best texts of each query, ties by key."""
-    return top(bm25(queries, corpus, key), k, [F.round("score", 9).desc(), F.col(key)])
+def bm25_top(queries: DataFrame, corpus: DataFrame, k: int = 24, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
+    """``query_id, <key>, score, rank``: the best texts of each query, ties by key; texts without a shared token are none.
+
+    The same scores as ``bm25``. The queries are a stated set, sent in blocks against all texts; each batch of texts
+    keeps its own ``k`` best of every query, so that common words, which nearly all texts share with nearly all queries,
+    are never joined. More than ``MOST_QUERIES`` queries are an error; ask in several calls.
+    """
+    kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)[key]
+    rows = bounded_collect(queries.where("query_id is not null and text is not null").select("query_id", tokens(F.col("text")).alias("t")), MOST_QUERIES)
+    if rows is None:
+        raise ValueError(f"more than {MOST_QUERIES} queries")
+    asked = sorted(((r.query_id, r.t) for r in rows if r.t), key=lambda r: r[0])
+    words = sorted({w for _, t in asked for w in t})
+    spark = corpus.sparkSession
+    terms = spark.createDataFrame([(w,) for w in words], "token string")
+    lists = kept(token_lists(corpus, key))  # read for the frequencies, the lengths and the scores
+    idf = {r.token: r.idf for r in _frequencies(lists, EPSILON).join(terms, "token", "left_semi").collect()}
+    avgdl = _stats(lists).first().avgdl or 1.0
+    schema, parts = f"query_id {kinds[0]}, {key} {kinds[1]}, score double", []
+    for at in range(0, max(len(asked), 1), BM25_BLOCK):
+        block = asked[at : at + BM25_BLOCK]
+        column = {w: i for i, w in enumerate(sorted({w for _, t in block for w in t if w in idf}))}
+        times = np.zeros((len(column), len(block)))
+        for j, (_, t) in enumerate(block):
+            for w in t:
+                if w in column:
+                    times[column[w], j] += 1
+        sent = spark.sparkContext.broadcast((column, times, np.array([idf[w] for w in column]), [q for q, _ in block]))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            column, times, weight, ids = sent.value
+            shares = (times > 0).astype(np.float32)
+            best: list[list[tuple]] = [[] for _ in ids]
+            for batch in batches:
+                names, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for s in range(0, len(names), 512):
+                    some = found[s : s + 512]
+                    tf = np.zeros((len(some), len(column)))
+                    dl = np.array([len(t) for t in some], np.float64)
+                    for r, t in enumerate(some):
+                        for w in t:
+                            if (c := column.get(w)) is not None:
+                                tf[r, c] += 1
+                    part = np.divide(tf * (k1 + 1), tf + (k1 * (1 - b + b * dl / avgdl))[:, None])
+                    raw = (part * weight) @ times
+                    scores = np.round(raw, 9)
+                    common = (tf > 0).astype(np.float32) @ shares > 0
+                    scores[~common] = -np.inf
+                    least = -np.sort(-scores, axis=0)[min(k, len(some)) - 1]
+                    for j in range(len(ids)):
+                        near = np.flatnonzero(common[:, j] & (scores[:, j] >= least[j]))
+                        if len(near):
+                            best[j] = sorted([*best[j], *((-scores[r, j], names[s + r], raw[r, j]) for r in near)])[:k]
+            out = [(ids[j], name, float(score)) for j, found in enumerate(best) for _, name, score in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (batch_type(kinds[0]), batch_type(kinds[1]), pa.float64()))], names=["query_id", key, "score"])
+
+        parts.append(lists.mapInArrow(run, schema))
+    scored = parts[0]
+    for p in parts[1:]:
+        scored = scored.unionByName(p)
+    return top(scored, k, [F.round("score", 9).desc(), F.col(key)])
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, key: str, exclude_same: bool = False) -> DataFrame:
