@@ -7,9 +7,9 @@ only there is it compared. A tree's nodes hold the OR of the bitmaps below them
 node pairs drops every pair whose largest possible overlap cannot reach the threshold. Pairs of leaves that survive the
 same bound on their own bitmaps are verified on the words.
 
-A subtree that holds more than ``hot`` texts is divided further by additional minimum hashes. What is still larger is
-cut into blocks of similar size; the blocks' nodes are joined first, under the same bound, and only the surviving pairs
-of blocks are joined with their rows, so that no task ever holds a whole subtree.
+A subtree that holds more than ``hot`` texts is cut into blocks of similar size; the blocks' nodes are joined first,
+under the same bound, and only the surviving pairs of blocks are joined with their rows, so that no task ever holds a
+whole subtree and no pair of a subtree is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from ..session import bounded_collect, cut, kept, wide_partitions
 WORD = re.compile(r"[^\W_]+")
 BITS = 256
 LEAF, FAN = 16, 8
-ROWS_PER_BAND, FURTHER = 2, 4
+ROWS_PER_BAND = 2
 SAMPLED = 64
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,9 +68,9 @@ class Shingler:
 
 
 def signatures(texts: DataFrame, key: str, width: int, least_words: int, bands: int) -> DataFrame:
-    """``<key>, cls, n, b0..b3, bands, more``: class, size, bitmap and tree keys of every text that takes part."""
-    fields = ", ".join(["cls long", "n int", *(f"b{i} long" for i in range(BITS // 64)), "bands array<long>", "more array<long>"])
-    total = bands * ROWS_PER_BAND + FURTHER
+    """``<key>, cls, n, b0..b3, bands``: class, size, bitmap and tree keys of every text that takes part."""
+    fields = ", ".join(["cls long", "n int", *(f"b{i} long" for i in range(BITS // 64)), "bands array<long>"])
+    total = bands * ROWS_PER_BAND
     rng = np.random.default_rng(20240229)
     factors = rng.integers(1, 1 << 63, total, dtype=np.uint64) | np.uint64(1)
     shifts = rng.integers(1, 1 << 63, total, dtype=np.uint64)
@@ -95,14 +95,14 @@ def signatures(texts: DataFrame, key: str, width: int, least_words: int, bands:
             low = np.empty((len(sets), total), np.uint64)
             for k in range(total):
                 low[:, k] = np.minimum.reduceat(flat * factors[k] ^ (flat >> np.uint64(17)) * shifts[k], starts)
-            keys = low[:, : bands * ROWS_PER_BAND].reshape(len(sets), bands, ROWS_PER_BAND)
+            keys = low.reshape(len(sets), bands, ROWS_PER_BAND)
             named = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * MULTIPLY
             for r in range(ROWS_PER_BAND):
                 named = _mix(named + keys[:, :, r])
             lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(a).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep)), pa.array(cls), pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(bits.shape[1])), lists(named), lists(low[:, -FURTHER:])],
-                names=[key, "cls", "n", *(f"b{i}" for i in range(bits.shape[1])), "bands", "more"],
+                [batch.column(0).take(pa.array(keep)), pa.array(cls), pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(bits.shape[1])), lists(named)],
+                names=[key, "cls", "n", *(f"b{i}" for i in range(bits.shape[1])), "bands"],
             )
 
     return texts.select(F.col(key).cast("string").alias(key), "text").mapInArrow(run, f"`{key}` string, {fields}")
@@ -270,21 +270,15 @@ def candidates(reps: DataFrame, threshold: float, hot: int, block: int) -> DataF
     """``a, b``: class pairs that pass the signature bounds somewhere in the forest."""
     cols = ["cls", "n", *(f"b{i}" for i in range(BITS // 64))]
     rows = reps.select(F.explode("bands").alias("key"), *cols)
-    # A subtree's size is estimated on one text in SAMPLED; within_buckets is right for any size, so a wrong guess costs only time.
-    heavy = lambda r: r.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") * SAMPLED > hot).select("key")
-    hot_keys = cut(heavy(rows))
+    # A subtree's size is estimated on one text in SAMPLED; both ways below keep every pair of a bucket, so a wrong guess costs only time.
+    sampled = rows.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("c"))
+    hot_keys = cut(sampled.where(F.col("c") * SAMPLED > hot).select("key"))
     if hot_keys.isEmpty():
         return within_buckets(rows, threshold)
     known = bounded_collect(hot_keys, 10_000)
     by = F.broadcast(hot_keys) if known is not None else hot_keys
-    out = within_buckets(rows.join(by, "key", "left_anti"), threshold)
-    again = cut(
-        reps.select(F.explode("bands").alias("key"), F.col("more"), *cols).join(by, "key", "left_semi")
-        .select(F.posexplode("more"), "key", *cols).select(F.xxhash64("key", "pos", "col").alias("key"), *cols)
-    )
-    still = cut(heavy(again))
-    out = out.unionByName(within_buckets(again.join(still, "key", "left_anti"), threshold))
-    return out if still.isEmpty() else out.unionByName(between_blocks(again.join(still, "key", "left_semi"), threshold, block))
+    cold = within_buckets(rows.join(by, "key", "left_anti"), threshold)
+    return cold.unionByName(between_blocks(rows.join(by, "key", "left_semi"), threshold, block))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, least_words: int) -> DataFrame:

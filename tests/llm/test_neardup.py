@@ -49,6 +49,17 @@ def test_found_matches_brute_force(spark, hot, monkeypatch):
     assert len(got) >= 0.97 * len(want)
 
 
+def test_hot_subtrees_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(N, "SAMPLED", 1)
+    r, words = random.Random(7), [f"w{i}" for i in range(400)]
+    base = [r.choice(words) for _ in range(60)]
+    texts = [" ".join(r.choice(words) if r.random() < 0.12 else w for w in base) for _ in range(60)]  # one family around the threshold
+    df = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    reps = N.signatures(df, "chunk_id", 3, 20, 14).drop("chunk_id").dropDuplicates(["cls"]).cache()
+    whole, divided = ({tuple(r) for r in N.candidates(reps, 0.5, hot, 4).collect()} for hot in (4000, 3))
+    assert whole and divided == whole
+
+
 def test_traversal_loses_no_pair():
     r = np.random.default_rng(2)
     for size in (5, 60, 300):
