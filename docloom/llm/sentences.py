@@ -181,12 +181,13 @@ def spans(text: str, start: int, end: int) -> list[int]:
         if (s := end_score(text, start, m.start(), stop, end)) is not None:
             ends.append(stop)
             scores.append(s)
-    if any("ก" <= c <= "๙" for c in text[start : start + 400]):
-        for m in THAI_GAP.finditer(text, start, end):
-            # short runs between blanks are phrases, and a blank inside a quotation is no end
-            if "ๆ" not in text[m.end() : m.end() + 1]:
-                ends.append(m.start())
-                scores.append(2.0)
+    marks = len(ends)
+    for m in THAI_GAP.finditer(text, start, end):
+        # short runs between blanks are phrases, and a blank inside a quotation is no end
+        if "ๆ" not in text[m.end() : m.end() + 1]:
+            ends.append(m.start())
+            scores.append(2.0)
+    if len(ends) > marks:
         order = sorted(range(len(ends)), key=ends.__getitem__)
         ends, scores = [ends[i] for i in order], [scores[i] for i in order]
     last = end

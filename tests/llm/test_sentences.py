@@ -39,6 +39,10 @@ def test_units_cover_the_text(text):
     assert not text[at:].strip(S.BLANKS)
 
 
+def test_thai_behind_a_long_opening():
+    assert len(S.units("1234567 " * 60 + "รายงานเสร็จแล้ว ทีมงานกลับบ้าน")) == 2
+
+
 def test_long_text_is_linear():
     assert len(S.units("One more thing. " * 20_000)) == 20_000
     assert S.units("x" * 300_000) == [300_000]
