@@ -10,7 +10,8 @@ whose quotation is still open.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -164,13 +165,52 @@ def end_score(text: str, start: int, mark: int, stop: int, end: int) -> float |
 PAIRS = (("(", ")"), ("[", "]"), ("（", "）"), ("「", "」"), ("『", "』"), ("«", "»"), ("《", "》"))
 
 
-def balance(text: str, start: int, end: int) -> int:
-    """Quotations and brackets of a span that are left open or closed without being opened."""
-    span = text[start:end]
-    off = sum(abs(span.count(a) - span.count(b)) for a, b in PAIRS if a in span or b in span)
-    low, left, right = span.count("„"), span.count("“"), span.count("”")
-    off += abs(low - left - right) if low else abs(left - right)
-    return off + span.count('"') % 2
+def balance(text: str, bounds: list[int]) -> Callable[[int, int], int]:
+    """Of the span between two of ``bounds``, by their places: quotations and brackets left open or closed without being
+    opened. Marks are counted once up to every bound, so that a long span costs no more than a short one."""
+    have = {}
+    for c in {*"".join(a + b for a, b in PAIRS), *"„“”\""}:
+        if text.find(c, bounds[0], bounds[-1]) >= 0:
+            have[c] = [0]
+            for a, b in zip(bounds, bounds[1:]):
+                have[c].append(have[c][-1] + text.count(c, a, b))
+    if not have:
+        return lambda i, j: 0
+    count = lambda c, i, j: have[c][j] - have[c][i] if c in have else 0
+    pairs = [(a, b) for a, b in PAIRS if a in have or b in have]
+
+    def off(i: int, j: int) -> int:
+        n = sum(abs(count(a, i, j) - count(b, i, j)) for a, b in pairs)
+        low, left, right = count("„", i, j), count("“", i, j), count("”", i, j)
+        n += abs(low - left - right) if low else abs(left - right)
+        return n + count('"', i, j) % 2
+
+    return off
+
+
+QUOTES = re.compile("[„“”«»「」『』《》()（）\\[\\]\"]")
+CLOSED_BY = {**dict(PAIRS), "“": "”", "„": "“”"}
+
+
+def enclosed(text: str, start: int, end: int, ends: list[int], scores: list[float]) -> set[int]:
+    """Which of ``ends`` stand inside a quotation or bracket whose sentence goes on behind it."""
+    out: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    for m in QUOTES.finditer(text, start, end):
+        c, at = m[0], m.start()
+        if stack and (c in CLOSED_BY.get(stack[-1][0], "") or c == stack[-1][0] == '"'):
+            opened = stack.pop()[1]
+            lo, hi = bisect_right(ends, opened), bisect_right(ends, at)
+            behind = at + 1
+            while behind < end and text[behind] in BLANKS:
+                behind += 1
+            # it goes on with a small letter or a comma; an end at or right behind the closing mark says it does not
+            goes_on = behind < end and (text[behind].islower() or text[behind] in ",;，；、")
+            if hi > lo and goes_on and not (hi < len(ends) and ends[hi] <= behind and scores[hi] >= 0):
+                out.update(range(lo, hi))
+        elif c in CLOSED_BY or c == '"':
+            stack.append((c, at))
+    return out
 
 
 def spans(text: str, start: int, end: int) -> list[int]:
@@ -190,26 +230,34 @@ def spans(text: str, start: int, end: int) -> list[int]:
     if len(ends) > marks:
         order = sorted(range(len(ends)), key=ends.__getitem__)
         ends, scores = [ends[i] for i in order], [scores[i] for i in order]
+    if inner := enclosed(text, start, end, ends, scores):
+        ends, scores = ([x for k, x in enumerate(v) if k not in inner] for v in (ends, scores))
     last = end
     while last > start and text[last - 1] in BLANKS:
         last -= 1
     if not ends or ends[-1] < last:
         ends.append(last)
         scores.append(1.0)
-    # quotations may hold a few marks, so a span is looked for among the nearest starts; a longer one is built through
-    # the best start, which no bound on the look-back can lose, as every start has a path
-    best, back = [0.0], [-1]
+    # Every start is tried that could still win: no span scores more than its end, so a start whose best path is not
+    # above ``top - s`` is passed over, together with all starts up to the next better one (``better``).
+    best, back, better = [0.0], [-1], [-1]
     begins = [start, *ends]
+    off = balance(text, begins)
     for j, (e, s) in enumerate(zip(ends, scores)):
-        top, arg = float("-inf"), 0
-        for i in range(j, max(-1, j - 12), -1):
+        top, arg, at = float("-inf"), 0, j
+        while at >= 0:
+            i = at
+            if best[i] + s <= top:
+                at = better[i]
+                continue
+            at -= 1
             b = begins[i]
             while b < e and text[b] in BLANKS:
                 b += 1
             if b >= e:
                 continue
             size = e - b
-            v = best[i] + s - 4.0 * min(balance(text, b, e), 2)
+            v = best[i] + s - 4.0 * min(off(i, j + 1), 2)
             if size < 3:
                 v -= 3.0
             elif size > 600:
@@ -220,6 +268,10 @@ def spans(text: str, start: int, end: int) -> list[int]:
                 top, arg = v, i
         best.append(top)
         back.append(arg)
+        k = j
+        while k >= 0 and best[k] <= top:
+            k = better[k]
+        better.append(k)
     out, j = [], len(ends)
     while j > 0:
         out.append(ends[j - 1])

@@ -43,6 +43,14 @@ def test_thai_behind_a_long_opening():
     assert len(S.units("1234567 " * 60 + "รายงานเสร็จแล้ว ทีมงานกลับบ้าน")) == 2
 
 
+def test_look_back_has_no_cap():
+    cited = "See " + " ".join(f"Art. {i}" for i in range(1, 16)) + " of the act."
+    assert cut(cited + " Done.") == [cited, "Done."]
+    quoted = "She said “" + " ".join(f"Part {i} was moved." for i in range(1, 16)) + "” and left."
+    assert cut("It began. " + quoted + " Done.") == ["It began.", quoted, "Done."]
+    assert len(S.units("See " + "Art. 5 " * 20_000 + "here.")) == 1
+
+
 def test_long_text_is_linear():
     assert len(S.units("One more thing. " * 20_000)) == 20_000
     assert S.units("x" * 300_000) == [300_000]
