@@ -23,14 +23,14 @@ def test_cut_level(text, limit):
     blank = " \t\n\r"
     t = text.strip(blank)
     if len(t) <= limit:
-        assert S.cut_level(text, limit) is None
+        assert S.Tree(text).level(limit) is None
         return
     lines, paragraphs = t.split("\n"), [[]]
     for l in lines:
         paragraphs[-1].append(l) if l.strip(blank) else paragraphs.append([])
     fits = lambda parts: all(len(p.strip(blank)) <= limit for p in parts)
     want = "paragraph" if fits("\n".join(p) for p in paragraphs) else "line" if fits(lines) else "word" if fits(t.split()) else "unbroken"
-    assert S.cut_level(text, limit) == want
+    assert S.Tree(text).level(limit) == want
 
 
 def test_natural_boundaries():
@@ -42,6 +42,25 @@ def test_natural_boundaries():
         S.pieces("x", 10, 10)
 
 
+def test_only_siblings_are_merged():
+    text = "# A\n\n" + "First words here. " * 60 + "\n\n# B\n\n" + "Second words there. " * 8 + "\n\n## B1\n\nA short end.\n\n# C\n\n" + "Third words now. " * 60
+    added = [text[s:e] for s, e in S.pieces(text, 400, 0)]
+    for p in added:  # no piece holds parts of two sections of one level, and no heading stands at a piece's end
+        assert sum(p.count(f"# {h}\n") for h in "ABC") <= 1
+        assert not p.splitlines()[-1].startswith("#")
+    assert any(p.startswith("# B\n") and p.endswith("A short end.") for p in added)  # a section that fits stays whole
+
+
+def test_lists_are_cut_between_items():
+    text = "\n".join(f"- item {i} " + "words " * 12 for i in range(40))
+    assert all(text[s:e].startswith("- item") for s, e in S.pieces(text, 300, 0))
+
+
+def test_level_is_read_off_the_tree():
+    assert S.Tree("a" * 30 + "\n# Head\n" + "b" * 30).level(40) == "line"  # a heading inside a part does not part it
+    assert S.Tree("字" * 20 + "。" + "字" * 20).level(30) == "unbroken"  # no blank, though a sentence ends inside
+
+
 def test_table(spark):
     rows = [("a", "w " * 600, 1), ("a", "w " * 600, 2), ("b", None, 3), ("c", " \n", 4), (None, "short", 5), ("d", "x" * 901, 6)]
     df = spark.createDataFrame(rows, "document_id string, text string, chunk_index int")
