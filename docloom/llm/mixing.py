@@ -1,122 +1,112 @@
 """Mixing sources to target weights by hierarchical budgeting.
 
-Targets span a tree (a path of columns, here source and language). The root's tokens are shared out by weight; a node
-that cannot use its share, because all below it times the cap on repeats is less, gives the rest to its siblings first,
-and only what a whole family cannot use goes to the family's siblings. Every leaf then takes a prefix of seeded epochs:
-its documents in an order drawn anew for each epoch, up to its budget.
-
-Only one row for each leaf reaches the driver; sources and languages are bounded by the targets. Prefixes come from
-token sums over hash buckets, so that a source with a third of all rows is summed in many tasks.
+The targets' weights are propagated through a tree of domains, languages and sources: a source's weight falls to its
+languages in proportion to their tokens, and a node's weight is the sum of its leaves'. Budgets then come from the root
+down: each node's budget is shared among its children by weight, and what a child cannot use, because all below it times
+the cap on repeats is less, goes to its siblings first; only what a whole family cannot use goes to the family's
+siblings. Every leaf takes a prefix of seeded epochs: its documents in an order drawn anew for each epoch, up to its
+budget.
+
+Sharing with caps is solved in closed form with sums over the siblings in the order of capacity to weight (``fill``), so
+that neither nodes nor leaves reach the driver. Prefixes come from token sums over hash buckets, so that a source with a
+third of all rows is summed in many tasks.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, strip_blanks
+from ..session import bounded_collect, cut, strip_blanks
 from .tokens import VOCABULARY, with_tokens
 
 BUCKETS = 4096
-MOST_TARGETS = 100_000
-
-
-@dataclass
-class Node:
-    """A node of the target tree; ``capacity`` is all its tokens times the cap on repeats."""
+#: Leaves and epochs up to this number are sent to the tasks; beyond it they are joined by a shuffle.
+MOST_SENT = 100_000
+PATH = ("domain", "lang", "source")
 
-    name: tuple
-    weight: float
-    capacity: float = 0.0
-    children: list[Node] = field(default_factory=list)
-    budget: float = 0.0
 
-
-def share(total: float, nodes: list[Node]) -> float:
-    """Gives ``total`` to siblings by weight within their capacities, then on to their children; returns the rest.
-
-    What a node cannot use is shared among the open siblings by weight until nothing is left or all are full.
-    """
-    rest, open_ = total, [n for n in nodes if n.capacity > 0 and n.weight > 0]
-    for n in nodes:
-        n.budget = 0.0
-    while open_ and rest > 1e-9 * max(total, 1):
-        weights = math.fsum(n.weight for n in open_)
-        given = {id(n): rest * n.weight / weights for n in open_}
-        rest = 0.0
-        still = []
-        for n in open_:
-            take = min(given[id(n)], n.capacity - n.budget)
-            n.budget += take
-            rest += given[id(n)] - take
-            if n.budget < n.capacity * (1 - 1e-12):
-                still.append(n)
-        if len(still) == len(open_):
-            break
-        open_ = still
-    for n in nodes:
-        if n.children:
-            n.budget -= share(n.budget, n.children)
-    return rest
-
-
-def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def sized(documents: DataFrame, vocabulary: str = VOCABULARY, size: Column | None = None) -> DataFrame:
     """``doc_id, source, lang, tokens``; a doc_id counts once, null texts have no tokens, source and language are lower
-    case and trimmed, an unknown language is ``und``."""
+    case and trimmed, an unknown language is ``und``. ``size`` stands for the tokenizer's count if given."""
     docs = documents.select(
         "doc_id",
         F.lower(strip_blanks("source")).alias("source"),
         F.coalesce(F.nullif(F.lower(strip_blanks("lang")), F.lit("")), F.lit("und")).alias("lang"),
         "text",
     ).where("doc_id is not null and source is not null")
-    return with_tokens(docs, "text", ["doc_id", "source", "lang"], vocabulary).dropDuplicates(["doc_id"])
+    of = with_tokens(docs, "text", ["doc_id", "source", "lang"], vocabulary) if size is None else docs.select("doc_id", "source", "lang", F.coalesce(size, F.lit(0)).cast("long").alias("tokens"))
+    return of.dropDuplicates(["doc_id"])
+
 
+def wanted(targets: DataFrame) -> DataFrame:
+    """``domain, source, target_weight, max_repeats`` of each source; a repeated source counts once (its largest values),
+    null weights are 0, null caps 1. Without a column ``domain`` all sources are of one."""
+    domain = strip_blanks("domain") if "domain" in targets.columns else F.lit("all")
+    return (
+        targets.where("source is not null")
+        .groupBy(F.lower(strip_blanks("source")).alias("source"))
+        .agg(F.coalesce(F.max(domain), F.lit("all")).alias("domain"), F.coalesce(F.max("target_weight"), F.lit(0.0)).cast("double").alias("target_weight"), F.coalesce(F.max("max_repeats"), F.lit(1)).cast("int").alias("max_repeats"))
+    )
+
+
+def leaves(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """The leaves of the tree: ``domain, lang, source, max_repeats, tokens, weight, capacity``. A source without documents
+    is a leaf of the language ``und`` without tokens."""
+    have = sizes.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens"))
+    of = wanted(targets).join(have, "source", "left").withColumns({"lang": F.coalesce("lang", F.lit("und")), "tokens": F.coalesce("tokens", F.lit(0))})
+    all_, count = F.sum("tokens").over(Window.partitionBy("source")), F.count("*").over(Window.partitionBy("source"))
+    part = F.when(all_ > 0, F.col("tokens") / all_).otherwise(1 / count)
+    return of.withColumns({"weight": F.col("target_weight") * part, "capacity": (F.col("tokens") * F.col("max_repeats")).cast("double")}).drop("target_weight")
 
-def targets_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
-    """Weight and cap of each source; a repeated source counts once; null weights are 0, null caps 1."""
-    rows = targets.select(F.lower(strip_blanks("source")).alias("source"), "target_weight", "max_repeats").where("source is not null").distinct().limit(MOST_TARGETS + 1).collect()
-    if len(rows) > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets")
-    return {r.source: (float(r.target_weight or 0), int(1 if r.max_repeats is None else r.max_repeats)) for r in rows}
 
+def fill(nodes: DataFrame, family: list[str]) -> DataFrame:
+    """Adds ``budget`` to ``nodes(<family>, weight, capacity, amount)``: the family's ``amount`` shared by weight within
+    the capacities.
 
-def budget(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[list[Node], float]:
-    """The tree of sources and their languages with its budgets, and the total; by default all tokens of the targets'
-    sources, each document once. A language's weight within its source is its share of the source's tokens."""
-    wanted = targets_of(targets)
-    spark = sizes.sparkSession
-    names = spark.createDataFrame([(s,) for s in wanted], "source string")
-    leaves = sizes.join(names, "source").groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")).orderBy("source", "lang").collect()
-    have = {s: [r for r in leaves if r.source == s] for s in wanted}
+    Nodes are taken in the order of capacity to weight. If those before a node are full, the open ones, it among them,
+    are filled to the level (amount - capacities before) / (weights from it on); the level grows while nodes are full
+    and falls behind them, so the largest is the one that holds.
+    """
+    ratio = F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(F.lit(float("inf")))
+    ranked = Window.partitionBy(*family).orderBy("_ratio")
+    before = F.coalesce(F.sum("capacity").over(ranked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    open_ = F.sum("weight").over(ranked.rowsBetween(0, Window.unboundedFollowing))
+    levels = nodes.withColumn("_ratio", ratio).withColumn("_level", F.when(F.col("weight") > 0, (F.col("amount") - before) / open_))
+    level = F.greatest(F.coalesce(F.max("_level").over(Window.partitionBy(*family)), F.lit(0.0)), F.lit(0.0))
+    return levels.withColumn("budget", F.least("capacity", F.col("weight") * level)).drop("_ratio", "_level")
+
+
+def budgets(tree: DataFrame, total: float, path: tuple[str, ...] = PATH) -> DataFrame:
+    """``tree`` (see ``leaves``) with ``offer``, what a leaf's weight alone gives it, and ``budget``."""
+    amounts = None
+    for depth in range(1, len(path) + 1):
+        node, family = list(path[:depth]), list(path[: depth - 1])
+        nodes = tree.groupBy(*node).agg(F.sum("weight").alias("weight"), F.sum("capacity").alias("capacity"))
+        nodes = nodes.withColumn("amount", F.lit(float(total))) if amounts is None else nodes.join(amounts.select(*family, F.col("budget").alias("amount")), family)
+        amounts = fill(nodes, family)
+    return tree.withColumn("offer", F.col("weight") * F.lit(float(total))).join(amounts.select(*path, "budget"), list(path))
+
+
+def planned(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> DataFrame:
+    """The leaves with their budgets; ``total`` is by default all tokens of the targets' sources, each document once."""
+    tree = cut(leaves(sizes, targets))
     if total is None:
-        total = float(sum(r.tokens for r in leaves))
-    nodes = []
-    for s, (weight, most) in sorted(wanted.items()):
-        children = [Node((s, r.lang), float(r.tokens), float(r.tokens) * most) for r in have[s] if r.tokens]
-        nodes.append(Node((s,), weight, math.fsum(c.capacity for c in children), children))
-    share(total, nodes)
-    return nodes, total
+        total = float(tree.agg(F.sum("tokens")).first()[0] or 0)
+    return budgets(tree, total)
 
 
-def report(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def report(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, size: Column | None = None) -> DataFrame:
     """One row for each target: ``source, target_weight, max_repeats, tokens, wanted, budget, short``.
 
-    ``wanted`` is its share of all the targets' tokens, ``short`` whether its tokens times the cap fall short of that,
+    ``wanted`` is its share of all the targets' tokens, ``short`` whether its leaves had to give some of that back,
     ``budget`` what it gets after shortages are shared out.
     """
-    sizes = sized(documents, vocabulary)
-    nodes, total = budget(sizes, targets)
-    wanted = targets_of(targets)
-    rows = []
-    for n in nodes:
-        weight, most = wanted[n.name[0]]
-        rows.append((n.name[0], weight, most, int(math.fsum(c.weight for c in n.children)), weight * total, n.budget, n.capacity < weight * total))
-    return documents.sparkSession.createDataFrame(
-        rows, "source string, target_weight double, max_repeats int, tokens long, wanted double, budget double, short boolean"
+    back = F.col("offer") - F.least("offer", "capacity")
+    by = planned(sized(documents, vocabulary, size), targets).groupBy("source").agg(
+        F.sum("tokens").alias("tokens"), F.sum("offer").alias("wanted"), F.sum("budget").alias("budget"), (F.sum(back) > 1e-9 * F.sum("offer")).alias("short")
     )
+    return wanted(targets).join(by, "source").select("source", "target_weight", "max_repeats", "tokens", "wanted", "budget", "short")
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -127,19 +117,16 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str
     without documents give no rows.
     """
     sizes = cut(sized(documents, vocabulary).where("tokens > 0"))
-    nodes, _ = budget(sizes, targets)
-    wanted = targets_of(targets)
-    leaves = []
-    for n in nodes:
-        for c in n.children:
-            full, rest = divmod(c.budget, c.weight)
-            full = min(int(full), wanted[n.name[0]][1])
-            leaves += [(*c.name, e, c.weight) for e in range(full)]
-            if full < wanted[n.name[0]][1] and rest > 0:
-                leaves.append((*c.name, full, rest))
-    spark = documents.sparkSession
-    plan = spark.createDataFrame(leaves, "source string, lang string, epoch int, budget double")
-    drawn = sizes.join(F.broadcast(plan) if len(leaves) <= MOST_TARGETS else plan, ["source", "lang"]).withColumn("_h", F.xxhash64(F.lit(seed), "epoch", "doc_id")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
+    full = F.least(F.floor(F.col("budget") / F.col("tokens") + 1e-9), F.col("max_repeats")).cast("int")
+    rest = F.col("budget") - F.col("_full") * F.col("tokens")
+    last = F.when((F.col("_full") < F.col("max_repeats")) & (rest > 1e-6), F.col("_full") + 1).otherwise(F.col("_full"))
+    plan = cut(
+        planned(sizes, targets).where("tokens > 0 and budget > 0").withColumn("_full", full).withColumn("_last", last).where("_last > 0")
+        .select("source", "lang", F.col("tokens").alias("_all"), "_full", rest.alias("_rest"), F.explode(F.sequence(F.lit(0), F.col("_last") - 1)).alias("epoch"))
+        .select("source", "lang", "epoch", F.when(F.col("epoch") < F.col("_full"), F.col("_all").cast("double")).otherwise(F.col("_rest")).alias("budget"))
+    )
+    sent = F.broadcast(plan) if bounded_collect(plan.select("epoch"), MOST_SENT) is not None else plan
+    drawn = sizes.join(sent, ["source", "lang"]).withColumn("_h", F.xxhash64(F.lit(seed), "epoch", "doc_id")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
     leaf = ["source", "lang", "epoch"]
     sums = (
         drawn.groupBy(*leaf, "_b").agg(F.sum("tokens").alias("_s"))
@@ -159,13 +146,18 @@ def shares(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary:
     """Shares reached: ``source, target_weight, documents, tokens, share, most_used`` (0 and null where nothing came)."""
     taken = mix(documents, targets, seed, vocabulary)
     by = taken.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), (F.max("epoch") + 1).alias("most_used"))
-    want = targets.select(F.lower(strip_blanks("source")).alias("source"), "target_weight").where("source is not null").distinct()
-    out = want.join(by, "source", "left").fillna(0, ["documents", "tokens", "most_used"])
+    out = wanted(targets).join(by, "source", "left").fillna(0, ["documents", "tokens", "most_used"])
     return out.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy())).select(
         "source", "target_weight", "documents", "tokens", "share", "most_used"
     )
 
 
 def found(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``source`` of the targets whose tokens times the cap fall short."""
+    """``source`` of the targets whose leaves had to give back some of what their weight offers them."""
     return report(documents, targets, vocabulary).where("short").select("source")
+
+
+def word_budgets(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """``report`` with words and marks for tokens, amounts rounded to whole ones."""
+    r = report(documents, targets, size=F.regexp_count("text", F.lit(r"[a-zA-Z]+|[^a-zA-Z\s]")))
+    return r.select("source", "tokens", F.round("wanted").cast("long").alias("wanted"), F.round("budget").cast("long").alias("budget"), "short")

@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_leaks": lambda s, d: leaks.leaks(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_found": lambda s, d: mixing.found(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixing.shares(t(s, d, "documents"), t(s, d, "mix_targets")),
+        "p9_budgets": lambda s, d: mixing.word_budgets(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_mixture": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets")),
     }
 
@@ -116,8 +117,25 @@ t AS (SELECT lower(trim(source, {BLANK})) AS source, target_weight, max_repeats
 SELECT source FROM n WHERE n * max_repeats < target_weight * (SELECT sum(n) FROM n)
 """
 
+# Leaves, then the level of each family (domain, language, source) that its members fill up to within their capacities.
+P9_BUDGETS = f"""
+WITH d AS (SELECT DISTINCT ON (doc_id) lower(trim(source, {BLANK})) AS source, coalesce(nullif(lower(trim(lang, {BLANK})), ''), 'und') AS lang, len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+|[^a-zA-Z\\s]')) AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL),
+t AS (SELECT lower(trim(source, {BLANK})) AS source, max(target_weight) AS tw, max(max_repeats) AS most FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+h AS (SELECT source, lang, sum(n) AS n FROM d GROUP BY ALL),
+l AS (SELECT t.source, coalesce(lang, 'und') AS lang, coalesce(n, 0) AS n, tw * CASE WHEN sum(n) OVER (PARTITION BY t.source) > 0 THEN n / sum(n) OVER (PARTITION BY t.source) ELSE 1 / count(*) OVER (PARTITION BY t.source) END AS w, coalesce(n, 0) * most AS c FROM t LEFT JOIN h USING (source)),
+a AS (SELECT sum(n) AS total FROM l),
+n1 AS (SELECT lang, sum(w) AS w, sum(c) AS c, least(sum(sum(c)) OVER (), (SELECT total FROM a)) AS b FROM l GROUP BY lang),
+v1 AS (SELECT *, (b - coalesce(sum(c) OVER (ORDER BY c / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY c / w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM n1),
+b1 AS (SELECT lang, least(c, w * (SELECT max(v) FROM v1)) AS b FROM v1),
+n2 AS (SELECT lang, source, sum(w) AS w, sum(c) AS c, any_value(b) AS b FROM l JOIN b1 USING (lang) GROUP BY ALL),
+v2 AS (SELECT *, (b - coalesce(sum(c) OVER (PARTITION BY lang ORDER BY c / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY lang ORDER BY c / w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM n2),
+b2 AS (SELECT lang, source, least(c, w * max(v) OVER (PARTITION BY lang)) AS b FROM v2)
+SELECT source, sum(n)::BIGINT AS tokens, round(sum(w) * any_value(total))::BIGINT AS wanted, round(sum(b))::BIGINT AS budget, sum(c) < sum(w) * any_value(total) * (1 - 1e-9) AS short
+FROM l JOIN b2 USING (lang, source) CROSS JOIN a GROUP BY source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND,
+        "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_budgets": P9_BUDGETS,
     }

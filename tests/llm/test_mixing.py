@@ -35,12 +35,39 @@ def test_prefix_meets_budget(spark):
         assert r.budget <= spent[r.source] + 1 and spent[r.source] <= r.budget + 60
 
 
-def test_budget_goes_to_siblings_first():
-    a, b = M.Node(("x", "a"), 1, 10), M.Node(("x", "b"), 1, 100)
-    x, y = M.Node(("x",), 0.5, 110, [a, b]), M.Node(("y",), 0.5, 1000)
-    assert M.share(100, [x, y]) == pytest.approx(0, abs=1e-6)
-    assert (a.budget, b.budget, y.budget) == pytest.approx((10, 40, 50))
-    assert M.share(2000, [x, y]) == pytest.approx(890) and (x.budget, y.budget) == pytest.approx((110, 1000))
+def test_budget_goes_to_siblings_first(spark):
+    tree = spark.createDataFrame([("d", "x", "a", 0.25, 10.0), ("d", "x", "b", 0.25, 100.0), ("d", "y", "a", 0.5, 1000.0)], "domain string, lang string, source string, weight double, capacity double")
+    of = lambda total: {(r.lang, r.source): r.budget for r in M.budgets(tree, total).collect()}
+    assert of(100) == pytest.approx({("x", "a"): 10, ("x", "b"): 40, ("y", "a"): 50})  # flat sharing would give y more
+    assert of(2000) == pytest.approx({("x", "a"): 10, ("x", "b"): 100, ("y", "a"): 1000})
+    assert of(0) == pytest.approx({("x", "a"): 0, ("x", "b"): 0, ("y", "a"): 0})
+
+
+def test_fill_against_rounds(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(f, i, r.choice([0.0, r.random()]), r.choice([0.0, r.uniform(0, 50)]), float(40 * f)) for f in range(1, 8) for i in range(9)]
+    out = M.fill(spark.createDataFrame(rows, "f int, i int, weight double, capacity double, amount double"), ["f"]).collect()
+    for f in range(1, 8):
+        own = {i: [w, c, 0.0] for g, i, w, c, _ in rows if g == f}
+        rest = 40.0 * f
+        for _ in range(500):  # give by weight, take back what does not fit, again
+            free = {i: n for i, n in own.items() if n[0] > 0 and n[2] < n[1] - 1e-9}
+            if not free or rest < 1e-9:
+                break
+            each, rest = rest / sum(n[0] for n in free.values()), 0.0
+            for n in free.values():
+                took = min(each * n[0], n[1] - n[2])
+                rest += each * n[0] - took
+                n[2] += took
+        assert {x.i: x.budget for x in out if x.f == f} == pytest.approx({i: n[2] for i, n in own.items()}, abs=1e-6)
+
+
+def test_languages_without_bound(spark):
+    docs = [(i, "one two three", f"language {i}", "big") for i in range(300)]
+    d, t = frames(spark, docs, [("big", 1.0, 2)])
+    assert M.mix(d, t).select("doc_id").distinct().count() == 300
 
 
 def test_empty(spark):
