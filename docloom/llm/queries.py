@@ -81,6 +81,25 @@ y AS (SELECT item_id, unnest(list_transform(range(1, len(a) - 10), lambda i: arr
 SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)
 """
 
+_P8_TABLE = """SELECT {key} AS k, regexp_extract_all(text, '[\\pL\\pN]+') AS c, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS l FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL"""
+_P8_TYPED = """SELECT k, CASE WHEN len(c) = len(l) THEN c ELSE l END AS c, l, list_transform(l, lambda w: CASE WHEN regexp_matches(w, '\\p{{Nd}}') THEN '<number>'
+  WHEN w IN ('january','february','march','april','may','june','july','august','september','october','november','december') THEN '<month>'
+  WHEN w IN ('percent','hours','hour','days','day','weeks','week','minutes','minute','seconds','second','years','year','kg','g','km','m','cm','mm','mb','gb','tb','kb','ms','eur','usd','dollars','euros','metres','meters','miles','litres','pages') THEN '<unit>'
+  WHEN list_contains(v.words, w) THEN '' ELSE '<name>' END) AS t FROM {table}, v WHERE len(l) >= 12"""
+_P8_WINDOWS = """SELECT DISTINCT k, unnest(list_transform(range(1, len(l) - 10), lambda i: {{'c': c[i:i+11], 'l': l[i:i+11], 't': t[i:i+11],
+  'h': CASE WHEN len(list_filter(t[i:i+11], lambda x: x = '')) >= 5 THEN array_to_string(list_transform(range(i, i + 12), lambda j: CASE WHEN t[j] = '' THEN l[j] ELSE t[j] END), ' ') ELSE '= ' || array_to_string(l[i:i+11], ' ') END}})) AS w FROM {table}"""
+P8_LEAKS = f"""
+WITH d0 AS ({_P8_TABLE.format(key="doc_id", table="documents")}), e0 AS ({_P8_TABLE.format(key="item_id", table="eval_items")}),
+v AS (SELECT list_distinct(list(lower(w))) AS words FROM (SELECT unnest(c) AS w FROM e0) WHERE left(w, 1) = lower(left(w, 1)) AND left(w, 1) <> upper(left(w, 1))),
+d1 AS ({_P8_TYPED.format(table="d0")}), e1 AS ({_P8_TYPED.format(table="e0")}), d AS ({_P8_WINDOWS.format(table="d1")}), e AS ({_P8_WINDOWS.format(table="e1")}),
+b AS (SELECT d.k AS doc_id, e.k AS item_id, d.w.l AS a, e.w.l AS b, list_filter(list_zip(d.w.l, e.w.l, d.w.t, d.w.c, e.w.c), lambda x: x[3] <> '') AS s FROM d JOIN e ON d.w.h = e.w.h),
+c AS (SELECT doc_id, item_id, a, min(CASE WHEN a = b THEN 0
+  WHEN len(list_distinct(list_transform(s, lambda x: x[1] || ' ' || x[2]))) = len(list_distinct(list_transform(s, lambda x: x[1])))
+   AND len(list_distinct(list_transform(s, lambda x: x[1]))) = len(list_distinct(list_transform(s, lambda x: x[2])))
+   AND len(list_filter(s, lambda x: x[3] = '<name>' AND x[1] <> x[2] AND (left(x[4], 1) = lower(left(x[4], 1)) OR left(x[5], 1) = lower(left(x[5], 1))))) = 0 THEN 1 ELSE 2 END) AS kind FROM b GROUP BY ALL)
+SELECT doc_id, item_id, count(*) FILTER (kind = 0) AS literal_windows, count(*) FILTER (kind = 1) AS template_windows FROM c WHERE kind < 2 GROUP BY ALL
+"""
+
 P2_FOUND = """
 WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS a FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
 s AS (SELECT chunk_id, list_distinct(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) AS g FROM c WHERE len(a) >= 20),
@@ -137,5 +156,5 @@ FROM l JOIN b2 USING (lang, source) CROSS JOIN a GROUP BY source
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p9_found": P9_FOUND, "p9_budgets": P9_BUDGETS,
+        "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_leaks": P8_LEAKS, "p9_found": P9_FOUND, "p9_budgets": P9_BUDGETS,
     }

@@ -11,24 +11,33 @@ def run(spark, docs, items, **kw):
 
 def test_literal_and_template(spark):
     docs = [
-        (1, "Note: " + ITEM.upper().replace(" ", "\n ")), (2, ITEM.replace("45", "91").replace("March", "June").replace("Orvane", "Tassim")), (3, "When Orvane Foods stored 45 parcels in March the night shift"), (4, None), (5, ""), (1, ITEM),
-        (6, "asked every harbour lead to move the ledger"), (7, "x " * 5000 + ITEM),
+        (1, "Note: " + ITEM.upper().replace(" ", "\n ")), (2, ITEM.replace("45", "91").replace("March", "June").replace("Orvane", "Zebulon")), (3, "When Orvane Foods stored 45 parcels in March the night shift"), (4, None), (5, ""), (1, ITEM),
+        (6, "asked every harbour lead to move the ledger"), (7, "x " * 5000 + ITEM), (8, ITEM.replace("parcels", "wagons").replace("shift", "owl")),
     ]
-    other = "Tassim keeps the ledger, and the night shift of Tassim asked Orvane twice for 91 parcels; nobody but Tassim answered in June."
-    got = run(spark, docs, [(10, ITEM), (11, None), (12, "short"), (13, other), (10, ITEM)])
+    got = run(spark, docs, [(10, ITEM), (11, None), (12, "short"), (10, ITEM)])  # no item holds the new name
+    assert (8, 10) not in got
     assert got[1, 10][0] > 0 and got[7, 10] == (got[1, 10][0], 0)
     assert (3, 10) not in got and (6, 10) not in got
     assert got[2, 10][0] == 0 and got[2, 10][1] > 0
 
 
-def test_without_sent_hashes(spark):
-    docs = [(1, ITEM), (2, "nothing of it " * 10)]
-    assert run(spark, docs, [(10, ITEM)], most_sent=0, names=frozenset()) == run(spark, docs, [(10, ITEM)], names=frozenset())
-    assert run(spark, [], [(10, ITEM)]) == {} and run(spark, docs, []) == {}
+def test_empty(spark):
+    assert run(spark, [], [(10, ITEM)]) == {} and run(spark, [(1, ITEM)], []) == {}
+
+
+def test_number_tables_are_no_template(spark):
+    row = lambda k: " ".join(str(k * i) for i in range(1, 30))
+    got = run(spark, [(i, row(i)) for i in range(2, 40)], [(10, row(3))])
+    assert set(got) == {(3, 10)}  # the one with the very numbers
+
+
+def test_many_documents_with_one_passage(spark):
+    got = run(spark, [(i, f"{i} {ITEM}") for i in range(400)], [(10, ITEM)])
+    assert len(got) == 400
 
 
 def test_slots_must_agree():
-    names = frozenset({"a", "b"})
-    assert L.consistent(["a", "x", "a", "5"], ["b", "x", "b", "7"], names)
-    assert not L.consistent(["a", "x", "a"], ["b", "x", "a"], names)
-    assert not L.consistent(["a", "x"], ["a", "y"], names)
+    ordinary = L.Marked({"x"}, 12)
+    assert L.consistent(["A", "x", "A", "5"], ["B", "x", "B", "7"], ordinary)
+    assert not L.consistent(["A", "x", "A"], ["B", "x", "A"], ordinary)
+    assert not L.consistent(["A", "x"], ["A", "y"], ordinary) and not L.consistent(["Ann", "x"], ["committee", "x"], ordinary)
