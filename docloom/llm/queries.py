@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from ..session import table
 from . import conversations, leaks, mixing, neardup, neighbours, pairs, pii, scans, sentences, splitter
 
 
+def given_parents(messages: DataFrame) -> DataFrame:
+    """``id, parent`` of the messages: the one before in the session, or another two before (branches), or, as damage,
+    one that is no row (orphans), itself or the next one (cycles)."""
+    w = Window.partitionBy("session_id").orderBy("id")
+    of = messages.where("id is not null and session_id is not null").groupBy("id").agg(F.min("session_id").alias("session_id"))
+    kind = F.pmod(F.col("id"), F.lit(89))
+    parent = F.when(kind == 3, -F.col("id")).when(kind == 5, F.col("id")).when(kind == 7, F.lead("id").over(w)).when(kind > 80, F.lag("id", 2).over(w)).otherwise(F.lag("id").over(w))
+    return of.select("id", parent.alias("parent"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     t = table
     return {
@@ -19,6 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_groups": lambda s, d: neardup.groups(t(s, d, "chunks")),
         "p3_found": lambda s, d: conversations.found(t(s, d, "chat_messages"), t(s, d, "chat_sessions")),
         "p3_conversations": lambda s, d: conversations.conversations(t(s, d, "chat_messages"), t(s, d, "chat_sessions")),
+        "p3_threads": lambda s, d: conversations.resolve(given_parents(t(s, d, "chat_messages"))),
+        "p3_paths": lambda s, d: conversations.paths(given_parents(t(s, d, "chat_messages"))),
         "p4_found": lambda s, d: neighbours.found(t(s, d, "chunk_vectors")),
         "p4_neighbours": lambda s, d: neighbours.neighbours(t(s, d, "chunk_vectors")),
         "p5_found": lambda s, d: pairs.find_defects(t(s, d, "chat_turns")),
@@ -129,6 +142,17 @@ g AS (SELECT s, id, r, content FROM k WHERE (pr IS NULL OR NOT (pr = r AND pc IS
 SELECT s AS session_id, min(id) OVER (PARTITION BY s) AS root, row_number() OVER (PARTITION BY s ORDER BY id) - 1 AS turn, r AS speaker, content, count(*) OVER (PARTITION BY s) AS turns FROM g
 """
 
+_GIVEN = """
+WITH RECURSIVE m AS (SELECT id, min(session_id) AS s FROM chat_messages WHERE id IS NOT NULL AND session_id IS NOT NULL GROUP BY id),
+g AS (SELECT id, CASE id % 89 WHEN 3 THEN -id WHEN 5 THEN id WHEN 7 THEN lead(id) OVER w ELSE CASE WHEN id % 89 > 80 THEN lag(id, 2) OVER w ELSE lag(id) OVER w END END AS parent FROM m WINDOW w AS (PARTITION BY s ORDER BY id)),
+r AS (SELECT g.id, g.id AS root, 0 AS depth, CASE WHEN g.parent IS NULL THEN 'ok' ELSE 'orphan' END AS state FROM g LEFT JOIN g p ON g.parent = p.id WHERE p.id IS NULL
+  UNION ALL SELECT g.id, r.root, r.depth + 1, r.state FROM r JOIN g ON g.parent = r.id)
+"""
+P3_THREADS = _GIVEN + "SELECT g.id, root, depth, coalesce(state, 'cycle') AS state FROM g LEFT JOIN r USING (id)"
+P3_PATHS = _GIVEN + """, x AS (SELECT id AS leaf, id, root, depth FROM r WHERE state = 'ok' AND id NOT IN (SELECT parent FROM g WHERE parent IS NOT NULL AND id IN (SELECT id FROM r WHERE state = 'ok'))
+  UNION ALL SELECT leaf, p.id, x.root, p.depth FROM x JOIN g USING (id) JOIN r p ON p.id = g.parent)
+SELECT leaf, root, depth AS turn, id FROM x"""
+
 # No source lies near its bound, so words and marks stand in for the tokenizer's tokens.
 P9_FOUND = f"""
 WITH d AS (SELECT DISTINCT ON (doc_id) lower(trim(source, {BLANK})) AS source, len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+|[^a-zA-Z\\s]')) AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL),
@@ -156,5 +180,5 @@ FROM l JOIN b2 USING (lang, source) CROSS JOIN a GROUP BY source
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_leaks": P8_LEAKS, "p9_found": P9_FOUND, "p9_budgets": P9_BUDGETS,
+        "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p3_threads": P3_THREADS, "p3_paths": P3_PATHS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_leaks": P8_LEAKS, "p9_found": P9_FOUND, "p9_budgets": P9_BUDGETS,
     }
