@@ -1,7 +1,9 @@
 """The nearest vectors of every vector by randomly rotated one-bit codes.
 
-Coarse cells come from k-means over a bounded sample; every vector is indexed in its nearest cell and asks there and in
-the cells that are nearly as close. Within a cell, vectors lie in short lists around local centroids. A vector's
+Coarse cells come from a bounded sample that is parted by k-means again and again until no part holds much more than its
+share, so that a dense region gets as many cells as it has vectors for; the cells' centroids are grouped in turn, and a
+vector is compared only with the cells of its nearest groups. Every vector is indexed in its nearest cell and asks there
+and in the cells that are nearly as close. Within a cell, vectors lie in short lists around local centroids. A vector's
 residual to its list's centroid is rotated at random and kept as one bit for each dimension, with two correction
 scalars: its length and its inner product with its code. A query's residual is rotated alike and rounded to four bits;
 popcounts of the packed bits then give an estimate of the inner product with a bound on its error. Only vectors whose
@@ -20,30 +22,97 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_collect, cut, kept as held
 
-#: Vectors that a cell should hold, and the bounds on the sample that the cells are fitted on.
+#: Vectors that a cell should hold, sampled vectors for each cell, and the bound on the sample that the cells are fitted on.
 CELL, SAMPLE_FOR_CELL, MOST_SAMPLE = 6000, 40, 200_000
+#: Parts of one split, rows compared with centroids at once, and groups of cells that a vector looks into.
+PARTS, ROWS, GROUPS = 32, 4096, 4
 LIST = 96
 EPSILON = 1.9
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The number of each row's nearest centroid; only ``ROWS`` rows of distances are held at once."""
+    norms, out = (c * c).sum(1)[None, :], np.empty(len(x), np.int64)
+    for s in range(0, len(x), ROWS):
+        out[s : s + ROWS] = (norms - 2 * (x[s : s + ROWS] @ c.T)).argmin(1)
+    return out
+
+
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 6) -> np.ndarray:
     """Centroids of ``x``; empty ones are put onto rows far from their centroid."""
     rng = np.random.default_rng(seed)
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        d = (c * c).sum(1)[None, :] - 2 * (x @ c.T)
-        at = d.argmin(1)
+        at = nearest(x, c)
         n = np.bincount(at, minlength=k)
         order = np.argsort(at, kind="stable")
         some = np.flatnonzero(n)
         c[some] = np.add.reduceat(x[order], (np.cumsum(n) - n)[some], axis=0) / n[some, None]
         if len(some) < k:
-            far = np.argsort(-(d[np.arange(len(x)), at] + (x * x).sum(1)), kind="stable")[: k - len(some)]
+            far = np.argsort(-((x - c[at]) ** 2).sum(1), kind="stable")[: k - len(some)]
             c[np.flatnonzero(n == 0)[: len(far)]] = x[far]
     return c
 
 
+class Cells:
+    """Centroids of cells in groups of near ones."""
+
+    def __init__(self, centres: np.ndarray, seed: int = 31):
+        heads = kmeans(centres, max(1, round(len(centres) ** 0.5)), seed, 8)
+        of = nearest(centres, heads)
+        some = np.unique(of)
+        self.heads, order = heads[some], np.argsort(of, kind="stable")
+        self.centres, of = centres[order], np.searchsorted(some, of[order])
+        self.edges = np.searchsorted(of, np.arange(len(some) + 1))
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, each: int, seed: int = 23) -> Cells:
+        """Cells of about ``each`` sampled rows."""
+        leaves, todo = [], [np.arange(len(sample))]
+        while todo:
+            rows = todo.pop()
+            own = sample[rows]
+            if len(rows) > 1.5 * each:
+                c = kmeans(own, min(PARTS, -(-len(rows) // each)), seed)
+                at = nearest(own, c)
+                order = np.argsort(at, kind="stable")
+                parts = [p for p in np.split(rows[order], np.searchsorted(at[order], np.arange(1, len(c)))) if len(p)]
+                if len(parts) > 1:
+                    todo += parts
+                    continue
+            leaves.append(own.mean(0))
+        cells = cls(np.array(leaves, np.float32))
+        for _ in range(3):
+            at = cells.visits(sample, 1)[0][:, 0]
+            order = np.argsort(at, kind="stable")
+            n = np.bincount(at, minlength=len(cells.centres))
+            some = np.flatnonzero(n)
+            cells = cls((np.add.reduceat(sample[order], (np.cumsum(n) - n)[some], axis=0) / n[some, None]).astype(np.float32))
+        return cells
+
+    def visits(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row its ``most`` nearest cells among those of its nearest groups, nearest first, and their squared
+        distances less the row's own square; -1 and infinity where there are fewer."""
+        wide = min(GROUPS, len(self.heads))
+        cells, gaps = np.full((len(x), wide, most), -1, np.int64), np.full((len(x), wide, most), np.inf, np.float32)
+        for s in range(0, len(x), ROWS):
+            part = x[s : s + ROWS]
+            d = (self.heads * self.heads).sum(1)[None, :] - 2 * (part @ self.heads.T)
+            near = np.argpartition(d, wide - 1, axis=1)[:, :wide] if wide < d.shape[1] else np.tile(np.arange(wide), (len(part), 1))
+            for g in np.unique(near):
+                rows, slot = np.nonzero(near == g)
+                a, b = self.edges[g], self.edges[g + 1]
+                c = self.centres[a:b]
+                own = (c * c).sum(1)[None, :] - 2 * (part[rows] @ c.T)
+                k = min(most, b - a)
+                best = np.argpartition(own, k - 1, axis=1)[:, :k] if k < b - a else np.tile(np.arange(k), (len(rows), 1))
+                cells[s + rows, slot, :k], gaps[s + rows, slot, :k] = best + a, np.take_along_axis(own, best, 1)
+        cells, gaps = cells.reshape(len(x), -1), gaps.reshape(len(x), -1)
+        order = np.argsort(gaps, axis=1, kind="stable")[:, :most]
+        return np.take_along_axis(cells, order, 1), np.take_along_axis(gaps, order, 1)
+
+
 def rotation(dims: int) -> np.ndarray:
     """A random orthogonal matrix, the same everywhere."""
     return np.linalg.qr(np.random.default_rng(97).standard_normal((dims, dims)))[0].astype(np.float32)
@@ -156,7 +225,7 @@ def latest(vectors: DataFrame, dims: int = 64) -> DataFrame:
     return of.where(F.col("v.embedding").isNotNull() & ok).select("chunk_id", F.col("v.embedding").cast("array<float>").alias("embedding"))
 
 
-def neighbours(vectors: DataFrame, k: int = 5, radius: float = 0.25, dims: int = 64, cell: int = CELL, margin: float = 0.12, visits: int = 3, probes: int = 8, reach: float = 0.22) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, radius: float = 0.25, dims: int = 64, cell: int = CELL, margin: float = 0.08, visits: int = 3, probes: int = 8, reach: float = 0.22) -> DataFrame:
     """``chunk_id, other_id, rank, distance``: up to ``k`` nearest others of each chunk within ``radius`` (squared).
 
     ``vectors`` needs ``chunk_id, embedding, embedded_at``; see ``latest`` for what takes part. Ties go to the smaller
@@ -182,23 +251,17 @@ def neighbours(vectors: DataFrame, k: int = 5, radius: float = 0.25, dims: int =
     share = min(1.0, min(MOST_SAMPLE, max(2000, SAMPLE_FOR_CELL * cells)) / max(n, 1))
     picked = kept.where(F.pmod(F.xxhash64("chunk_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("embedding").limit(MOST_SAMPLE).toArrow()
     flat = np.asarray(picked["embedding"].combine_chunks().flatten()) if picked.num_rows else np.zeros(0, np.float32)
-    centres = spark.sparkContext.broadcast(kmeans(flat.reshape(-1, dims).astype(np.float32), cells, 23, 10) if len(flat) else np.zeros((1, dims), np.float32))
+    flat = flat.reshape(-1, dims).astype(np.float32)
+    sent = spark.sparkContext.broadcast(Cells.fit(flat, max(8, round(len(flat) / cells))) if len(flat) else Cells(np.zeros((1, dims), np.float32)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centres.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, dims)
-            d = (c * c).sum(1)[None, :] - 2 * (x @ c.T)
-            near = np.argsort(d, axis=1)[:, :visits] if d.shape[1] <= 64 else np.argpartition(d, visits, axis=1)[:, :visits]
-            g = np.take_along_axis(d, near, 1)
-            best = g.min(1)
-            row, col = np.nonzero(g <= best[:, None] + margin)
+            near, gap = sent.value.visits(np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, dims), visits)
+            row, col = np.nonzero(gap <= gap[:, :1] + margin)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(near[row, col].astype(np.int32)), pa.array(g[row, col] == best[row]), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "home", "chunk_id", "embedding"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int32)), pa.array(col == 0), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "home", "chunk_id", "embedding"])
 
     def inside(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -209,7 +272,7 @@ def neighbours(vectors: DataFrame, k: int = 5, radius: float = 0.25, dims: int =
         return pa.table({"chunk_id": names.take(pa.array(a)), "other_id": names.take(pa.array(b)), "distance": d})
 
     placed = kept.select("chunk_id", "embedding").mapInArrow(assign, "cell int, home boolean, chunk_id string, embedding array<float>")
-    parts = min(4 * cells, max(2000, cells))
+    parts = min(4 * len(sent.value.centres), 20_000)
     hits = placed.repartition(parts, "cell").groupBy("cell").applyInArrow(inside, "chunk_id string, other_id string, distance double")
     # a pair that one side alone came upon counts for both
     both = hits.select(F.explode(F.array(F.struct("chunk_id", "other_id", "distance"), F.struct(F.col("other_id").alias("chunk_id"), F.col("chunk_id").alias("other_id"), "distance"))).alias("h")).select("h.*")

@@ -36,6 +36,20 @@ def test_recall_against_brute_force(spark, cell):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want)
 
 
+def test_dense_regions_get_more_cells():
+    """A third of all vectors close to one place: no cell holds much more than its share, and the nearest cell is found."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.standard_normal((8000, 64)), r.standard_normal((1, 64)) + 0.02 * r.standard_normal((4000, 64))]).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cells = K.Cells.fit(x, 100)
+    near, gap = cells.visits(x, 3)
+    assert np.bincount(near[:, 0]).max() <= 400 and (near[:, 0] >= 0).all() and (np.diff(gap, axis=1) >= 0).all()
+    true = K.nearest(x, cells.centres)
+    assert (near[:, 0] == true).mean() > 0.6 and (near == true[:, None]).any(1).mean() > 0.7
+    one = K.Cells.fit(x[:1], 8)
+    assert one.visits(x[:3], 3)[0].tolist() == [[0, -1, -1]] * 3
+
+
 def test_bounds_hold():
     x = data(3, 400, 5)
     turn = K.rotation(64)
