@@ -1,15 +1,21 @@
 """Near-duplicate texts by signature trees.
 
 A text is the set of its runs of ``width`` words. It gets a signature: a bitmap onto which its tokens are hashed, and
-its size. Texts with the same token set form one class with one representative. Representatives are placed into a
-forest of signature trees: the minimum hashes of a text name, for each of ``bands`` trees, the subtree it belongs to, and
-only there is it compared. A tree's nodes hold the OR of the bitmaps below them and the range of sizes; a traversal of
-node pairs drops every pair whose largest possible overlap cannot reach the threshold. Pairs of leaves that survive the
-same bound on their own bitmaps are verified on the words.
+its size. Texts with the same token set form one class with one representative. Representatives stand in ``bands``
+signature trees. The first level of a tree is an inverted list: its nodes are tokens, and a text stands below the one of
+its tokens that comes first in the tree's own random order. Below that, texts are clustered by their bitmaps and sizes,
+and every node holds the OR of the bitmaps below it and the range of sizes. A dual traversal of each such subtree starts
+with its root against itself and drops every pair of nodes whose largest possible overlap cannot reach the threshold;
+pairs of texts that survive the same bound on their own bitmaps are verified on the words. ``pruning`` reports how many
+node pairs are dropped.
+
+One tree under a single root would compare every node with every other, as the OR of many bitmaps is full; the first
+level is what makes the work grow with the data. Two texts of similarity s stand below the same token in a tree with
+probability s, so a pair is missed by all trees with (1 - s) ** bands; below a token no pair is lost.
 
 A subtree that holds more than ``hot`` texts is cut into blocks of similar size; the blocks' nodes are joined first,
 under the same bound, and only the surviving pairs of blocks are joined with their rows, so that no task ever holds a
-whole subtree and no pair of a subtree is lost.
+whole subtree.
 """
 
 from __future__ import annotations
@@ -27,10 +33,11 @@ from pyspark.sql import functions as F
 from ..session import bounded_collect, cut, kept, wide_partitions
 
 WORD = re.compile(r"[^\W_]+")
-BITS = 256
-LEAF, FAN = 16, 8
-ROWS_PER_BAND = 2
-SAMPLED = 64
+BITS = 1024
+#: Texts of a leaf, children of a node, and texts up to which a subtree is one leaf that is read as it is.
+LEAF, FAN, SMALL = 2, 8, 16
+#: Node pairs looked at together, and the share of texts on which the size of a subtree is estimated.
+AT_ONCE, SAMPLED = 16_384, 64
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,6 +60,11 @@ class Shingler:
                 self.known[w] = n
         return n
 
+    @staticmethod
+    def class_of(tokens: np.ndarray) -> int:
+        """The class of a token set."""
+        return int(_mix(_mix(tokens).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0])
+
     def tokens(self, text: str | None) -> np.ndarray | None:
         """Distinct hashes in order; None for a text with too few words."""
         words = WORD.findall(text.lower()) if text else ()
@@ -70,10 +82,9 @@ class Shingler:
 def signatures(texts: DataFrame, key: str, width: int, least_words: int, bands: int) -> DataFrame:
     """``<key>, cls, n, b0..b3, bands``: class, size, bitmap and tree keys of every text that takes part."""
     fields = ", ".join(["cls long", "n int", *(f"b{i} long" for i in range(BITS // 64)), "bands array<long>"])
-    total = bands * ROWS_PER_BAND
     rng = np.random.default_rng(20240229)
-    factors = rng.integers(1, 1 << 63, total, dtype=np.uint64) | np.uint64(1)
-    shifts = rng.integers(1, 1 << 63, total, dtype=np.uint64)
+    factors = rng.integers(1, 1 << 63, bands, dtype=np.uint64) | np.uint64(1)
+    shifts = rng.integers(1, 1 << 63, bands, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width, least_words)
@@ -92,13 +103,10 @@ def signatures(texts: DataFrame, key: str, width: int, least_words: int, bands:
             marks[row, (flat >> np.uint64(20)) % np.uint64(BITS)] = 1
             bits = np.packbits(marks, axis=1, bitorder="little").view(np.int64)
             cls = _mix(np.add.reduceat(_mix(flat), starts) + n.astype(np.uint64)).view(np.int64)
-            low = np.empty((len(sets), total), np.uint64)
-            for k in range(total):
-                low[:, k] = np.minimum.reduceat(flat * factors[k] ^ (flat >> np.uint64(17)) * shifts[k], starts)
-            keys = low.reshape(len(sets), bands, ROWS_PER_BAND)
-            named = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * MULTIPLY
-            for r in range(ROWS_PER_BAND):
-                named = _mix(named + keys[:, :, r])
+            named = np.empty((len(sets), bands), np.uint64)
+            for k in range(bands):
+                named[:, k] = np.minimum.reduceat(flat * factors[k] ^ (flat >> np.uint64(17)) * shifts[k], starts) 
+            named = _mix(named + np.arange(1, bands + 1, dtype=np.uint64)[None, :] * MULTIPLY)
             lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(a).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(keep)), pa.array(cls), pa.array(n.astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(bits.shape[1])), lists(named)],
@@ -121,6 +129,13 @@ def node_possible(p: tuple, q: tuple, threshold: float) -> np.ndarray:
     return (over * (1 + threshold) >= threshold * (plo + qlo) - 1e-9) & (phi >= threshold * qlo - 1e-9) & (qhi >= threshold * plo - 1e-9)
 
 
+def clustered(bits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """An order in which similar bitmaps, of similar size, stand together: by the first set bits in random orders."""
+    rng, each = np.random.default_rng(7), np.unpackbits(bits.view(np.uint8), axis=1)
+    firsts = [each[:, rng.permutation(each.shape[1])].argmax(1) for _ in range(4)]
+    return np.lexsort((n, *firsts))
+
+
 def build(bits: np.ndarray, n: np.ndarray) -> list[tuple]:
     """Levels of the tree from the leaves up: (OR of bitmaps, smallest size, largest size, tokens beyond bits)."""
     at = np.arange(0, len(bits), LEAF)
@@ -133,49 +148,70 @@ def build(bits: np.ndarray, n: np.ndarray) -> list[tuple]:
     return levels
 
 
-def traverse(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of possible pairs between two trees' rows (bitmaps, sizes), or within one tree if ``b`` is None."""
-    ta, same = build(*a), b is None
-    b = a if same else b
+def traverse(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray] | None, threshold: float, seen: dict[int, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of possible pairs between two trees' rows (bitmaps, sizes), or within one tree if ``b`` is None.
+
+    ``seen`` takes up, by level, the node pairs compared and those dropped; level -1 is pairs of texts.
+    """
+    oa = clustered(*a)
+    a, same = (a[0][oa], a[1][oa]), b is None
+    ob = oa if same else clustered(*b)
+    b = a if same else (b[0][ob], b[1][ob])
+    ta = build(*a)
     tb = ta if same else build(*b)
     while len(ta) < len(tb):
         ta.append(ta[-1])
     while len(tb) < len(ta):
         tb.append(tb[-1])
-    x, y = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    for level in range(len(ta) - 1, -1, -1):
+    seen = {} if seen is None else seen
+
+    def note(level: int, ok: np.ndarray) -> None:
+        count = seen.setdefault(level, [0, 0])
+        count[0] += len(ok)
+        count[1] += len(ok) - int(ok.sum())
+
+    outx, outy = [], []
+    todo = [(len(ta) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:
+        level, x, y = todo.pop()
+        if len(x) > AT_ONCE:
+            todo.append((level, x[AT_ONCE:], y[AT_ONCE:]))
+            x, y = x[:AT_ONCE], y[:AT_ONCE]
         ok = node_possible(tuple(v[x] for v in ta[level]), tuple(v[y] for v in tb[level]), threshold)
+        note(level, ok)
         x, y = x[ok], y[ok]
+        if not len(x):
+            continue
         if level:
-            fx = _kids(x, len(ta[level][1]), len(ta[level - 1][1]))
-            fy = _kids(y, len(tb[level][1]), len(tb[level - 1][1]))
-            x, y = _pairs(fx, fy)
+            x, y = _pairs(_kids(x, len(ta[level][1]), len(ta[level - 1][1])), _kids(y, len(tb[level][1]), len(tb[level - 1][1])))
             if same:
                 keep = x <= y
                 x, y = x[keep], y[keep]
-    sx, sy = [(i * LEAF, min((i + 1) * LEAF, len(a[1]))) for i in x], [(i * LEAF, min((i + 1) * LEAF, len(b[1]))) for i in y]
-    outx, outy = [], []
-    for k in range(0, len(sx), 4096):
-        i, j = _pairs(sx[k : k + 4096], sy[k : k + 4096])
+            todo.append((level - 1, x, y))
+            continue
+        i, j = _pairs(_texts(x, len(a[1])), _texts(y, len(b[1])))
         if same:
             keep = i < j
             i, j = i[keep], j[keep]
         ok = _possible(a[0][i], b[0][j], a[1][i], b[1][j], threshold)
+        note(-1, ok)
         outx.append(i[ok])
         outy.append(j[ok])
-    return (np.concatenate(outx), np.concatenate(outy)) if outx else (np.zeros(0, np.int64),) * 2
+    return (oa[np.concatenate(outx)], ob[np.concatenate(outy)]) if outx else (np.zeros(0, np.int64),) * 2
 
 
-def _kids(nodes: np.ndarray, here: int, below: int) -> list[tuple[int, int]]:
+def _texts(leaves: np.ndarray, count: int) -> np.ndarray:
+    """Ranges of the texts of leaves."""
+    return np.stack([leaves * LEAF, np.minimum((leaves + 1) * LEAF, count)], axis=1)
+
+
+def _kids(nodes: np.ndarray, here: int, below: int) -> np.ndarray:
     """Ranges of child nodes; a level that only repeats the one below has itself as child."""
-    return [(i, i + 1) for i in nodes] if here == below else [(i * FAN, min((i + 1) * FAN, below)) for i in nodes]
+    return np.stack([nodes, nodes + 1], axis=1) if here == below else np.stack([nodes * FAN, np.minimum((nodes + 1) * FAN, below)], axis=1)
 
 
-def _pairs(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(l: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of each left range with the right range at its place."""
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    l, r = np.array(left), np.array(right)
     nl, nr = l[:, 1] - l[:, 0], r[:, 1] - r[:, 0]
     size = nl * nr
     of = np.repeat(np.arange(len(size)), size)
@@ -187,24 +223,27 @@ def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
 
 
-def within_buckets(rows: DataFrame, threshold: float) -> DataFrame:
-    """``a, b`` (classes, a < b) of the possible pairs in each bucket of ``rows(key, cls, n, b0..b3)``."""
+def within_buckets(rows: DataFrame, threshold: float, stats: bool = False) -> DataFrame:
+    """``a, b`` (classes, a < b) of the possible pairs in each bucket of ``rows(key, cls, n, b0..)``; with ``stats`` instead
+    ``level, pairs, dropped`` of the traversals."""
     ordered = rows.repartition(wide_partitions(rows), "key").sortWithinPartitions("key", "n")
 
     def pairs_of(key: np.ndarray, cls: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([starts, [len(key)]]))
-        small = np.repeat(size <= LEAF, size)
-        outs = []
-        for d in range(1, LEAF):
+        small = np.repeat(size <= SMALL, size)
+        outs, seen = [], {}
+        for d in range(1, SMALL):
             i = np.flatnonzero(small[:-d] & (key[d:] == key[:-d]))
             if not len(i):
                 break
             i = i[_possible(bits[i], bits[i + d], n[i], n[i + d], threshold)]
             outs.append(np.stack([cls[i], cls[i + d]]))
-        for s, m in zip(starts[size > LEAF], size[size > LEAF]):
-            i, j = traverse((bits[s : s + m], n[s : s + m]), None, threshold)
+        for s, m in zip(starts[size > SMALL], size[size > SMALL]):
+            i, j = traverse((bits[s : s + m], n[s : s + m]), None, threshold, seen)
             outs.append(np.stack([cls[s + i], cls[s + j]]))
+        if stats:
+            return pa.RecordBatch.from_arrays([pa.array([*seen], pa.int32()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["level", "pairs", "dropped"])
         both = np.concatenate(outs, axis=1) if outs else np.zeros((2, 0), np.int64)
         both = np.unique(np.sort(both[:, both[0] != both[1]], axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
@@ -224,7 +263,7 @@ def within_buckets(rows: DataFrame, threshold: float) -> DataFrame:
         if kept is not None:
             yield pairs_of(kept[0], kept[1], kept[2].astype(np.int64), np.stack(kept[3:], axis=1).view(np.uint64))
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "level int, pairs long, dropped long" if stats else "a long, b long")
 
 
 def between_blocks(rows: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -270,7 +309,8 @@ def candidates(reps: DataFrame, threshold: float, hot: int, block: int) -> DataF
     """``a, b``: class pairs that pass the signature bounds somewhere in the forest."""
     cols = ["cls", "n", *(f"b{i}" for i in range(BITS // 64))]
     rows = reps.select(F.explode("bands").alias("key"), *cols)
-    # A subtree's size is estimated on one text in SAMPLED; both ways below keep every pair of a bucket, so a wrong guess costs only time.
+    # A subtree's size is estimated on one text in SAMPLED; both ways below keep every pair of a subtree, so a wrong guess
+    # costs time only.
     sampled = rows.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("c"))
     hot_keys = cut(sampled.where(F.col("c") * SAMPLED > hot).select("key"))
     if hot_keys.isEmpty():
@@ -299,7 +339,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, l
 
 
 def near_duplicates(
-    texts: DataFrame, key: str = "chunk_id", threshold: float = 0.5, width: int = 3, least_words: int = 20, bands: int = 14, hot: int = 4000, block: int = 2000
+    texts: DataFrame, key: str = "chunk_id", threshold: float = 0.5, width: int = 3, least_words: int = 20, bands: int = 8, hot: int = 4000, block: int = 2000
 ) -> tuple[DataFrame, DataFrame]:
     """Class pairs and membership of ``texts(<key>, text)``.
 
@@ -314,29 +354,50 @@ def near_duplicates(
     reps = sig.drop(key).dropDuplicates(["cls"])
     pairs = cut(candidates(reps, threshold, hot, block).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("representative").alias("_r"))
-    of = wanted.join(texts.select(F.col(key).cast("string").alias("_r"), "text").where("text is not null"), "_r").select("cls", "text").dropDuplicates(["cls"])
-    return verified(pairs, cut(of), threshold, width, least_words), members.join(classes, "cls")
+    given = wanted.join(texts.select(F.col(key).cast("string").alias("_r"), "text").where("text is not null"), "_r").select("cls", "text")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose text is of their class; an id that stands with several texts brings others, too."""
+        shingler = Shingler(width, least_words)
+        for batch in batches:
+            tokens = [shingler.tokens(t) for t in batch.column(1).to_pylist()]
+            yield batch.filter(pa.array([t is not None and shingler.class_of(t) == c for t, c in zip(tokens, batch.column(0).to_pylist())], pa.bool_()))
+
+    of = cut(given.mapInArrow(own, "cls long, text string").dropDuplicates(["cls"]))
+    return verified(pairs, of, threshold, width, least_words), members.join(classes, "cls")
 
 
-def found(chunks: DataFrame, threshold: float = 0.5, expand: int = 1000) -> DataFrame:
+def found(chunks: DataFrame, threshold: float = 0.5, shown: int = 64) -> DataFrame:
     """``chunk_id_a, chunk_id_b``, a < b, of different chunks whose texts reach the threshold.
 
-    All members of a class and of paired classes are paired. A class with more than ``expand`` exact copies is given as
-    links of its copies to its representative, which alone stands for it in pairs with other classes.
+    Of a class of exact copies the first ``shown`` ids stand in pairs with one another and with those of the classes
+    that it is linked to; each further copy is given by its link to the first, as ``groups`` gives all. No link between
+    different texts is lost by that.
     """
     pairs, members = near_duplicates(chunks, threshold=threshold)
     members = cut(members)
-    shown = members.where((F.col("copies") <= expand) | (F.col("chunk_id") == F.col("representative"))).select("cls", "chunk_id")
-    x, y = shown.select(F.col("cls").alias("a"), F.col("chunk_id").alias("x")), shown.select(F.col("cls").alias("b"), F.col("chunk_id").alias("y"))
+    several = members.where("copies > 1")
+    ranked = several.withColumn("_n", F.row_number().over(Window.partitionBy("cls").orderBy("chunk_id"))).select("cls", "chunk_id", "representative", "_n")
+    first = members.where("copies = 1").select("cls", "chunk_id").unionByName(ranked.where(F.col("_n") <= shown).select("cls", "chunk_id"))
+    x, y = first.select(F.col("cls").alias("a"), F.col("chunk_id").alias("x")), first.select(F.col("cls").alias("b"), F.col("chunk_id").alias("y"))
     across = pairs.join(x, "a").join(y, "b").select("x", "y")
-    several = members.where(f"copies > 1 and copies <= {expand}").select("cls", "chunk_id")
-    inside = several.withColumnRenamed("chunk_id", "x").join(several.withColumnRenamed("chunk_id", "y"), "cls").where("x < y").select("x", "y")
-    star = members.where(f"copies > {expand} and chunk_id <> representative").select(F.col("representative").alias("x"), F.col("chunk_id").alias("y"))
-    return across.unionByName(inside).unionByName(star).select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
+    some = ranked.where(F.col("_n") <= shown).select("cls", "chunk_id")
+    inside = some.withColumnRenamed("chunk_id", "x").join(some.withColumnRenamed("chunk_id", "y"), "cls").where("x < y").select("x", "y")
+    more = ranked.where(F.col("_n") > shown).select(F.col("representative").alias("x"), F.col("chunk_id").alias("y"))
+    return across.unionByName(inside).unionByName(more).select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
+
+
+def pruning(chunks: DataFrame, threshold: float = 0.5, width: int = 3, least_words: int = 20, bands: int = 8) -> DataFrame:
+    """``level, pairs, dropped``: node pairs that the dual traversals compare and drop, leaves being level 0 and pairs of
+    texts level -1. Subtrees of any size are read as a whole here."""
+    reps = signatures(chunks.where("chunk_id is not null and text is not null"), "chunk_id", width, least_words, bands).drop("chunk_id").dropDuplicates(["cls"])
+    rows = reps.select(F.explode("bands").alias("key"), "cls", "n", *(f"b{i}" for i in range(BITS // 64)))
+    return within_buckets(rows, threshold, stats=True).groupBy("level").agg(F.sum("pairs").alias("pairs"), F.sum("dropped").alias("dropped"))
 
 
 def groups(chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row for each chunk that takes part: ``chunk_id, cls, copies, links`` (classes that its class is linked to)."""
+    """One row for each chunk that takes part: ``chunk_id, representative, copies, links``: the smallest id of its class,
+    the class's size, and the other classes that the class is linked to."""
     pairs, members = near_duplicates(chunks, threshold=threshold)
     links = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    return members.join(links, "cls", "left").select("chunk_id", "cls", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(links, "cls", "left").select("chunk_id", "representative", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_repaired": lambda s, d: scans.repair(t(s, d, "segments")),
         "p2_found": lambda s, d: neardup.found(t(s, d, "chunks")),
         "p2_groups": lambda s, d: neardup.groups(t(s, d, "chunks")),
+        "p2_pruning": lambda s, d: neardup.pruning(t(s, d, "chunks")),
         "p3_found": lambda s, d: conversations.found(t(s, d, "chat_messages"), t(s, d, "chat_sessions")),
         "p3_conversations": lambda s, d: conversations.conversations(t(s, d, "chat_messages"), t(s, d, "chat_sessions")),
         "p3_threads": lambda s, d: conversations.resolve(given_parents(t(s, d, "chat_messages"))),
@@ -121,6 +122,23 @@ p AS (SELECT l.chunk_id AS a, r.chunk_id AS b, count(*) AS k FROM x l JOIN x r O
 SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n na ON na.chunk_id = a JOIN n nb ON nb.chunk_id = b WHERE k >= 0.5 * (na.n + nb.n - k)
 """
 
+P2_GROUPS = """
+WITH c AS (SELECT DISTINCT ON (chunk_id) chunk_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS a FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT chunk_id, list_sort(list_distinct(list_transform(range(1, len(a) - 1), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]))) AS g FROM c WHERE len(a) >= 20),
+k AS (SELECT min(chunk_id) AS r, count(*) AS copies, g FROM s GROUP BY g),
+n AS (SELECT r, len(g) AS n FROM k), x AS (SELECT r, unnest(g) AS w FROM k),
+p AS (SELECT l.r AS a, q.r AS b, count(*) AS k FROM x l JOIN x q ON l.w = q.w AND l.r <> q.r GROUP BY ALL HAVING count(*) > 6),
+l AS (SELECT a AS r, count(*) AS links FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE k >= 0.5 * (na.n + nb.n - k) GROUP BY a)
+SELECT s.chunk_id, k.r AS representative, k.copies, coalesce(links, 0) AS links FROM s JOIN k USING (g) LEFT JOIN l ON l.r = k.r
+"""
+
+P4_NEIGHBOURS = """
+WITH l AS (SELECT chunk_id, arg_max({'v': embedding}, coalesce(embedded_at, TIMESTAMP '1970-01-01')) AS r FROM chunk_vectors WHERE chunk_id IS NOT NULL GROUP BY 1),
+v AS (SELECT chunk_id, r.v::DOUBLE[] AS e FROM l WHERE len(r.v) = 64 AND len(list_filter(r.v, lambda x: x <> 0)) > 0 AND len(list_filter(r.v, lambda x: x IS NULL)) = 0),
+d AS (SELECT p.chunk_id AS a, q.chunk_id AS b, list_sum(list_transform(list_zip(p.e, q.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d FROM v p JOIN v q ON p.chunk_id <> q.chunk_id AND list_distance(p.e, q.e) < 0.51)
+SELECT a AS chunk_id, b AS other_id, row_number() OVER (PARTITION BY a ORDER BY d, b)::INT AS rank, round(d, 5) AS distance FROM d WHERE d <= 0.25 QUALIFY rank <= 5
+"""
+
 P4_FOUND = """
 WITH l AS (SELECT chunk_id, arg_max({'v': embedding}, coalesce(embedded_at, TIMESTAMP '1970-01-01')) AS r FROM chunk_vectors WHERE chunk_id IS NOT NULL GROUP BY 1),
 v AS (SELECT chunk_id, r.v::DOUBLE[] AS e FROM l WHERE len(r.v) = 64 AND len(list_filter(r.v, lambda x: x <> 0)) > 0 AND len(list_filter(r.v, lambda x: x IS NULL)) = 0),
@@ -180,5 +198,5 @@ FROM l JOIN b2 USING (lang, source) CROSS JOIN a GROUP BY source
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p3_threads": P3_THREADS, "p3_paths": P3_PATHS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_leaks": P8_LEAKS, "p9_found": P9_FOUND, "p9_budgets": P9_BUDGETS,
+        "p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p3_threads": P3_THREADS, "p3_paths": P3_PATHS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_leaks": P8_LEAKS, "p9_found": P9_FOUND, "p9_budgets": P9_BUDGETS,
     }

@@ -87,8 +87,27 @@ def test_cases(spark):
     assert N.found(df.limit(0)).count() == 0
 
 
-def test_many_copies_become_a_star(spark):
+def test_copies_beyond_the_shown_ones_are_linked(spark):
     long = " ".join(f"t{i}" for i in range(30))
     df = spark.createDataFrame([(f"c{i}", long) for i in range(9)] + [("d", long + " one more")], "chunk_id string, text string")
-    got = {(r.chunk_id_a, r.chunk_id_b) for r in N.found(df, expand=4).collect()}
-    assert got == {("c0", f"c{i}") for i in range(1, 9)} | {("c0", "d")}
+    got = {(r.chunk_id_a, r.chunk_id_b) for r in N.found(df, shown=4).collect()}
+    first = [f"c{i}" for i in range(4)]
+    assert got == {(a, b) for a in first for b in first if a < b} | {(a, "d") for a in first} | {("c0", f"c{i}") for i in range(4, 9)}
+    assert {(r.chunk_id, r.copies, r.links) for r in N.groups(df).collect()} == {(f"c{i}", 9, 1) for i in range(9)} | {("d", 1, 1)}
+
+
+def test_an_id_with_several_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [("a", one), ("a", two), ("a", "too short"), ("b", one + " end"), ("c", two + " end")]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    assert len({(r.chunk_id_a, r.chunk_id_b) for r in N.found(df).collect()} & {("a", "b"), ("a", "c")}) == 1
+
+
+def test_trees_drop_most_node_pairs(spark):
+    """Texts that share an opening, and so a node, but little else."""
+    r, words = random.Random(9), [f"w{i}" for i in range(5000)]
+    start = " ".join(words[:12])
+    texts = [(f"c{i:04d}", start + " " + " ".join(r.choice(words) for _ in range(90))) for i in range(4000)]
+    out = {x.level: x for x in N.pruning(spark.createDataFrame(texts, "chunk_id string, text string")).collect()}
+    pairs, dropped = (sum(x[c] for k, x in out.items() if k >= 0) for c in ("pairs", "dropped"))
+    assert dropped > 0.9 * pairs
