@@ -1,12 +1,14 @@
 """Repair of text read from scanned pages.
 
-Lines are labelled by a hidden Markov model as header, page number, body or break. Its symbols are layout features: the
-place on the page, whether the line looks like a title, a sentence or a form label, whether it carries the page's own
-number, and whether the same line, with misread letters and numbers folded away, stands at the edge of at least three
-pages of the file. Its probabilities are counted on pages drawn from a small page grammar (``drawn_pages``).
+Every line of a page is labelled by a hidden Markov model: header, page number, first line of a paragraph, one that goes
+on, break, or the label or value of a form. Its symbols are layout features: the place on the page, whether the line looks like a title, a sentence or
+a form label, whether it carries the page's own number, whether the same line, with misread letters and numbers folded
+away, stands outside the sentences of at least three pages of the file, how the line opens, and how full and how ended
+the line before it is. Its probabilities are counted on drawn pages (``drawn_pages``). Headers and page numbers are
+dropped, and paragraphs are put together as labelled.
 
 Words are judged by the corpus itself: how many pages hold a word, within lines, tells a broken word from a compound
-broken at its own hyphen, and a misread word from an ordinary one.
+broken at its own hyphen, and a misread word from an ordinary one. The counts are kept in a table of fixed size.
 """
 
 from __future__ import annotations
@@ -21,17 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_collect, cut
+from ..session import cut
+from .sketch import slot
 
 # Characters and pairs that scanners confuse, wrong one first.
 SINGLE = {"0": "o", "1": "l", "5": "s", "8": "b", "6": "g", "!": "i", "†": "t", "@": "a", "$": "s", "€": "e", "|": "l", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
 DOUBLE = (("c", "e"), ("rn", "m"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("m", "rn"), ("h", "li"), ("d", "cl"), ("u", "ii"), ("e", "c"), ("ri", "n"), ("nn", "m"))
 HYPHENS = "-‐‑\xad"
-#: A word counts as known if it stands on this share of all pages, and on ``LEAST_PAGES`` at least. As a page of P
-#: words adds P to the counts, at most P / SHARE words are known, however many pages there are.
-SHARE, LEAST_PAGES = 1 / 20_000, 4
-MOST_WORDS = 5_000_000
-EDGE = 3
+#: A word counts as known from this number of pages on. Slots of the table of counts, and steps of it to a doubling.
+LEAST_PAGES, SLOT_BITS, STEPS = 4, 22, 8
 
 BROKEN = re.compile(rf"(?<=[^\W\d_])([{HYPHENS}])[ \t\r]*\n[ \t]*(?=[^\W\d_])")
 TOKEN_END, TOKEN_START = re.compile(r"[^\W\d_]+$"), re.compile(r"([^\W\d_]+)(\S*)")
@@ -43,6 +43,7 @@ NUMBER_LINE = re.compile(rf"^\W*{PAGE_WORD}?\s*(\d+)(?:\s*(?:/|of|von|de|sur|и
 NUMBER_TAIL = re.compile(rf"(?:\s{{2,}}|\s*[|·•/—–-]\s*|\s+(?={PAGE_WORD}))\W*{PAGE_WORD}?\s*(\d+)(?:\s*(?:/|of|von|de|sur|из)\s*\d+)?\W*$", re.I)
 NUMBER_HEAD = re.compile(rf"^\W*{PAGE_WORD}?\s*(\d+)(?:\s*(?:/|of|von|de|sur|из)\s*\d+)?(?:\s{{2,}}|\s*[|·•/—–]\s*)", re.I)
 LABEL = re.compile(r"^[^\W\d_][^.!?|\d]{1,38}$")
+LABEL_VALUE = re.compile(r"^[^\W\d_][^.!?:|]{1,30}:\s")
 
 
 # --- words ---------------------------------------------------------------------------------------------------------
@@ -62,37 +63,71 @@ def words_of(text: str) -> set[str]:
     return out
 
 
-def vocabulary(segments: DataFrame) -> dict[str, int]:
-    """Pages on which each known word stands; see ``SHARE`` for the bound."""
+class Pages:
+    """How many pages hold each known word, to within a tenth, in a table of fixed size.
+
+    Words whose hashes fall into one slot share the count of the more frequent. As words are judged by large ratios of
+    counts, the small counts that most words have do little harm to one another, however many words there are.
+    """
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.known: dict[str, int] = {}
+
+    @classmethod
+    def of(cls, counts: dict[str, int]) -> Pages:
+        table = np.zeros(1 << SLOT_BITS, np.uint8)
+        for w, n in counts.items():
+            table[slot(w, SLOT_BITS)] = max(table[slot(w, SLOT_BITS)], round(np.log2(n) * STEPS) + 1)
+        return cls(table)
+
+    def get(self, word: str, default: int = 0) -> int:
+        n = self.known.get(word)
+        if n is None:
+            step = int(self.table[slot(word, SLOT_BITS)])
+            n = round(2 ** ((step - 1) / STEPS)) if step else 0
+            if len(self.known) < 500_000:
+                self.known[word] = n
+        return n or default
+
+    def __getitem__(self, word: str) -> int:
+        return self.get(word)
+
+    def __contains__(self, word: str) -> bool:
+        return self.get(word) > 0
+
+    def __reduce__(self):
+        return Pages, (self.table,)
+
+
+def vocabulary(segments: DataFrame) -> Pages:
+    """Pages on which each word stands that ``LEAST_PAGES`` or more hold. At most ``2 ** SLOT_BITS`` rows of a slot and
+    a byte reach the driver, whatever the data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
-        pages = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 counts.update(words_of(text))
-                pages += 1
             if len(counts) > 300_000:
-                yield out(counts, 0)
+                yield out(counts)
                 counts = Counter()
-        yield out(counts, pages)
+        yield out(counts)
 
-    def out(counts: Counter[str], pages: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([*counts, ""], pa.string()), pa.array([*counts.values(), pages], pa.int64())], names=["word", "pages"])
+    def out(counts: Counter[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([*counts], pa.string()), pa.array([slot(w, SLOT_BITS) for w in counts], pa.int32()), pa.array([*counts.values()], pa.int64())], names=["word", "slot", "pages"])
 
-    counts = cut(segments.select("text").where("text is not null").mapInArrow(run, "word string, pages long").groupBy("word").agg(F.sum("pages").alias("pages")))
-    total = counts.where("word = ''").select("pages").first()
-    least = max(LEAST_PAGES, (total.pages if total else 0) * SHARE)
-    rows = bounded_collect(counts.where((F.col("word") != "") & (F.col("pages") >= least)), MOST_WORDS)
-    if rows is None:
-        raise ValueError("pages of more than 250 distinct words on average; lower SHARE")
-    return {r.word: r.pages for r in rows}
+    counts = segments.select("text").where("text is not null").mapInArrow(run, "word string, slot int, pages long").groupBy("slot", "word").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    rows = counts.groupBy("slot").agg((F.round(F.log2(F.max("pages")) * STEPS) + 1).cast("short").alias("step")).toArrow()
+    table = np.zeros(1 << SLOT_BITS, np.uint8)
+    table[rows["slot"].to_numpy()] = rows["step"].to_numpy()
+    return Pages(table)
 
 
 class Words:
     """Judges words by the pages they stand on."""
 
-    def __init__(self, known: dict[str, int], ratio: int = 8, known_ratio: int = 40):
+    def __init__(self, known: Pages, ratio: int = 8, known_ratio: int = 40):
         # a misreading that is common enough to be known itself must be far rarer than the word it stands for
         self.known, self.ratio, self.known_ratio, self.memo = known, ratio, known_ratio, {}
         self.judged: dict[str, tuple[str, str] | None] = {}
@@ -223,154 +258,209 @@ def line_symbol(line: str, before: str, page: int | None) -> tuple[str, str | No
     return ("n" if numbered else "t"), folded(rest)
 
 
-STATES = ("header", "number", "body", "break")
+STATES = ("header", "number", "first", "more", "break", "label", "value")
+HEADER, NUMBER, FIRST, MORE, BREAK, FIELD, VALUE = range(7)
+#: Symbols of lines that can be page furniture.
+MARGIN = "bpnt"
 
 
-def drawn_pages(count: int = 4000, seed: int = 5) -> list[list[tuple[str, str]]]:
-    """Labelled edge sequences of (symbol, state) from a page grammar: furniture above and below, then body.
+def read_page(text: str, page: int | None) -> tuple[str, str, list[str | None]]:
+    """Symbol, cue and key of every line of a page.
 
-    Symbols in capitals are title-like lines that recur in their file.
+    The cue is a letter for how the line opens (small letter, capital, number, item mark), how full the text line before
+    it is, and whether that one ends a sentence. Keys are given outside the page's sentences only, where furniture can
+    stand: before the first and behind the last line that is one.
+    """
+    lines = text.split("\n")
+    symbols, cues, keys = [], [], []
+    width = max(map(len, lines))
+    before, last = "", ""
+    for line in lines:
+        s, key = line_symbol(line, last, page)
+        line = line.strip()
+        opens = 3 if line[:1] in ("|", "#", "*", "•", "-") and line[1:2] in (" ", "#") or LABEL_VALUE.match(line) else 0 if line[:1].islower() else 1 if not line[:1].isdigit() else 2
+        full = 0 if not before else 1 if len(before) < 0.6 * width or width < 45 else 2
+        cues.append(chr(65 + opens * 6 + full * 2 + (before[-1:] in ".!?:。！？।") if line else 90))
+        symbols.append(s), keys.append(key)
+        last = line
+        before = line if s != "p" else before
+    inner = [i for i, s in enumerate(symbols) if s not in MARGIN]
+    if inner:
+        keys[inner[0] : inner[-1] + 1] = [None] * (inner[-1] + 1 - inner[0])
+    return "".join(symbols), "".join(cues), keys
+
+
+def placed(symbols: str) -> list[str]:
+    """Symbols with their place: outermost line of the page (0), behind nothing but furniture (1), or inside (2)."""
+    n = len(symbols)
+    out = [""] * n
+    for order in (range(n), range(n - 1, -1, -1)):
+        state = "0"
+        for i in order:
+            s = symbols[i]
+            out[i] = min(out[i] or "2", state)
+            if s != "b":
+                state = max(state, "1") if s in "pNTn" else "2"
+    return [s + p for s, p in zip(symbols, out)]
+
+
+def drawn_pages(count: int = 3000, seed: int = 5) -> list[tuple[str, str, list[int]]]:
+    """Labelled pages: placed-to-be symbols (capitals for lines that recur in the file), cues, and the state of each line.
+
+    A page has furniture above and below or not, and between it headings, wrapped paragraphs, lists, forms and tables.
     """
-    rng, out = random.Random(seed), []
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    out = []
     for _ in range(count):
-        head, number, at_top = rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.6
-        def furniture(has_head: bool, has_number: bool) -> list[tuple[str, str]]:
+        page, width = rng.randint(1, 90), rng.randint(48, 100)
+        body: list[tuple[str, int, bool]] = []  # line, state, whether it recurs
+
+        def paragraph() -> None:
+            text = " ".join(words(rng.randint(4, 12)).capitalize() + rng.choice("....?") for _ in range(rng.randint(1, 6)))
+            if rng.random() < 0.15:
+                body.append((text, FIRST, False))
+                return
+            line, state = "", FIRST
+            for w in text.split():
+                if line and len(line) + len(w) + 1 > width:
+                    if len(w) > 5 and rng.random() < 0.3 and len(line) + 4 < width:
+                        line, w = f"{line} {w[:3]}-", w[3:]
+                    body.append((line, state, False))
+                    line, state = w, MORE
+                else:
+                    line = f"{line} {w}".strip()
+            body.append((line, state, False))
+
+        def form() -> None:
+            recurs = rng.random() < 0.5  # the labels of a form stand on many pages of a file
+            for _ in range(rng.randint(2, 7)):
+                label, value = words(rng.randint(1, 2)).capitalize(), rng.choice([words(2).title(), str(rng.randint(1, 99)), str(page), f"{rng.randint(1, 99)},{rng.randint(100, 999)}"])
+                if rng.random() < 0.5:
+                    body.append((f"{label}: {value}", FIRST, False))
+                else:
+                    body.append((label, FIELD, recurs)), body.append((value, VALUE, False))
+
+        def listed() -> None:
+            for _ in range(rng.randint(2, 6)):
+                body.append((rng.choice(["- ", "* ", "• "]) + words(rng.randint(2, 6)), FIRST, False))
+
+        for _ in range(rng.randint(1, 4)):
+            if body and rng.random() < 0.7:
+                body += [("", BREAK, False)] * rng.randint(1, 2)
+            if rng.random() < 0.25:
+                body.append((rng.choice(["# ", ""]) + words(rng.randint(1, 4)).title(), FIRST, rng.random() < 0.05))
+                if rng.random() < 0.5:
+                    body.append(("", BREAK, False))
+            rng.choice([paragraph, paragraph, paragraph, paragraph, form, listed])()
+        head, number, at_top, number_top = rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.6, rng.random() < 0.3
+        together = head and number and at_top == number_top and rng.random() < 0.6
+        folio = rng.choice([f"{page}", f"Page {page}", f"- {page} -", f"p. {page}", f"{page} / 90"])
+
+        def furniture(has_head: bool, has_number: bool) -> list[tuple[str, int, bool]]:
             lines = []
-            together = has_head and has_number and rng.random() < 0.4
-            if has_head:
-                lines.append((("N" if together else "T") if rng.random() < 0.93 else ("n" if together else "t"), "header"))
+            for _ in range(rng.choice([1, 1, 1, 1, 1, 1, 2, 3, 4]) if has_head and not together else int(has_head)):
+                title = words(rng.randint(1, 3)).title()
+                title = rng.choice([title, title.lower(), title.upper(), f"{title} {words(2)}", f"{title}: {words(2).title()}", f"{words(2)} {rng.randint(1, 3000)}: {title}", f"{title} — {words(2)}", f"{title} / {words(1)}", f"{title} | {words(2)}", f"{title} (rev. {rng.choice('ABC')})", f"{rng.randint(1, 30)}. {title}"])
+                lines.append((title + (rng.choice(["  ", " | ", " - ", " · "]) + folio if together else ""), HEADER, rng.random() < 0.95))
             if has_number and not together:
-                lines.append(("p", "number"))
+                lines.append((folio, NUMBER, False))
             rng.shuffle(lines)
             return lines
-        number_top = rng.random() < 0.3
-        top = furniture(head and at_top, number and number_top)
-        low = furniture(head and not at_top, number and not number_top)
-        body = [("s" if rng.random() < 0.55 else "t", "body") for _ in range(rng.randint(1, 8))]
-        if rng.random() < 0.06:
-            body[rng.randrange(len(body))] = ("T", "body")
-        if rng.random() < 0.1:
-            body.append(("v", "body"))
-        if rng.random() < 0.3:
-            body.insert(rng.randrange(len(body) + 1), ("b", "break"))
-        gap = lambda: [("b", "break")] if rng.random() < 0.5 else []
-        page = top + (gap() if top else []) + body + (gap() if low else []) + low
-        out.append(page if len(page) <= 2 * EDGE else [*page[:EDGE], ("…", "body"), *page[-EDGE:]])
+
+        top, low = furniture(head and at_top, number and number_top), furniture(head and not at_top, number and not number_top)
+        gap = lambda: [("", BREAK, False)] * (rng.random() < 0.5)
+        lines = top + (gap() if top else []) + body + (gap() if low else []) + low
+        symbols, cues, keys = read_page("\n".join(l for l, _, _ in lines), page)
+        out.append(("".join(c.upper() if recurs and k else c for c, k, (_, _, recurs) in zip(symbols, keys, lines)), cues, [x for _, x, _ in lines]))
     return out
 
 
 class LineModel:
-    """Hidden Markov model over a page's edge lines; place at the edge is part of the symbol."""
+    """Hidden Markov model over all lines of a page; a line shows a symbol with its place, and a cue."""
 
-    def __init__(self, pages: list[list[tuple[str, str]]] | None = None):
+    def __init__(self, pages: list[tuple[str, str, list[int]]] | None = None):
         pages = drawn_pages() if pages is None else pages
         n = len(STATES)
-        start, end, move, emit = np.ones(n), np.ones(n), np.full((n, n), 0.5), [Counter() for _ in STATES]
-        seen = set()
-        for page in pages:
-            symbols = self.placed("".join(s for s, _ in page))
-            states = [STATES.index(x) for _, x in page]
+        start, end, move = np.ones(n), np.ones(n), np.full((n, n), 0.5)
+        emit, hint = [Counter() for _ in STATES], [Counter() for _ in STATES]
+        for symbols, cues, states in pages:
             start[states[0]] += 1
             end[states[-1]] += 1
             for a, b in zip(states, states[1:]):
                 move[a, b] += 1
-            for s, x in zip(symbols, states):
+            for s, c, x in zip(placed(symbols), cues, states):
                 emit[x][s] += 1
-                seen.add(s)
+                hint[x][c] += 1
+        share = lambda counts: {k: np.array([np.log((c[k] + 0.02) / (c.total() + 0.02 * len(seen))) for c in counts], np.float32) for seen in [set().union(*counts)] for k in seen}
         self.start, self.end, self.move = np.log(start / start.sum()), np.log(end / end.sum()), np.log(move / move.sum(1, keepdims=True))
-        self.emit = {s: np.array([np.log((emit[x][s] + 0.02) / (sum(emit[x].values()) + 0.02 * len(seen))) for x in range(n)]) for s in seen}
-        self.memo: dict[str, tuple[str, ...]] = {}
-
-    @staticmethod
-    def placed(symbols: str) -> list[str]:
-        """Symbols with their place: the outermost line of an edge, the next behind furniture, or the inside."""
-        out = []
-        for i, s in enumerate(symbols):
-            above, below = symbols[:i], symbols[i + 1 :]
-            edge = not above.strip("b") or not below.strip("b")
-            near = not edge and (not above.strip("bpNTn") or not below.strip("bpNTn"))
-            out.append(s + ("0" if edge else "1" if near else "2"))
+        self.emit, self.hint = share(emit), share(hint)
+        self.other = np.full(n, -6.0, np.float32)
+        self.memo: dict[tuple[str, str], np.ndarray] = {}
+
+    def _shown(self, s: str, c: str) -> np.ndarray:
+        if (s, c) not in self.memo:
+            self.memo[s, c] = self.emit.get(s, self.other) + self.hint.get(c, self.other)
+        return self.memo[s, c]
+
+    def label(self, pages: list[tuple[str, str]]) -> list[np.ndarray]:
+        """The most likely states (Viterbi) of the lines of several pages of symbols and cues."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pages)
+        order = sorted(range(len(pages)), key=lambda i: len(pages[i][0]))
+        for k in range(0, len(order), 256):
+            own = order[k : k + 256]
+            sizes = np.array([len(pages[i][0]) for i in own])
+            rows = np.zeros((len(own), sizes[-1], len(STATES)), np.float32)
+            for r, i in enumerate(own):
+                rows[r, : sizes[r]] = [self._shown(s, c) for s, c in zip(placed(pages[i][0]), pages[i][1])]
+            score, back = self.start + rows[:, 0], np.zeros((sizes[-1], len(own), len(STATES)), np.int8)
+            for t in range(1, sizes[-1]):
+                step = score[:, :, None] + self.move
+                on = (t < sizes)[:, None]
+                back[t] = np.where(on, step.argmax(1), np.arange(len(STATES)))
+                score = np.where(on, step.max(1) + rows[:, t], score)
+            states = np.empty((sizes[-1], len(own)), np.int64)
+            states[-1] = (score + self.end).argmax(1)
+            for t in range(sizes[-1] - 1, 0, -1):
+                states[t - 1] = back[t][np.arange(len(own)), states[t]]
+            for r, i in enumerate(own):
+                out[i] = states[: sizes[r], r]
         return out
 
-    def label(self, symbols: str) -> tuple[str, ...]:
-        """The most likely states (Viterbi)."""
-        if symbols not in self.memo:
-            rows = [self.emit.get(s, np.full(len(STATES), -6.0)) for s in self.placed(symbols)]
-            score, back = self.start + rows[0], []
-            for r in rows[1:]:
-                step = score[:, None] + self.move
-                back.append(step.argmax(0))
-                score = step.max(0) + r
-            state = int((score + self.end).argmax())
-            path = [state]
-            for b in reversed(back):
-                path.append(state := int(b[state]))
-            self.memo[symbols] = tuple(STATES[x] for x in reversed(path))
-        return self.memo[symbols]
-
-
-def edge_places(lines: list[str]) -> list[int]:
-    """Line numbers of the page's edges: from the first and to the last line with text, ``EDGE`` such lines each."""
-    full = [i for i, l in enumerate(lines) if l.strip()]
-    if not full:
-        return []
-    if len(full) <= 2 * EDGE:
-        return list(range(full[0], full[-1] + 1))
-    return [*range(full[0], full[EDGE - 1] + 1), -1, *range(full[-EDGE], full[-1] + 1)]
-
-
-def squeeze(symbols: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """Runs of blank lines as one."""
-    return [x for i, x in enumerate(symbols) if x[1] != "b" or i == 0 or symbols[i - 1][1] != "b"]
-
 
 def labelled(segments: DataFrame) -> DataFrame:
-    """``document_id, header, page_number, drop``: whether a page carries furniture, and its line numbers."""
+    """``document_id, header, page_number, states``: whether a page carries furniture, and the state of each line."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, source, page, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                lines = text.split("\n")
-                symbols, keys, places = [], [], []
-                for i in edge_places(lines):
-                    if i < 0:
-                        symbols.append("…"), keys.append(None), places.append(-1)
-                        continue
-                    s, k = line_symbol(lines[i], lines[i - 1] if i else "", page)
-                    if s == "b" and symbols and symbols[-1] == "b":
-                        continue
-                    symbols.append(s), keys.append(k), places.append(i)
-                rows.append((doc, source, "".join(symbols), keys, places))
+            rows = [(doc, source, *read_page(text, page)) for doc, source, page, text in zip(*(batch.column(i).to_pylist() for i in range(4)))]
+            rows = [(doc, source, symbols, cues, sorted({k for k in keys if k}), keys) for doc, source, symbols, cues, keys in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32())))],
-                names=["document_id", "source_name", "symbols", "keys", "places"],
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())))] + [pa.array([[r[4].index(k) if k else -1 for k in r[5]] for r in rows], pa.list_(pa.int32()))],
+                names=["document_id", "source_name", "symbols", "cues", "keys", "of"],
             )
 
-    pages = segments.where("text is not null and page_number is not null and document_id is not null").select("document_id", F.coalesce("source_name", F.lit("")), "page_number", "text")
-    at = cut(pages.mapInArrow(edges, "document_id string, source_name string, symbols string, keys array<string>, places array<int>").dropDuplicates(["document_id"]))
-    keys = at.select("document_id", "source_name", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
+    pages = segments.where("text is not null and document_id is not null").select("document_id", F.coalesce("source_name", F.lit("")), "page_number", "text")
+    at = cut(pages.mapInArrow(edges, "document_id string, source_name string, symbols string, cues string, keys array<string>, of array<int>").dropDuplicates(["document_id"]))
+    keys = at.select("document_id", "source_name", F.explode("keys").alias("key"))
     often = keys.groupBy("source_name", "key").agg(F.count("*").alias("pages")).where("pages >= 3").drop("pages")
-    known = keys.join(often, ["source_name", "key"], "left_semi").groupBy("document_id").agg(F.collect_list("key").alias("often"))  # at most six a page
+    known = keys.join(often, ["source_name", "key"], "left_semi").groupBy("document_id").agg(F.collect_list("key").alias("often"))  # of one page's lines
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = LineModel()
         for batch in batches:
-            rows = []
-            for doc, symbols, keys, places, often in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if not symbols:
-                    continue
-                often = set(often or ())
-                symbols = "".join(s.upper() if k in often else s for s, k in zip(symbols, keys))
-                states = model.label(symbols)
-                header = any(s in "TN" and x == "header" for s, x in zip(symbols, states))
-                number = any(s == "p" and x == "number" or s in "Nn" and x == "header" for s, x in zip(symbols, states))
-                rows.append((doc, header, number, [p for p, x in zip(places, states) if x in ("header", "number") and p >= 0]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.int32())))], names=["document_id", "header", "page_number", "drop"]
-            )
+            docs, symbols, cues, keys, of, often = (batch.column(i).to_pylist() for i in range(6))
+            shown = []
+            for s, k, at, o in zip(symbols, keys, of, often):
+                recurs = {k.index(x) for x in o} if o else ()
+                shown.append("".join(c.upper() if i in recurs else c for c, i in zip(s, at)) if recurs else s)
+            states = model.label(list(zip(shown, cues)))
+            header = [any(c in "TN" and x == HEADER for c, x in zip(s, y)) for s, y in zip(shown, states)]
+            number = [any(c == "p" and x == NUMBER or c in "Nn" and x == HEADER for c, x in zip(s, y)) for s, y in zip(shown, states)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(header, pa.bool_()), pa.array(number, pa.bool_()), pa.array(["".join(map(str, y)) for y in states], pa.string())], names=["document_id", "header", "page_number", "states"])
 
-    return at.join(known, "document_id", "left").select("document_id", "symbols", "keys", "places", "often").mapInArrow(decide, "document_id string, header boolean, page_number boolean, drop array<int>")
+    return at.join(known, "document_id", "left").select("document_id", "symbols", "cues", "keys", "of", "often").mapInArrow(decide, "document_id string, header boolean, page_number boolean, states string")
 
 
 # --- pages ---------------------------------------------------------------------------------------------------------
@@ -405,27 +495,26 @@ def mend(text: str, words: Words) -> tuple[str, bool, bool]:
     return text, hyphened, bool(wrong)
 
 
-def paragraphs(text: str, drop: list[int], words: Words) -> tuple[str, bool, bool]:
-    """Continuous paragraphs of a page: furniture lines dropped, words mended, hard line ends undone."""
-    gone = set(drop or ())
-    lines = [l for i, l in enumerate(text.split("\n")) if i not in gone]
-    text, hyphened, misread = mend("\n".join(lines), words)
-    out: list[str] = []
-    rows = [" ".join(line.split()) for line in text.split("\n")]
-    width = max(map(len, rows), default=0)
-    open_, short, label = False, True, False
-    for s in rows:
-        if not s:
-            open_, short, label = False, True, False
-            continue
-        little = len(s) < 0.6 * width or width < 45
-        titled = bool(LABEL.match(s)) and len(s) < 32 and s[0].isupper() and little and (short or not open_)
-        alone = s[0] in "|#*•" or s.startswith("- ") or titled or label and little or bool(re.match(r"^[^\W\d_][^.!?]{1,30}:\s", s))
-        if open_ and not alone:
-            out[-1] += " " + s
+def paragraphs(text: str, states: str | None, words: Words) -> tuple[str, bool, bool]:
+    """Continuous paragraphs of a page as its lines are labelled: furniture dropped, words mended, hard line ends undone."""
+    lines = text.split("\n")
+    labels = [int(x) for x in states] if states else [FIRST if l.strip() else BREAK for l in lines]
+    kept = [(l, x) for l, x in zip(lines, labels) if x not in (HEADER, NUMBER)]
+    blocks: list[list[str]] = []
+    open_ = False
+    for line, x in kept:
+        if not line.strip():
+            open_ = False
+        elif x == MORE and open_:
+            blocks[-1].append(line)
         else:
-            out.append(s)
-        open_, short, label = not alone, little, titled
+            blocks.append([line])
+            open_ = True
+    out, hyphened, misread = [], False, False
+    for b in blocks:
+        mended, h, m = mend("\n".join(b), words)
+        out.append(" ".join(mended.split()))
+        hyphened, misread = hyphened or h, misread or m
     return "\n\n".join(out), hyphened, misread
 
 
@@ -455,10 +544,10 @@ def repair(segments: DataFrame, with_text: bool = True) -> DataFrame:
     schema = "document_id string, text string, hyphenation boolean, misread boolean"
     if with_text:
         marks = cut(marks)
-        both = pages.select("document_id", "text").join(marks.select("document_id", "drop"), "document_id", "left").mapInArrow(run, schema)
+        both = pages.select("document_id", "text").join(marks.select("document_id", "states"), "document_id", "left").mapInArrow(run, schema)
     else:
         both = pages.select("document_id", "text").mapInArrow(run, schema)
-    out = both.dropDuplicates(["document_id"]).join(marks.drop("drop"), "document_id", "left")
+    out = both.dropDuplicates(["document_id"]).join(marks.drop("states"), "document_id", "left")
     kinds = F.array_compact(F.array(*[F.when(F.coalesce(k, F.lit(False)), k) for k in ("hyphenation", "misread", "header", "page_number")]))
     return out.select("document_id", "text", kinds.alias("noise"))
 

@@ -37,22 +37,44 @@ def test_repaired_text(spark):
 
 
 def test_compounds_keep_their_hyphen():
-    w = S.Words({"long-term": 9, "warehouse": 9, "house": 9, "ware": 1, "sign": 9, "off": 9})
+    w = S.Words(S.Pages.of({"long-term": 9, "warehouse": 9, "house": 9, "ware": 1, "sign": 9, "off": 9}))
     assert not w.broken("", "long", "term", "") and w.broken("", "ware", "house", ".")
     assert not w.broken("", "sign", "off", "") and not w.broken("", "Morholt", "Ulrosk", "") and not w.broken("TCK8", "a", "b", "")
-    assert S.paragraphs("a long-\nterm plan", [], w)[0] == "a long-term plan"
+    assert S.paragraphs("a long-\nterm plan", "23", w)[0] == "a long-term plan"
 
 
 def test_misread_words():
-    w = S.Words({"northern": 90, "modern": 80, "guarantee": 50, "drivers": 40, "harbour": 40, "matched": 30})
+    w = S.Words(S.Pages.of({"northern": 90, "modern": 80, "guarantee": 50, "drivers": 40, "harbour": 40, "matched": 30}))
     assert {t: w.read_as(t) for t in ("northem", "m0dern", "gu@rantee", "drivcrs", "liarbour", "matclied", "harbour", "kiln")} == {"northem": "northern", "m0dern": "modern", "gu@rantee": "guarantee", "drivcrs": "drivers", "liarbour": "harbour", "matclied": "matched", "harbour": None, "kiln": None}
     assert w.misread("a@b.example") is None and w.misread("TCK-0440") is None
 
 
+def states(m, text, page, recurs=()):
+    symbols, cues, keys = S.read_page(text, page)
+    shown = "".join(c.upper() if k and l in recurs else c for c, k, l in zip(symbols, keys, text.split("\n")))
+    return [S.STATES[x] for x in m.label([(shown, cues)])[0]]
+
+
 def test_model_marks_furniture_only():
     m = S.LineModel()
-    assert m.label("Tssbsp")[0] == "header" and m.label("Tssbsp")[-1] == "number"
-    assert set(m.label("sssss")) == {"body"}
+    text = "Mill Works — Quiet Ledger\n" + "\n".join(BODY) + "\n\n- 7 -"
+    assert states(m, text, 7, {"Mill Works — Quiet Ledger"}) == ["header", "first", "first", "first", "break", "number"] or states(m, text, 7, {"Mill Works — Quiet Ledger"})[::5] == ["header", "number"]
+    assert not {"header", "number"} & set(states(m, "\n".join(BODY * 3), 7))
+
+
+def test_model_decides_where_rules_fail():
+    """Lines that recur on three pages, or carry the page's number, and are text all the same; and furniture of any depth."""
+    m = S.LineModel()
+    form = "Tenure\n9\nBranch\nPort Ellery\nApplicant\nMarta Holt\nRate: 4\nTotal\n7"  # "Tenure" is not the page's title
+    assert not {"header", "number"} & set(states(m, form, 7, {"Tenure", "Branch", "Applicant", "Total"}))
+    deep = "Mill Works\nQuiet Ledger\nHarbour Office\nSurvey Crew\nPage 7\n\n" + "\n".join(BODY)
+    got = states(m, deep, 7, {"Mill Works", "Quiet Ledger", "Harbour Office", "Survey Crew"})
+    assert got[:5] == ["header"] * 4 + ["number"]
+
+
+def test_counts_keep_their_scale():
+    p = S.Pages.of({"a": 4, "b": 1000, "c": 10**9})
+    assert all(abs(p["abc"[i]] / n - 1) < 0.1 for i, n in enumerate((4, 1000, 10**9))) and "d" not in p and p.get("d", 0) == 0
 
 
 def test_empty(spark):
