@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from ..session import bounded_collect, cut, kept, wide_partitions
 
 WORD = re.compile(r"[^\W_]+")
-BITS = 1024
+BITS = 768
 #: Texts of a leaf, children of a node, and texts up to which a subtree is one leaf that is read as it is.
-LEAF, FAN, SMALL = 2, 8, 16
+LEAF, FAN, SMALL = 2, 16, 16
 #: Node pairs looked at together, and the share of texts on which the size of a subtree is estimated.
 AT_ONCE, SAMPLED = 16_384, 64
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +125,7 @@ def _possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thre
 def node_possible(p: tuple, q: tuple, threshold: float) -> np.ndarray:
     """Whether any text below node p can reach the threshold with any below node q, for arrays of node pairs."""
     (po, plo, phi, ps), (qo, qlo, qhi, qs) = p, q
-    over = np.minimum(np.bitwise_count(po & qo).sum(1) + np.maximum(ps, qs), np.minimum(phi, qhi))
+    over = np.minimum(np.bitwise_count(po & qo).sum(1) + np.minimum(ps, qs), np.minimum(phi, qhi))
     return (over * (1 + threshold) >= threshold * (plo + qlo) - 1e-9) & (phi >= threshold * qlo - 1e-9) & (qhi >= threshold * plo - 1e-9)
 
 
@@ -285,7 +285,7 @@ def between_blocks(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     nodes = blocks.groupBy("key", "block").agg(*ors, F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - filled).alias("slack"))
     q = nodes.select("key", *[F.col(c).alias(f"q_{c}") for c in nodes.columns if c != "key"])
     shared = sum((F.bit_count(F.col(f"o{i}").bitwiseAND(F.col(f"q_o{i}"))) for i in range(BITS // 64)), F.lit(0))
-    over = F.least(shared + F.greatest("slack", "q_slack"), "hi", "q_hi")
+    over = F.least(shared + F.least("slack", "q_slack"), "hi", "q_hi")
     surviving = nodes.join(q, "key").where(
         (F.col("block") <= F.col("q_block")) & (over * (1 + threshold) >= threshold * (F.col("lo") + F.col("q_lo"))) & (F.col("hi") >= threshold * F.col("q_lo")) & (F.col("q_hi") >= threshold * F.col("lo"))
     ).select("key", "block", "q_block")
@@ -339,7 +339,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, l
 
 
 def near_duplicates(
-    texts: DataFrame, key: str = "chunk_id", threshold: float = 0.5, width: int = 3, least_words: int = 20, bands: int = 8, hot: int = 4000, block: int = 2000
+    texts: DataFrame, key: str = "chunk_id", threshold: float = 0.5, width: int = 3, least_words: int = 20, bands: int = 7, hot: int = 20_000, block: int = 10_000
 ) -> tuple[DataFrame, DataFrame]:
     """Class pairs and membership of ``texts(<key>, text)``.
 
@@ -387,7 +387,7 @@ def found(chunks: DataFrame, threshold: float = 0.5, shown: int = 64) -> DataFra
     return across.unionByName(inside).unionByName(more).select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
 
 
-def pruning(chunks: DataFrame, threshold: float = 0.5, width: int = 3, least_words: int = 20, bands: int = 8) -> DataFrame:
+def pruning(chunks: DataFrame, threshold: float = 0.5, width: int = 3, least_words: int = 20, bands: int = 7) -> DataFrame:
     """``level, pairs, dropped``: node pairs that the dual traversals compare and drop, leaves being level 0 and pairs of
     texts level -1. Subtrees of any size are read as a whole here."""
     reps = signatures(chunks.where("chunk_id is not null and text is not null"), "chunk_id", width, least_words, bands).drop("chunk_id").dropDuplicates(["cls"])
