@@ -64,6 +64,8 @@ ASSISTANT_IDENTITY = (
     r"^\s*(who\s+are\s+you\b|what\s+are\s+you\b|what(?:'s|\s+is)\s+your\s+name\b|who\s+(built|created|made|owns|runs)\s+(you|this(\s+app|\s+assistant|\s+tool|\s+product|\s+service)?)\b|"
     r"what\s+are\s+you\s+called\b|what\s+model\s+are\s+you\b|what\s+is\s+this\s+(app|tool|assistant|product|service|website)\b)\s*[?.!]*\s*$"
 )
+# Simplified from the usual value: alternatives that others cover are left out, and a lookahead that the end of the
+# pattern implies.
 SHORT_CONCEPT = (
     r"^\s*((what\s+is\s+)?(an?\s+)?(ml|machine\s+learning)\s+engineer\b|(what\s+is\s+)?(a\s+)?data\s+(engineer|scientist)\b|(what\s+is\s+)?(a\s+)?machine\s+learning\s+engineer\b|"
     r"(what\s+is\s+)?(an?\s+)?ml\b|(what\s+is\s+)?(a\s+)?machine\s+learning\b|data\s+(engineer|scientist)\b)\s*[?.!]*\s*$"
@@ -123,6 +125,20 @@ METADATA_QUESTION = (
     r"\b(file\s*name|filename|document\s*name|name\s+of\s+(the\s+)?(file|document)|which\s+file|what\s+file|what\s+is\s+the\s+(file|document)|which\s+document(\s+is\s+this)?|what\s+document(\s+is\s+this)?|source\s+file)\b"
 )
 TIME_SENSITIVE = r"\b(today|latest|news|current|recent|price|stock|market|weather|breaking|who is|who was|when did|20[2-3]\d)\b"
+BLENDED_TIME = r"\b(today|latest|news|current|recent|price|stock|market|weather|breaking|who is|who was|when did|2024|2025|2026)\b"
+STAFF_OR_TECHNOLOGY = r"\b(technologies|technology\s+stack|projects?\s+mentioned|employees|headcount|workforce)\b"
+ABOUT_DOCUMENT = (
+    r"\b(what\s+is\s+(this|the|it)\s+.*\s+about|what\s+is\s+this\s+document\s+about|summar(?:y|ise|izing)\s+(?:of\s+)?(?:this|the|my)\s+(?:document|file)\b|(?:give\s+me\s+)?a?\s*summary\s+of\s+(?:this|the|my)\s+(?:document|file)\b|"
+    r"summarize\s+this\s+(file|document)|summarize\s+the\s+(file|document)|summarize\s+my\s+(file|document)|what\s+does\s+this\s+(file|document)\s+contain|what\s+is\s+in\s+this\s+(file|document))\b"
+)
+EXPANSION = r"^\s*(tell\s+me\s+more|continue|details|elaborate|more\s+details|expand|what\s+else|more|further)\s*[!.?]*\s*$"
+CONFIRM = r"^\s*(yes|yeah|yep|yup|ok|okay|sure|go\s+on|continue)\s*[!.?]*\s*$"
+# Words of numbers up to ten, and what is added to a query for a second look into the library.
+NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
+OVERVIEW_BOOST = "main sections themes introduction conclusion purpose overview key ideas summary"
+DISCUSSION_BOOST = "performance latency p99 workload reliability metrics discussion"
+SECTION_BOOST = "section heading chapter appendix subsection disaster recovery"
+FIELD_BOOST = "Full Name Email Phone Website Contact Address"
 CONTACT_QUESTION = r"(details|contact|more\s+info|information|more\s+information|what\s+else|other\s+details)"
 
 
@@ -204,6 +220,58 @@ def takes_fast_path(q: Column) -> Column:
     return F.char_length(q).between(4, 220) & ~expects_documents(q)
 
 
+def asks_for_file(q: Column) -> Column:
+    """Of a normalised query: asks for the name of the file."""
+    return has(q, METADATA_QUESTION)
+
+
+def asks_about_document(q: Column) -> Column:
+    """Of a query: asks what the document is about."""
+    return has(q, ABOUT_DOCUMENT)
+
+
+def asks_for_contact(q: Column) -> Column:
+    """Of a query: asks for contact details or more information."""
+    return has(q, CONTACT_QUESTION)
+
+
+def expands(q: Column) -> Column:
+    """Of a query: asks for more of the last answer."""
+    return has(q, EXPANSION)
+
+
+def confirms(q: Column) -> Column:
+    """Of a query: a mere yes or go on."""
+    return has(q, CONFIRM)
+
+
+def wants_blended_web(q: Column) -> Column:
+    """Of a query: recent or outside facts may be needed beside the library's."""
+    return ~is_entity_lookup(q) & ~has(q, STAFF_OR_TECHNOLOGY) & has(q, BLENDED_TIME)
+
+
+def section_number(q: Column) -> Column:
+    """The number of the section that a normalised query names, in digits or as a word up to ten; null without one."""
+    digits = F.nullif(F.regexp_extract(q, r"section\s*(?:#|number|num\.?)?\s*(\d+)\b", 1), F.lit(""))
+    words = reduce(lambda out, n: F.when(has(q, rf"\b{NUMBER_WORDS[n]}\b"), F.lit(str(n + 1))).otherwise(out), reversed(range(len(NUMBER_WORDS))), F.lit(None).cast("string"))
+    return F.coalesce(digits, F.when(q.contains("section"), words))
+
+
+def field_query(q: Column) -> Column:
+    """The retrieval query of a normalised query: where it asks for a field, with the names of fields."""
+    return F.when(field_kind(q).isNotNull(), F.concat(q, F.lit(" " + FIELD_BOOST))).otherwise(q)
+
+
+def wider_query(q: Column) -> Column:
+    """The second retrieval query of a normalised query that is broad, vague or asks for a section; null for others."""
+    broad, relaxed, section = is_broad_overview(q), uses_relaxed_gate(q), is_section_navigation(q)
+    more = F.concat_ws(" ", field_query(q), F.lit(OVERVIEW_BOOST), F.when(relaxed & ~broad, F.lit(DISCUSSION_BOOST)), F.when(section & ~broad, F.lit(SECTION_BOOST)))
+    return F.when(relaxed | section, more)
+
+
+ROUTING = {
+    "asks_for_file": asks_for_file, "asks_about_document": asks_about_document, "asks_for_contact": asks_for_contact, "expands": expands, "confirms": confirms, "wants_blended_web": wants_blended_web,
+}
 INTENTS = {
     "assistant_identity": is_assistant_identity, "short_concept": is_short_concept, "expects_documents": expects_documents, "broad_overview": is_broad_overview, "relaxed_gate": uses_relaxed_gate,
     "entity_lookup": is_entity_lookup, "section_navigation": is_section_navigation, "skips_rewrite": skips_rewrite, "fast_path": takes_fast_path,

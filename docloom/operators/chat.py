@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.queries import bypasses_documents, has, normalize_query
+from ..functions.queries import asks_for_file, bypasses_documents, expects_documents, has, normalize_query
 from ..session import strip_blanks
 
 # Patterns of follow-up questions in a conversation about a document, searched without case.
@@ -19,6 +21,18 @@ FOLLOW_UPS = (
     r"\b(the\s+same|as\s+above|you\s+just\s+said|previous\s+answer)\b",
     r"\bwhat\s+about\s+(his|her|their|the|this|my|your)\b",
 )
+DEICTIC = FOLLOW_UPS[3]
+ADDRESS_QUESTION = r"\b(address|street|zip|postal|location)\b"
+LISTS_QUESTION = r"\b(include|included|mention|mentions|list|lists)\b"
+GENERAL_TECHNOLOGY = r"^\s*what\s+is\s+(rag\b|retrieval[-\s]?augmented\s+generation|embeddings?\b|vector\s+database|vectordb|llm\b|large\s+language\s+model)\s*\??\s*$"
+TERM_QUESTION = r"^\s*what\s+is\s+([A-Za-z][A-Za-z0-9\-]{1,32})\s*\??\s*$"
+GENERAL_TERMS = ("rag", "ml", "llm", "nlp", "sql", "api", "aws", "etl", "gpu", "cpu", "cdn", "http", "https", "json", "xml", "csv", "pdf", "gpt")
+QUESTION_START = r"^\s*(what|who|when|where|which|how|did|does|do|is|are|was|were|can|could|would)\b"
+ANCHORS = (
+    r"\b(his|her|their|its|he|she|they|him)\b",
+    r"\b(the|this|my|that|your)\s+(loan|application|file|document|upload|library|amount|balance|name|number|address|city|email|phone|record|policy|packet|form|memo|brief|playbook)\b",
+    r"\b(my|your)\s+(loan|file|document|application|upload|policy|library)\b",
+)
 PRIOR_TAIL, MERGED_MOST = 260, 520
 
 
@@ -58,12 +72,56 @@ def delete_session(session_rows: DataFrame, message_rows: DataFrame, gone: DataF
     return s, m
 
 
-def is_follow_up(q):
+def is_follow_up(q: Column) -> Column:
     """Of a normalised query: goes on about the document of the last answer."""
-    out = has(q, FOLLOW_UPS[0])
-    for p in FOLLOW_UPS[1:]:
-        out = out | has(q, p)
-    return out & ~bypasses_documents(q)
+    n = F.char_length(q)
+    some = lambda patterns: reduce(lambda a, p: a | has(q, p), patterns[1:], has(q, patterns[0]))
+    term = F.regexp_extract(F.lower(q), "(?i)" + TERM_QUESTION, 1)
+    asked = (n <= 72) & has(q, TERM_QUESTION) & ~term.isin(*GENERAL_TERMS)
+    anchored = (n <= 100) & has(q, QUESTION_START) & some(ANCHORS)
+    goes_on = some(FOLLOW_UPS) | asks_for_file(q) | (has(q, ADDRESS_QUESTION) & (n < 160)) | (has(q, LISTS_QUESTION) & (n < 180)) | asked | anchored
+    return (F.coalesce(q, F.lit("")) != "") & ~bypasses_documents(q) & ~has(q, GENERAL_TECHNOLOGY) & goes_on
+
+
+def is_short_deictic(q: Column) -> Column:
+    """Of a normalised query: a short turn that only points at the document."""
+    return (F.char_length(q) <= 88) & has(q, DEICTIC)
+
+
+def expects_documents_in_turn(q: Column, forced: Column) -> Column:
+    """Of a normalised query: whether the library should answer it, given that its conversation may force that."""
+    return ~bypasses_documents(q) & (expects_documents(q) | forced)
+
+
+def dominant_name(names: DataFrame) -> DataFrame:
+    """``session_id, source_name``: the source that each session's last grounded answer names most, ties to the first.
+
+    ``names(session_id, position, source_name)``. Where more than three sources are named once each there is none.
+    """
+    named = names.where(F.coalesce(F.btrim("source_name"), F.lit("")) != "")
+    counts = named.groupBy("session_id", F.btrim("source_name").alias("source_name")).agg(F.count("*").alias("n"), F.min("position").alias("at"))
+    best = counts.groupBy("session_id").agg(F.min_by("source_name", F.struct(-F.col("n"), "at")).alias("source_name"), F.max("n").alias("most"), F.count("*").alias("sources"))
+    return best.where("most > 1 or sources <= 3").select("session_id", "source_name")
+
+
+def created(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Sessions with those of ``new(id, title, created_at)`` added; an id that is there already stays as it is."""
+    fresh = new.select("id", "title", "created_at", F.col("created_at").alias("updated_at")).dropDuplicates(["id"]).join(rows.select("id"), "id", "left_anti")
+    return rows.unionByName(fresh)
+
+
+def appended(session_rows: DataFrame, message_rows: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after ``new(id, session_id, role, content, extra_json, at)`` messages: added, and their sessions touched."""
+    key = lambda c: F.lower(strip_blanks(c))
+    at = new.groupBy(key("session_id").alias("_s")).agg(F.max("at").alias("_at"))
+    touched = session_rows.join(at, key("id") == F.col("_s"), "left").withColumn("updated_at", F.greatest("updated_at", "_at")).drop("_s", "_at")
+    return touched, message_rows.unionByName(new.drop("at"), allowMissingColumns=True)
+
+
+def titled(session_rows: DataFrame, message_rows: DataFrame) -> DataFrame:
+    """Sessions with their missing titles taken from the first user message."""
+    named = titles(message_rows).select(F.col("session_id").alias("_s"), F.col("title").alias("_t"))
+    return session_rows.join(named, F.lower(strip_blanks("id")) == F.col("_s"), "left").withColumn("title", F.coalesce(F.nullif(F.btrim("title"), F.lit("")), "_t")).drop("_s", "_t")
 
 
 def last_grounded(message_rows: DataFrame) -> DataFrame:
