@@ -116,16 +116,30 @@ def signatures(texts: DataFrame, key: str, width: int, least_words: int, bands:
     return texts.select(F.col(key).cast("string").alias(key), "text").mapInArrow(run, f"`{key}` string, {fields}")
 
 
-def _possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether two texts can reach the threshold: every bit of one that the other lacks is a token it lacks."""
-    over = np.minimum(na - np.bitwise_count(a & ~b).sum(1), nb - np.bitwise_count(b & ~a).sum(1))
-    return over * (1 + threshold) >= threshold * (na + nb) - 1e-9
-
-
-def node_possible(p: tuple, q: tuple, threshold: float) -> np.ndarray:
-    """Whether any text below node p can reach the threshold with any below node q, for arrays of node pairs."""
-    (po, plo, phi, ps), (qo, qlo, qhi, qs) = p, q
-    over = np.minimum(np.bitwise_count(po & qo).sum(1) + np.minimum(ps, qs), np.minimum(phi, qhi))
+class Nodes:
+    """Nodes of one level: ORs of bitmaps (word by word), smallest and largest sizes, and tokens beyond the bits. Texts are
+    nodes of one text."""
+
+    def __init__(self, words: np.ndarray, low: np.ndarray, high: np.ndarray, slack: np.ndarray):
+        self.words, self.low, self.high, self.slack = words, low, high, slack
+
+    @classmethod
+    def of_texts(cls, bits: np.ndarray, n: np.ndarray) -> Nodes:
+        return cls(np.ascontiguousarray(bits.T), n, n, n - np.bitwise_count(bits).sum(1))
+
+    def above(self, size: int) -> Nodes:
+        """Nodes that each hold ``size`` of these."""
+        at = np.arange(0, len(self.low), size)
+        return Nodes(np.bitwise_or.reduceat(self.words, at, axis=1), np.minimum.reduceat(self.low, at), np.maximum.reduceat(self.high, at), np.maximum.reduceat(self.slack, at))
+
+
+def possible(p: Nodes, q: Nodes, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether any text below node x of ``p`` can reach the threshold with any below node y of ``q``, for arrays of nodes."""
+    shared = np.zeros(len(x), np.int64)
+    for a, b in zip(p.words, q.words):
+        shared += np.bitwise_count(a[x] & b[y])
+    plo, qlo, phi, qhi = p.low[x], q.low[y], p.high[x], q.high[y]
+    over = np.minimum(shared + np.minimum(p.slack[x], q.slack[y]), np.minimum(phi, qhi))
     return (over * (1 + threshold) >= threshold * (plo + qlo) - 1e-9) & (phi >= threshold * qlo - 1e-9) & (qhi >= threshold * plo - 1e-9)
 
 
@@ -136,15 +150,11 @@ def clustered(bits: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.lexsort((n, *firsts))
 
 
-def build(bits: np.ndarray, n: np.ndarray) -> list[tuple]:
-    """Levels of the tree from the leaves up: (OR of bitmaps, smallest size, largest size, tokens beyond bits)."""
-    at = np.arange(0, len(bits), LEAF)
-    slack = n - np.bitwise_count(bits).sum(1)
-    levels = [(np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.maximum.reduceat(slack, at))]
-    while len(levels[-1][1]) > 1:
-        o, lo, hi, s = levels[-1]
-        at = np.arange(0, len(lo), FAN)
-        levels.append((np.bitwise_or.reduceat(o, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(s, at)))
+def build(texts: Nodes) -> list[Nodes]:
+    """Levels of the tree from the leaves up."""
+    levels = [texts.above(LEAF)]
+    while len(levels[-1].low) > 1:
+        levels.append(levels[-1].above(FAN))
     return levels
 
 
@@ -153,12 +163,12 @@ def traverse(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
 
     ``seen`` takes up, by level, the node pairs compared and those dropped; level -1 is pairs of texts.
     """
-    oa = clustered(*a)
-    a, same = (a[0][oa], a[1][oa]), b is None
+    oa, same = clustered(*a), b is None
+    a = Nodes.of_texts(a[0][oa], a[1][oa])
     ob = oa if same else clustered(*b)
-    b = a if same else (b[0][ob], b[1][ob])
-    ta = build(*a)
-    tb = ta if same else build(*b)
+    b = a if same else Nodes.of_texts(b[0][ob], b[1][ob])
+    ta = build(a)
+    tb = ta if same else build(b)
     while len(ta) < len(tb):
         ta.append(ta[-1])
     while len(tb) < len(ta):
@@ -177,23 +187,23 @@ def traverse(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
         if len(x) > AT_ONCE:
             todo.append((level, x[AT_ONCE:], y[AT_ONCE:]))
             x, y = x[:AT_ONCE], y[:AT_ONCE]
-        ok = node_possible(tuple(v[x] for v in ta[level]), tuple(v[y] for v in tb[level]), threshold)
+        ok = possible(ta[level], tb[level], x, y, threshold)
         note(level, ok)
         x, y = x[ok], y[ok]
         if not len(x):
             continue
         if level:
-            x, y = _pairs(_kids(x, len(ta[level][1]), len(ta[level - 1][1])), _kids(y, len(tb[level][1]), len(tb[level - 1][1])))
+            x, y = _pairs(_kids(x, len(ta[level].low), len(ta[level - 1].low)), _kids(y, len(tb[level].low), len(tb[level - 1].low)))
             if same:
                 keep = x <= y
                 x, y = x[keep], y[keep]
             todo.append((level - 1, x, y))
             continue
-        i, j = _pairs(_texts(x, len(a[1])), _texts(y, len(b[1])))
+        i, j = _pairs(_texts(x, len(a.low)), _texts(y, len(b.low)))
         if same:
             keep = i < j
             i, j = i[keep], j[keep]
-        ok = _possible(a[0][i], b[0][j], a[1][i], b[1][j], threshold)
+        ok = possible(a, b, i, j, threshold)
         note(-1, ok)
         outx.append(i[ok])
         outy.append(j[ok])
@@ -231,13 +241,13 @@ def within_buckets(rows: DataFrame, threshold: float, stats: bool = False) -> Da
     def pairs_of(key: np.ndarray, cls: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.concatenate([starts, [len(key)]]))
-        small = np.repeat(size <= SMALL, size)
+        small, texts = np.repeat(size <= SMALL, size), Nodes.of_texts(bits, n)
         outs, seen = [], {}
         for d in range(1, SMALL):
             i = np.flatnonzero(small[:-d] & (key[d:] == key[:-d]))
             if not len(i):
                 break
-            i = i[_possible(bits[i], bits[i + d], n[i], n[i + d], threshold)]
+            i = i[possible(texts, texts, i, i + d, threshold)]
             outs.append(np.stack([cls[i], cls[i + d]]))
         for s, m in zip(starts[size > SMALL], size[size > SMALL]):
             i, j = traverse((bits[s : s + m], n[s : s + m]), None, threshold, seen)
@@ -354,6 +364,9 @@ def near_duplicates(
     reps = sig.drop(key).dropDuplicates(["cls"])
     pairs = cut(candidates(reps, threshold, hot, block).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("cls", F.col("representative").alias("_r"))
+    wanted = cut(wanted)
+    # few texts take part in any pair; while they are few, theirs alone are looked up, and no text is shuffled
+    wanted = F.broadcast(wanted) if bounded_collect(wanted.select("cls"), 100_000) is not None else wanted
     given = wanted.join(texts.select(F.col(key).cast("string").alias("_r"), "text").where("text is not null"), "_r").select("cls", "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
