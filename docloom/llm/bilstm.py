@@ -9,15 +9,20 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n.,:
 PAD, LOWER, UPPER, DIGIT, MARK = range(5)
 _INDEX = {c: i + 5 for i, c in enumerate(ALPHABET)}
 SYMBOLS = len(ALPHABET) + 5
+_table: list[np.ndarray] = []
+
+
+def _symbol(c: str) -> int:
+    n = _INDEX.get(c)
+    return n if n is not None else LOWER if c.islower() else UPPER if c.isupper() else DIGIT if c.isdigit() else _INDEX[" "] if c.isspace() else LOWER if c.isalpha() else MARK
 
 
 def symbols(text: str) -> np.ndarray:
     """Numbers of the characters of ``text``."""
-    out = np.empty(len(text), np.int16)
-    for i, c in enumerate(text):
-        n = _INDEX.get(c)
-        out[i] = n if n is not None else LOWER if c.islower() else UPPER if c.isupper() else DIGIT if c.isdigit() else _INDEX[" "] if c.isspace() else LOWER if c.isalpha() else MARK
-    return out
+    if not _table:  # one number for each code point of the first planes; a rare character beyond them is a mark
+        _table.append(np.array([_symbol(chr(i)) for i in range(0x20000)], np.uint8))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _table[0][np.where(points < 0x20000, points, 0x1FFFF)]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -30,13 +35,14 @@ def logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 class Tagger:
-    """Embedding, one LSTM in each direction, a linear layer to ``labels`` scores, and transitions between labels."""
+    """Embeddings of characters and of their words' kinds, one LSTM in each direction, a linear layer to ``labels``
+    scores, and transitions between labels."""
 
-    def __init__(self, labels: int, embed: int = 20, hidden: int = 32, seed: int = 3):
+    def __init__(self, labels: int, kinds: int = 1, embed: int = 20, hidden: int = 32, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.hidden, self.labels = hidden, labels
         put = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"e": put(SYMBOLS, embed) * np.float32(3), "w": put(2 * hidden, labels), "b": np.zeros(labels, np.float32), "t": np.zeros((labels, labels), np.float32)}
+        self.p = {"e": put(SYMBOLS, embed) * np.float32(3), "k": put(kinds, embed), "w": put(2 * hidden, labels), "b": np.zeros(labels, np.float32), "t": np.zeros((labels, labels), np.float32)}
         for d in "fr":
             self.p |= {f"x{d}": put(embed, 4 * hidden), f"h{d}": put(hidden, 4 * hidden), f"c{d}": np.zeros(4 * hidden, np.float32)}
             self.p[f"c{d}"][hidden : 2 * hidden] = 1
@@ -83,18 +89,41 @@ class Tagger:
         grads[f"c{d}"] += dpre.sum((0, 1))
         return dpre @ self.p[f"x{d}"].T
 
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """Label scores (batch, time, labels) of rows of symbols, padded with ``PAD`` at their ends."""
-        x = self.p["e"][ids.T]
-        mask = (ids.T != PAD).astype(np.float32)[:, :, None]
-        f, _ = self._run(x, mask, "f", False)
-        r, _ = self._run(x[::-1], mask[::-1], "r", False)
-        return (np.concatenate([f, r[::-1]], 2) @ self.p["w"] + self.p["b"]).transpose(1, 0, 2)
-
-    def step(self, ids: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    def scores(self, ids: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
+        """Label scores (batch, time, labels) of rows of symbols, padded with ``PAD`` at their ends; ``kinds`` are the
+        kinds of the words that the characters belong to."""
+        ids = ids.T
+        kinds = np.zeros_like(ids) if kinds is None else kinds.T
+        whole = not (ids == PAD).any()
+        n, (time, batch) = self.hidden, ids.shape
+        half = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])  # one tanh serves for all gates
+        total = np.broadcast_to(self.p["b"], (time, batch, self.labels)).copy()
+        for d, order in (("f", range(time)), ("r", range(time - 1, -1, -1))):
+            char, word = (self.p["e"] @ self.p[f"x{d}"] + self.p[f"c{d}"]) * half, (self.p["k"] @ self.p[f"x{d}"]) * half
+            own, out = self.p[f"h{d}"] * half, np.empty((time, batch, n), np.float32)
+            h, c, g = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32), np.empty((batch, 4 * n), np.float32)
+            for t in order:
+                np.dot(h, own, out=g)
+                g += char[ids[t]]
+                g += word[kinds[t]]
+                np.tanh(g, out=g)
+                s = g[:, : 3 * n] * np.float32(0.5) + np.float32(0.5)
+                new = s[:, n : 2 * n] * c + s[:, :n] * g[:, 3 * n :]
+                state = s[:, 2 * n :] * np.tanh(new)
+                if whole:
+                    c, h = new, state
+                else:
+                    on = (ids[t] != PAD)[:, None]
+                    c, h = np.where(on, new, c), np.where(on, state, h)
+                out[t] = h
+            total += out @ (self.p["w"][:n] if d == "f" else self.p["w"][n:])
+        return total.transpose(1, 0, 2)
+
+    def step(self, ids: np.ndarray, gold: np.ndarray, kinds: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Loss (negative log likelihood under the CRF, per character) and gradients of a batch."""
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-        x = self.p["e"][ids.T]
+        kinds = np.zeros_like(ids) if kinds is None else kinds
+        x = self.p["e"][ids.T] + self.p["k"][kinds.T]
         mask = (ids.T != PAD).astype(np.float32)[:, :, None]
         f, mf = self._run(x, mask, "f", True)
         r, mr = self._run(x[::-1], mask[::-1], "r", True)
@@ -134,11 +163,13 @@ class Tagger:
         dhidden = ds @ self.p["w"].T
         dx = self._back(x, mask, "f", mf, dhidden[:, :, : self.hidden], grads)
         dx = dx + self._back(x[::-1], mask[::-1], "r", mr, dhidden[::-1, :, self.hidden :], grads)[::-1]
-        np.add.at(grads["e"], ids.T, dx * mask)
+        for name, at in (("e", ids.T), ("k", kinds.T)):
+            np.add.at(grads[name], at, dx * mask)
         return float((z - truth).sum() / total), grads
 
-    def fit(self, texts: list[str], gold: list[np.ndarray], epochs: int = 6, batch: int = 32, rate: float = 8e-3, seed: int = 1) -> list[float]:
+    def fit(self, texts: list[str], gold: list[np.ndarray], epochs: int = 6, batch: int = 32, rate: float = 8e-3, seed: int = 1, kinds: list[np.ndarray] | None = None) -> list[float]:
         """Adam over length-sorted batches; the mean loss of each epoch."""
+        kinds = [np.zeros(len(t), np.int64) for t in texts] if kinds is None else kinds
         rng, ids = np.random.default_rng(seed), [symbols(t) for t in texts]
         order = np.argsort([len(i) for i in ids], kind="stable")
         groups = [order[i : i + batch] for i in range(0, len(order), batch)]
@@ -148,10 +179,10 @@ class Tagger:
             for b in rng.permutation(len(groups)):
                 own = groups[b]
                 width = max(len(ids[i]) for i in own)
-                x, y = np.zeros((len(own), width), np.int64), np.zeros((len(own), width), np.int64)
+                x, y, z = (np.zeros((len(own), width), np.int64) for _ in range(3))
                 for r, i in enumerate(own):
-                    x[r, : len(ids[i])], y[r, : len(ids[i])] = ids[i], gold[i]
-                loss, g = self.step(x, y)
+                    x[r, : len(ids[i])], y[r, : len(ids[i])], z[r, : len(ids[i])] = ids[i], gold[i], kinds[i]
+                loss, g = self.step(x, y, z)
                 seen.append(loss)
                 n += 1
                 size = np.sqrt(sum(float((q * q).sum()) for q in g.values()))
@@ -180,17 +211,21 @@ class Tagger:
 
     def decode_many(self, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         """Best labels of several sequences of equal width, padded at their ends."""
-        t, (rows, width, k) = self.p["t"], scores.shape
-        best, back = scores[:, 0], np.empty((rows, width, k), np.int8)
+        (rows, width, k), to = scores.shape, np.ascontiguousarray(self.p["t"].T)
+        at = np.arange(rows * k).reshape(rows, k) * k
+        best, back = scores[:, 0], np.empty((width, rows, k), np.int8)
+        whole, own = int(lengths.min()), np.arange(k)
         for a in range(1, width):
-            c = best[:, :, None] + t[None]
-            back[:, a] = c.argmax(1)
-            new = c.max(1) + scores[:, a]
-            on = (a < lengths)[:, None]
-            back[:, a] = np.where(on, back[:, a], np.arange(k))
-            best = np.where(on, new, best)
-        out = np.empty((rows, width), np.int64)
-        out[:, -1] = best.argmax(1)
+            c = best[:, None, :] + to
+            of = c.argmax(2)
+            new = c.reshape(-1)[at + of] + scores[:, a]
+            if a >= whole:
+                on = (a < lengths)[:, None]
+                of, new = np.where(on, of, own), np.where(on, new, best)
+            back[a], best = of, new
+        out = np.empty((width, rows), np.int64)
+        out[-1] = best.argmax(1)
+        every = np.arange(rows)
         for a in range(width - 1, 0, -1):
-            out[:, a - 1] = back[np.arange(rows), a, out[:, a]]
-        return [o[:n] for o, n in zip(out, lengths)]
+            out[a - 1] = back[a][every, out[a]]
+        return [out[:n, r] for r, n in enumerate(lengths)]

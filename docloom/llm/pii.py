@@ -1,18 +1,22 @@
 """Personal information in free text, replaced by typed placeholders.
 
-A character-level bidirectional LSTM with CRF transitions labels e-mail addresses, phone numbers, identity numbers,
-street addresses and names. It is trained here, in numpy, on drawn sentences with labelled spans (``drawn``). It reads
-the windows around everything that could be personal at all: an at-sign in any disguise, long numbers, numbers beside
-capitalised words, and pairs of capitalised words. Long stretches are read in overlapping windows, whose scores are
-averaged by their distance from the window's edge before one decoding over the whole stretch. An exact check of the
-form follows each labelled span.
+A character-level bidirectional LSTM with CRF transitions reads every character of every text and labels e-mail
+addresses, phone numbers, identity numbers, street addresses and names. Beside each character it sees what kind of word
+the character belongs to (``WORD_KINDS``): lists of given names, firms, places and the like, and whether the word stands
+in lower case more often than not in the records, are evidence to the model, not rules beside it. Texts are read in
+overlapping windows; the scores are averaged by their distance from the window's edge, and one decoding runs over the
+whole text. A short check that a span can be of its kind at all (``possible``) follows.
+
+The model is trained here, in numpy, on drawn sentences with labelled spans (``pii_drawn``). Its weights are kept in
+``pii_weights.npz``; ``python -m docloom.llm.pii`` fits them anew.
 """
 
 from __future__ import annotations
 
-import random
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,402 +24,213 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bilstm import Tagger, symbols
-from .scans import vocabulary
+from .sketch import Marked, lower_words
 
 KINDS = ("email", "phone", "identity", "address", "person")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity": "[IDENTITY]", "address": "[ADDRESS]", "person": "[PERSON]"}
 #: Labels: 0 outside, then begin and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
-#: Characters around a trigger, the longest window, and the overlap of windows; drawn training sentences.
-AROUND, WINDOW, OVERLAP, TRAINING = 36, 160, 48, 6400
-#: Taken off the score of "outside" in decoding: what is labelled has an exact check behind it.
-EAGER = 2.5
+#: The longest window, the overlap of windows, windows read at once, and characters of several texts read together.
+WINDOW, OVERLAP, BATCH, TOGETHER = 480, 64, 160, 400_000
+HIDDEN, EMBED = 24, 16
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 
-# Common given names, words of organisations, of places and of sentence openings, and months.
+# Word lists that the model sees as kinds of words.
 GIVEN = "Anna Maria Sofia Elena Laura Julia Clara Emma Olivia Amelia Nora Ida Greta Astrid Ingrid Freya Hanna Lena Lea Mia Zoë Chloé Camille Odile Amélie Inès Manon Lucía Carmen Paula Marta Ines Celia Rosa Vera Olga Irina Tatiana Katya Priya Anjali Meera Aisha Fatima Leila Noor Amara Zainab Mei Yuki Sakura Hana Kaia Edda Wanda Tessa Mira Ada Ruth Sarah Rachel Rebecca Alice Grace Ellen Diana Helen Karen Linda Susan Joan James John Robert Michael William David Thomas Daniel Peter Paul Mark George Henry Edward Jack Oliver Harry Hugo Felix Bruno Jonas Lukas Nils Lars Björn Sven Erik Olaf Karl Hans Otto Emil Anton Tomas Pavel Ivan Dmitri Boris Yusuf Selim Farid Omar Ali Hassan Ibrahim Kofi Kwame Ugo Dario Paolo Marco Luca Giulio Enzo Carlos Diego Mateo Pablo Javier Luis Jorge Ravi Arjun Vikram Kenji Hiro Takashi Wei Jun Min Ivo Milan Pierre Louis Julien Antoine René Étienne Stefan Viktor Matteo Samuel Noah".split()
-SYLLABLES = ("b br c ch d dr f fl g gr h j k kl kr l m n p qu r rav s sch sk st t tr v w y z".split(), "a e i o u ar el en er im in or ul un ü ö ø ô ö ae".split())
-ENDINGS = "son sen berg mann ström ez ova ev ski sky ini etti eau ard dottir kov ton wick holt mere sby lin rup rosk vane dano nessa trell quist lardi deck mont bano kovi wood field ley ford man er es a o i".split()
-ORGANISATIONS = frozenset("Foods Energy Mutual Logistics Robotics Textiles Finance Printing Instruments Ceramics Shipping Analytics Inc Ltd Limited LLC GmbH AG SA Corp Corporation Company Group Holdings Bank Insurance University Institute Systems Services Solutions Partners Industries Technologies Software Labs Laboratory Media Motors Airlines Pharma Trust Fund Capital Consulting Associates Council Ministry Department Agency Authority Committee Board Team Office Association Society Union Club Foundation Hospital School College Desk Crew Project Works Press Power Steel Chemicals Telecom Retail Stores Hotels".split())
-PLACES = frozenset("Bay Quay Valley Harbour Harbor Port Lower Upper Cold North South East West New Old Saint Mount Lake River Street Avenue Lane Road Square Park Bridge Hill Island Beach City Town County Coast Forest Heights Springs Falls Creek Ridge Point Rd Ave St Apt Flat Unit Suite Tarn Sallow Werk Halle Büro Süd Nord Ost West Lager Zone Gate Platz Station Airport Centre Center Terminal Stadium Tower Building Railway Market Theatre Museum".split())
-MONTHS = frozenset("January February March April May June July August September October November December Januar Februar März Mai Juni Juli Oktober Dezember".split())
-FUNCTION = frozenset("The A An This That These Those It He She They We You I There Then Both Most Each Every Few Two Only Under After Before Because Unless While Instead Neither Once Should If Later According Almost What When Where Why Who How No As At For By From With To In On Of And Or But Please Dear Their Its Our His Her My Your Not Is Are Was Did Does Do Can Will May Must Page Source Section Rate Amount Reference Branch Lender Tenure Name Applicant Address Residence Phone Tel Mobile Email Mail Identity Account Full Contact Application Number ID IDs Postal Proof Regards Invoices Handed Prepared Signed Ticket Serial Invoice Build Version Der Die Das Ein Eine Wer Le La Les Un Une Tout Rien El Los Las Todo".split())
-STREETS = "Street Avenue Lane Road Rd Ave Drive Square Court Way Terrace Close Place Boulevard".split()
-
-STREET_RE = re.compile(r"\b(?:street|avenue|lane|road|rd|ave|drive|square|court|way|terrace|close|place|boulevard|blvd|crescent|row|rue|chemin|calle|avenida|plaza|via|viale|piazza|ул|проспект|str)\b|(?:stra(?:ß|ss)e|weg|platz|gasse|allee|ufer|damm)\b|\bst\.", re.I)
-NAME = r"(?:[A-ZÀ-ÖØ-Þ][^\W\d_]+(?:['’][A-ZÀ-ÖØ-Þ]?[^\W\d_]+)?)"
-AT = r"(?:@|\s?[\[({<]\s?(?:at|AT|At)\s?[\])}>]\s?)"
-DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|DOT|Dot)\s?[\])}>]\s?)"
-EMAIL_RE = re.compile(rf"[\w.+-]+{AT}[\w-]+(?:{DOT}[\w-]+)+|[\w.+-]+\s(?:at|AT)\s[\w-]+(?:\s(?:dot|DOT)\s[\w-]+)+")
-NUMBER_RE = re.compile(r"(?<![\w,])[+(]?(?:[A-Z]{1,3}|[A-Z]{2} (?=\d\d \d\d ))?\d(?:(?:[ ().\-/]{0,3}|\n)\d){6,}(?: ?[A-Z](?![\w-]))?(?:,?\s?(?:ext\.?|x|Ext\.?)\s?\d{1,5})?|(?<![\w,])\d{3}[ .-]\d{4}(?!\d)")
-ADDRESS_RE = re.compile(
-    rf"(?<![\w,.])\d{{1,4}}[A-Za-z]?,?\s(?:{NAME}|(?:rue|calle|via|avenue|boulevard|chemin)\s)|\w+(?:stra(?:ß|ss)e|str\.|weg|platz|gasse|allee)\s\d|(?:Calle|Via|Rue|Avenida|Plaza|Straße|Str\.|ул\.)\s[^\n,]{{2,30}},?\s\d{{1,4}}"
-)
-# The same in parts that begin with a class of characters, which is what makes a search fast.
-NUMBERED_STREET = re.compile(rf"\d{{1,4}}[A-Za-z]?,?\s(?:{NAME}|(?:rue|calle|via|avenue|boulevard|chemin)\s)")
-STREET_NUMBERED = re.compile(r"(?:stra(?:ß|ss)e|str\.|weg|platz|gasse|allee)\s\d")
-NAMED_STREET = re.compile(r"(?:Calle|Via|Rue|Avenida|Plaza|Straße|Str\.|ул\.)\s[^\n,]{2,30},?\s\d{1,4}")
-DIGITS = re.compile(r"\d[\d ().\-/\n]{5,}\d")
-PERSON_RE = re.compile(rf"{NAME}(?:-\s?{NAME})?(?:,\s|\s(?:[A-ZÀ-Þ]\.\s){{0,2}}|(?:(?<=Mr)|(?<=Mrs)|(?<=Ms)|(?<=Dr)|(?<=Prof)|(?<=Sr)|(?<=Sra)|(?<=Dra))\.\s){NAME}(?:-\s?{NAME})?")
-TITLE_RE = re.compile(r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Mme|Herr|Frau|Sra?|Dra)\.?\s")
-NUMBERED = re.compile(r"\b(?:invoice|serial|build|ticket|version|order|tracking|application|reference|batch|part|model|isbn|article|case|item|policy|account|lot|release|revision|asset|project)(?:\s(?:no\.?|number|nr\.?|id|code))?\s?[:#]?\s*$", re.I)
-IDENTITY_CUE = re.compile(r"\b(?:id|i\.d\.|id card|ssn|passport|licen[cs]e|social security|social security number|tax (?:id|number)|national (?:id|insurance)|identity|identification|nino|steuernummer|ausweis|pasaporte|dni|nie)(?:\s?(?:no\.?|number|card|document|nr\.?|num\.?|n°|#))?\s?[:#|]?\s*[(\[]?$", re.I)
-
-
-# --- training ------------------------------------------------------------------------------------------------------
-
-
-def drawn(count: int = TRAINING, seed: int = 11) -> tuple[list[str], list[np.ndarray]]:
-    """Sentences with labelled spans, and look-alikes without: numbered papers, firms, places, projects, headings."""
-    r = random.Random(seed)
-    pick = r.choice
-    onsets, vowels = SYLLABLES
-    digits = lambda n: "".join(pick("0123456789") for _ in range(n))
-    letters = lambda n: "".join(pick("ABCDEFGHJKLMNPQRSTUVWXYZ") for _ in range(n))
-
-    def coined() -> str:
-        return (pick(onsets) + pick(vowels) + (pick("l n r s t m".split()) if r.random() < 0.5 else "") + pick(ENDINGS)).capitalize()
-
-    def family() -> str:
-        return coined() if r.random() < 0.85 else f"{coined()}-{coined()}"
-
-    def person() -> str:
-        given = pick(GIVEN) if r.random() < 0.8 else coined()
-        x = r.random()
-        s = f"{given} {family()}" if x < 0.55 else f"{given} {pick('ABCDEFGHIJKLMNOPRSTUVW')}. {family()}" if x < 0.7 else f"{family()}, {given}" if x < 0.85 else f"{pick(['Mr', 'Mrs', 'Ms', 'Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.'])} {family()}"
-        return s.upper() if r.random() < 0.15 else s.replace(" ", "\n", 1) if r.random() < 0.08 else s
-
-    def email() -> str:
-        a, b = pick(GIVEN).lower(), coined().lower()
-        user = pick([f"{a}.{b}", f"{a}_{b}", f"{a}-{b}", f"{a[0]}{b}", f"{b}{digits(2)}", f"{a}+{pick(['docs', 'news', 'work'])}", pick(["helpdesk", "ops", "info", "office", "sales"]), b])
-        host = coined().lower() + pick(["", "", "-mail", "-post"]) + pick([".example", ".test", ".invalid", ".co.example", ".com", ".org", ".net", ".de", ".co.uk"])
-        x = r.random()
-        s = f"{user}@{host}" if x < 0.62 else f"{user} (at) {host}" if x < 0.75 else f"{user} [at] {host.replace('.', ' [dot] ')}" if x < 0.9 else f"{user} at {host.replace('.', ' dot ')}"
-        return s.upper() if r.random() < 0.15 else s
-
-    def phone() -> str:
-        return pick([
-            lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(3)}.{digits(3)}.{digits(4)}", lambda: f"+1 {digits(3)} {digits(3)} {digits(4)}", lambda: f"+1{digits(10)}",
-            lambda: f"+44 {digits(4)} {digits(6)}", lambda: f"+49 (0){digits(2)} {digits(4)} {digits(3)}", lambda: f"{digits(3)}-{digits(4)} ext. {digits(2)}", lambda: f"0{digits(3)} {digits(3)} {digits(4)}", lambda: f"+33 {digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}", lambda: f"{digits(3)}-{digits(4)}",
-        ])()
-
-    def identity() -> tuple[str, str]:
-        return pick([
-            lambda: (pick(["social security number ", "SSN ", "SSN: ", "social security no. "]), f"{digits(3)}-{digits(2)}-{digits(4)}"), lambda: (pick(["SSN: ", "SSN ", "social security number "]), digits(9)), lambda: (pick(["national ID ", "ID number ", "ID card ", "identity number "]), f"{digits(4)} {digits(4)} {digits(4)}"),
-            lambda: (pick(["tax ID ", "tax number ", "Steuernummer "]), f"{digits(2)}/{digits(3)}/{digits(5)}"), lambda: (pick(["passport no. ", "passport ", "passport number "]), letters(2) + digits(7)), lambda: (pick(["driving licence ", "driver's license ", "licence no. "]), f"{letters(1)}{digits(3)}-{digits(3)}-{digits(3)}"),
-            lambda: (pick(["national insurance number ", "NINO "]), f"{letters(2)} {digits(2)} {digits(2)} {digits(2)} {letters(1)}"),
-        ])()
-
-    common = "harbour mill quarry orchard station abbey kiln larch canal meadow saddler tannery church garden market spring maple".split()
-
-    def place() -> str:
-        return pick([coined(), coined(), f"{coined()} {pick(['Bay', 'Valley', 'Hill', 'Park'])}", f"{pick(['Port', 'Lower', 'Cold', 'Upper', 'New'])} {coined()}", f"{pick(['Lower', 'Cold', 'Old'])} {pick(['Quay', 'Harbour', 'Bridge'])}"])
-
-    def street() -> str:
-        return pick(common).capitalize() if r.random() < 0.6 else coined()
-
-    def address() -> str:
-        n = str(r.randint(1, 499)) + (pick("ABC") if r.random() < 0.1 else "")
-        s = pick([
-            lambda: f"{n} {street()} {pick(STREETS)}, {place()}", lambda: f"{n} {street()} {pick(STREETS)}, {place()} {digits(5)}", lambda: f"{street()}straße {n}, {digits(5)} {place()}", lambda: f"{n} rue de la {street()}, {place()}",
-            lambda: f"Flat {r.randint(1, 60)}, {n} {street()} {pick(STREETS)}, {place()}", lambda: f"{n} {street()} {pick(STREETS)}, Apt. {r.randint(1, 60)}", lambda: f"{n} {street()} {pick(STREETS)}", lambda: f"{street()}weg {n}, {digits(5)} {place()}", lambda: f"Calle {street()} {n}, {place()}",
-        ])()
-        if r.random() < 0.2:
-            i = pick([i for i, c in enumerate(s) if c == " "])
-            s = s[:i] + "\n" + s[i + 1 :]
-        return s
-
-    adjectives = "quiet modern regional printed stable final urgent remote weekly costly fragile active public narrow opaque mandatory central monthly confidential surplus taxable detailed complete secondary".split()
-    nouns = "ledger scheduler firmware greenhouse memo valve report tariff bakery folder index module receipt policy survey circuit budget notice permit contract workflow estimate summary archive terminal questionnaire".split()
-    verbs = "signed reviewed moved stored tested shipped renamed audited matched painted measured cancelled approved documented updated".split()
-    adverbs = "twice weekly again openly at short notice by courier in two stages after hours on request".split()
-    thing = lambda: f"the {pick(adjectives)} {pick(nouns)}"
-    firm = lambda: f"{coined()} {pick(sorted(ORGANISATIONS))}"
-    month = lambda: pick(sorted(MONTHS))
-    filler = lambda: pick([
-        lambda: f"{thing().capitalize()} was {pick(verbs)} {pick(adverbs)}.", lambda: f"{firm()} {pick(verbs)} {thing()} in {month()} {r.randint(2010, 2029)}.", lambda: f"In {place()}, {pick(adjectives)} {pick(nouns)}s {pick(verbs)} the {pick(nouns)} by {r.randint(1, 99)}.{digits(1)} percent.",
-        lambda: f"Project {coined()} depends on {thing()} and {r.randint(2, 99)} {pick(nouns)}s.", lambda: f"Each {pick(nouns)} costs {r.randint(2, 99)},{digits(3)} and is {pick(verbs)} {pick(adverbs)}.", lambda: f"According to {firm()}, every {pick(nouns)} must {pick(['sort', 'test', 'move'])} {thing()}.", lambda: "", lambda: "",
-    ])()
-    decoy = lambda: pick([
-        lambda: f"Serial {digits(3)}-{digits(2)}-{digits(4)}-{digits(2)} marks {thing()}.", lambda: f"Invoice {digits(4)} {digits(4)} {digits(4)} covers {r.randint(2, 99)} {pick(nouns)}s.", lambda: f"Build {r.randint(1, 20)}.{r.randint(0, 9)}.{digits(2)}.{digits(2)} of the {pick(nouns)} was {pick(verbs)}.",
-        lambda: f"Ticket {letters(3)}-{digits(4)} of 20{digits(2)}-0{r.randint(1, 9)}-1{digits(1)} replaced ticket {letters(3)}-{digits(4)}.", lambda: f"Order {digits(10)} and tracking {digits(4)} {digits(4)} {digits(4)} were {pick(verbs)}.", lambda: f"Application number: {letters(3)}-{digits(7)}", lambda: f"The {pick(nouns)} on {street()} Street was {pick(verbs)} {pick(adverbs)}.",
-        lambda: f"The handle @{pick(nouns)} is unused.", lambda: f"{pick(adjectives).capitalize()} {pick(nouns).capitalize()} | Internal use", lambda: f"{firm()} — {pick(adjectives).capitalize()} {pick(nouns).capitalize()}", lambda: f"{pick(adjectives).capitalize()} {pick(nouns).capitalize()} (rev. {pick('ABCD')})  Page {r.randint(1, 99)}",
-        lambda: f"Confidential / {firm()}", lambda: f"Lender: {firm()}\nBranch: {place()}\nRate: {r.randint(1, 60)}.{digits(1)}", lambda: f"| Lender | {firm()} |\n| Branch | {place()} |", lambda: f"Lender\n{firm()}\nBranch\n{place()}\nAmount\n{r.randint(2, 99)},{digits(3)}", lambda: f"Dear reader, the {pick(nouns)} of {firm()} is {pick(verbs)}.",
-        lambda: f"According to {firm()}, the {pick(nouns)} was {pick(verbs)}.", lambda: f"{place()} and {place()} share one {pick(nouns)}.", lambda: f"Both {firm()} and {firm()} {pick(verbs)} {thing()}.", lambda: f"Clause {r.randint(2, 99)} and Section {r.randint(2, 99)} of the {pick(nouns)} were {pick(verbs)}.", lambda: f"Regards, the {pick(['field', 'support', 'intake'])} team",
-        lambda: f"It was {pick(verbs)} at {place()} on {month()} {r.randint(1, 49)}.", lambda: f"Version {r.randint(1, 99)}.{r.randint(1, 99)}.{r.randint(1, 9)} holds {r.randint(2, 99)},{digits(3)} rows and {digits(7)} cells.", lambda: f"Part {digits(3)}-{digits(4)} replaced model {letters(1)}{digits(3)}-{digits(3)}-{digits(3)}.", lambda: f"{pick(adjectives).upper()} {pick(nouns).upper()}", lambda: f"The German edition calls it „Prüfung im Werk {pick(['Süd', 'Nord', 'Ost'])}“.", lambda: f"Der {coined()} hat {r.randint(2, 99)} Seiten und wird im {coined()} geprüft.", lambda: f"Le {pick(nouns)} est copié à {place()}, malgré {r.randint(2, 99)} relances.",
-        lambda: f"{pick(verbs)} the {pick(nouns)} of {firm()} {pick(adverbs)}".upper() + ".",
-        lambda: f"When did {firm()} {pick(['sign', 'test', 'move'])} the {pick(nouns)}s?", lambda: f"Where is the {pick(nouns)} of Project {coined()} described?", lambda: f"The {pick(['field', 'support'])} team {pick(verbs)} {r.randint(2, 99)} {pick(nouns)}s before the {pick(nouns)} in {month()}.",
-    ])()
-    labels = {
-        "email": ["E-mail", "Email", "Mail", "E-Mail"], "phone": ["Phone", "Tel", "Mobile", "Contact number", "Telephone", "Telefon"], "identity": ["Identity", "ID document", "Proof of identity", "ID"], "address": ["Address", "Postal address", "Residence", "Anschrift"], "person": ["Name", "Full name", "Applicant", "Account holder", "Customer", "Contact", "Signed"],
-    }
-
-    def value(kind: str) -> list:
-        if kind == "identity":
-            cue, number = identity()
-            return [cue, (kind, number)]
-        return [(kind, {"email": email, "phone": phone, "address": address, "person": person}[kind]())]
-
-    def form() -> list:
-        join = pick([": ", "\n", " ", " | "])
-        out: list = []
-        for kind in r.sample(KINDS, r.randint(1, 3)):
-            out += [("| " if join == " | " else "") + pick(labels[kind]) + join, *value(kind), " |\n" if join == " | " else "\n"]
-            if r.random() < 0.5:
-                out.append(("| " if join == " | " else "") + pick([f"Rate{join}{r.randint(1, 60)}.{digits(1)}", f"Reference{join}{letters(3)}-{digits(4)}", f"Lender{join}{firm()}", f"Branch{join}{place()}", f"Tenure in months{join}{r.randint(1, 99)}"]) + (" |\n" if join == " | " else "\n"))
-        return out
+TITLES = "Mr Mrs Ms Miss Dr Prof Mme Herr Frau Sr Sra Dra".split()
+FIRMS = "Aerospace Agency AG Airlines Analytics Associates Authority Automotive Bakery Bank Board Brewing Brothers Capital Ceramics Chemicals Club College Committee Company Construction Consulting Corp Corporation Council Department Design Dynamics Electric Energy Engineering Fabrics Farms Finance Foods Foundation Freight Fund Furniture Gas Glass GmbH Group Guild Holdings Hospital Hotels Inc Industries Institute Instruments Insurance International Investments Labs Laundry Limited LLC Logistics Ltd Machinery Media Metals Ministry Mining Motors Mutual Office Optics Packaging Paper Partners Pharma Plastics Power Press Printing Railways Retail Robotics SA School Security Services Shipping Society Software Solutions Steel Storage Stores Supply Systems Technologies Telecom Textiles Timber Tools Toys Trading Transport Travel Trust Union University Utilities Water Works".split()
+PLACES = "Airport Bay Beach Bridge Building Castle City Coast Cold County Creek East Falls Forest Fort Gate Great Green Harbor Harbour Heights High Hill Island Lake Lower Market Mount New North Old Park Point Port Quay Ridge River Saint South Springs Station Tower Town Upper Valley Village West Wharf Wood".split()
+MONTHS = "January February March April May June July August September October November December Januar Februar März Mai Juni Juli Oktober Dezember".split()
+STREETS = "Street Avenue Lane Road Rd Ave Drive Square Court Way Terrace Close Place Boulevard Blvd Crescent Row St Rue Chemin Calle Avenida Plaza Via Viale Piazza Straße Strasse Weg Platz Gasse Allee Flat Apt Unit Suite".split()
+FUNCTION = "a about after again all almost also although am an and any are as at be because been before being below between both but by can cannot could did do does down during each either every few for from had has have he her here his how i if in instead into is it its just later least less like may me more most must my near neither never no nor not now of off on once one only or other our out over own per please rather same shall she should since so some still such than that the their them then there these they this those though through to too under unless until up upon us via was we were what when where which while who why will with within without would yet you your der die das den dem ein eine und ist mit von zu im auf für nicht wird le la les un une des du et est dans sur pour par avec el los las una del y en por para con es se".split()
+IDENTITY_CUES = "id ssn passport licence license nino identity identification national social security insurance tax steuernummer ausweis personalausweis pasaporte dni nie passeport driving driver".split()
+NUMBER_CUES = "invoice serial build ticket version order tracking application reference batch part model isbn article case item policy account lot release revision asset project ref page section clause table figure room row pages rows".split()
+WORD_KINDS = ("none", "ordinary", "function", "given", "title", "firm", "place", "month", "street", "identity", "number")
+_LISTS = {"number": NUMBER_CUES, "identity": IDENTITY_CUES, "street": STREETS, "place": PLACES, "firm": FIRMS, "month": MONTHS, "given": GIVEN, "title": TITLES, "function": FUNCTION}
+_KIND = {w.lower(): WORD_KINDS.index(k) for k, words in _LISTS.items() for w in words}
+_STREET_END = re.compile(r"(?:stra(?:ß|ss)e|weg|platz|gasse|allee)$")
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def word_kinds(text: str, ordinary: Container[str], memo: dict[str, int] | None = None) -> np.ndarray:
+    """The kind of word that each character of ``text`` belongs to; 0 between words."""
+    out = np.zeros(len(text), np.uint8)
+    memo = {} if memo is None else memo
+    for m in _WORD.finditer(text):
+        w = m[0]
+        k = memo.get(w)
+        if k is None:
+            low = w.lower()
+            k = _KIND.get(low)
+            if k is None or k == 2 and w[0].isupper() and len(w) == 1:
+                k = WORD_KINDS.index("street") if _STREET_END.search(low) else int(low in ordinary)
+            if len(memo) < 500_000:
+                memo[w] = k
+        if k:
+            out[m.start() : m.end()] = k
+    return out
 
-    sentence = lambda: pick([
-        lambda: ["You can reach me on ", *value("phone"), ", thanks."], lambda: ["Please contact ", *value("person"), " at ", *value("email"), f" about the {pick(nouns)}."], lambda: [f"According to ", *value("person"), f", the {pick(nouns)} was {pick(verbs)} {pick(adverbs)}."], lambda: ["Regards, ", *value("person"), pick(["", "\n", " " + thing().capitalize() + " was kept."])],
-        lambda: [f"Handed to ", *value("person"), f" at {place()} on {month()} {r.randint(1, 31)}."], lambda: ["The applicant ", *value("person"), " gave ", *value("identity"), " as proof."], lambda: [f"The {pick(['night shift', 'claims desk', 'office'])} {pick(verbs)} the claim of ", *value("person"), " (", *value("identity"), ")."], lambda: ["Invoices reach ", *value("person"), " via ", *value("email"), ", never via the office."],
-        lambda: [f"The {pick(nouns)} was signed by ", *value("person"), ", ", *value("address"), "."], lambda: ["Prepared by ", *value("person"), f" for {firm()}."], lambda: [*value("person"), " and ", *value("person"), f" {pick(verbs)} {thing()}."], lambda: ["The keys are held at ", *value("address"), "; ring ", *value("phone"), " first."], lambda: ["hi, my name is ", *value("person"), f" and i need the {pick(nouns)}"],
-        lambda: ["is ", *value("person"), " still listed under ", *value("phone"), "?"], lambda: [f"send {thing()} to ", *value("email"), " pls"], lambda: ["please cc ", *value("email"), " and ", *value("email"), f" on {thing()}"], lambda: ["I moved to ", *value("address"), f", please update the {pick(nouns)}."], lambda: [f"did the {pick(nouns)} go to ", *value("address"), f" or to {place()}?"],
-        lambda: ["my ", *value("identity"), f" should be in the {pick(nouns)}, can you check?"], lambda: ["what does the file say about ", *value("identity")], lambda: [f"Page {r.randint(1, 99)} shows ", *value("identity"), "."], lambda: ["The document lists ", *value("phone"), " for ", *value("person"), "."], lambda: [f"The {pick(nouns)} names ", *value("person"), " (", *value("email"), ") as owner."], lambda: ["Write to ", *value("email"), "."],
-        lambda: [*value("person"), f" is the contact; the address on the {pick(nouns)} is ", *value("address"), "."], lambda: [f"On file: ", *value("identity"), ", checked by the office."], lambda: [f"Call ", *value("person"), " on ", *value("phone"), "."], lambda: [*value("person"), f" {pick(verbs)} {thing()} {pick(adverbs)}."], lambda: [f"{thing().capitalize()} was {pick(verbs)} by ", *value("person"), "."], lambda: ["Deliver it to ", *value("address"), f" before {month()}."], lambda: ["Call ", *value("phone"), f" after {thing()} is {pick(verbs)}."], lambda: ["This is ", *value("person"), f" from {firm()}. Who {pick(verbs)} {thing()}?"], lambda: [*value("person"), " lives at ", *value("address"), "."], lambda: [f"The {pick(nouns)} went from ", *value("person"), " to ", *value("person"), "."],
-    ])()
-    texts, gold = [], []
-    while len(texts) < count:
-        x = r.random()
-        parts = [decoy()] if x < 0.3 else form() if x < 0.45 else sentence()
-        before, after = filler(), filler()
-        parts = [before + pick([" ", " ", "\n", "\n\n"]) if before else "", *parts, pick([" ", "\n", "\n\n"]) + after if after else ""]
-        text, labels_ = "", []
-        for p in parts:
-            kind, s = (None, p) if isinstance(p, str) else p
-            own = [0] * len(s) if kind is None else [1 + 2 * KINDS.index(kind)] + [2 + 2 * KINDS.index(kind)] * (len(s) - 1)
-            text += s
-            labels_ += own
-        if r.random() < 0.25:  # a line end instead of a blank somewhere
-            spaces = [i for i, c in enumerate(text) if c == " "]
-            if spaces:
-                i = pick(spaces)
-                text = text[:i] + "\n" + text[i + 1 :]
-        start = r.randint(0, max(0, len(before) - 10)) if before else 0
-        text, labels_ = text[start : start + WINDOW], labels_[start : start + WINDOW]
-        if labels_ and labels_[0] % 2 == 0 and labels_[0]:
-            continue
-        texts.append(text)
-        gold.append(np.array(labels_))
-    return texts, gold
-
-
-_models: dict[tuple, Tagger] = {}
-
-
-def trained(count: int = TRAINING, epochs: int = 8, seed: int = 11) -> Tagger:
-    """The tagger fitted on ``count`` drawn sentences; fitted once in a process."""
-    key = (count, epochs, seed)
-    if key not in _models:
-        texts, gold = drawn(count, seed)
-        model = Tagger(LABELS)
-        model.fit(texts, gold, epochs, batch=64, rate=1.1e-2)
-        _models[key] = model
-    return _models[key]
 
+# --- the model -----------------------------------------------------------------------------------------------------
 
-# --- finding -------------------------------------------------------------------------------------------------------
+_models: dict[str, Tagger] = {}
 
 
-def triggers(text: str, ordinary: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
-    """Spans of everything that could be personal; pairs of ``ordinary`` words (lower case) cannot."""
-    out = []
-    if "@" in text or "at" in text and ("[" in text or "(" in text or " dot" in text or " DOT" in text):
-        out += [m.span() for m in EMAIL_RE.finditer(text)]
-    for d in DIGITS.finditer(text):
-        out += [m.span() for m in NUMBER_RE.finditer(text, max(0, d.start() - 4), min(len(text), d.end() + 12)) if m.start() < d.end()]
-    streets = NUMBERED_STREET.finditer(text)
-    for m in streets:
-        before, words = text[m.start() - 1 : m.start()], m[0].split()
-        if before and (before.isalnum() or before in ",.") or len(words) > 1 and (words[1] in MONTHS or words[1] in FUNCTION) or not STREET_RE.search(text, m.start(), m.end() + 40):
-            continue
-        out.append(m.span())
-    if "stra" in text or "weg " in text or "platz " in text or "str. " in text or "gasse " in text or "allee " in text:
-        for m in STREET_NUMBERED.finditer(text):
-            at = m.start()
-            while at > 0 and text[at - 1].isalpha():
-                at -= 1
-            out.append((at, m.end()))
-    if any(w in text for w in ("Calle ", "Via ", "Rue ", "Avenida ", "Plaza ", "Straße ", "Str. ", "ул. ")):
-        out += [m.span() for m in NAMED_STREET.finditer(text)]
-    at = 0
-    while m := PERSON_RE.search(text, at):
-        words = re.findall(r"[^\W\d_]+", m[0])
-        names = [w for w in words if len(w) > 1]
-        title = TITLE_RE.match(m[0]) is not None
-        if not title and (words[0] in FUNCTION or words[0] in MONTHS):
-            at = m.start() + len(words[0])
-        elif not title and all(w.lower() in ordinary for w in names):
-            at = m.start() + len(words[0])
-        elif names and (names[-1] in ORGANISATIONS or names[-1] in PLACES or names[-1] in MONTHS or names[0] in PLACES or names[0] in ORGANISATIONS):
-            at = m.start() + len(words[0]) if names[-1] not in ORGANISATIONS and names[-1] not in PLACES else m.end()
-        else:
-            out.append(m.span())
-            at = m.end()
-    return out
+def fitted(count: int = 100_000, epochs: int = 8, seed: int = 11, hidden: int = HIDDEN, model: Tagger | None = None, rate: float = 1.1e-2) -> Tagger:
+    """A tagger fitted on ``count`` drawn texts; ``model`` is one to go on with."""
+    from .pii_drawn import drawn
+
+    texts, gold, kinds = drawn(count, seed)
+    model = model or Tagger(LABELS, len(WORD_KINDS), EMBED, hidden)
+    model.fit(texts, gold, epochs, batch=64, rate=rate, kinds=kinds)
+    return model
 
 
-def stretches(text: str, ordinary: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
-    """Parts of the text to read: triggers with what is around them, cut at blanks where possible, merged."""
-    spans = sorted(triggers(text, ordinary))
-    out: list[list[int]] = []
-    for a, b in spans:
-        s = max(0, a - AROUND)
-        while 0 < s < a and text[s - 1] not in " \n\t":
-            s += 1
-        e = min(len(text), b + AROUND)
-        while b < e < len(text) and text[e] not in " \n\t":
-            e -= 1
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(a, b) for a, b in out]
+def trained(weights: str | None = None) -> Tagger:
+    """The tagger with the weights in the file ``weights`` (by default $DOCLOOM_PII_WEIGHTS or the one beside this
+    module); read once in a process."""
+    path = weights or os.environ.get("DOCLOOM_PII_WEIGHTS") or str(WEIGHTS)
+    if path not in _models:
+        with np.load(path) as f:
+            p = {k: f[k].astype(np.float32) for k in f.files}
+        model = Tagger(LABELS, len(WORD_KINDS), p["e"].shape[1], p["hf"].shape[0])
+        model.p = p
+        _models[path] = model
+    return _models[path]
+
+
+def save(model: Tagger, path: str | Path = WEIGHTS) -> None:
+    np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in model.p.items()})
+
+
+# --- finding -------------------------------------------------------------------------------------------------------
 
 
 def windows(length: int) -> list[tuple[int, int]]:
-    """Overlapping windows over a stretch."""
+    """Overlapping windows over a text."""
     if length <= WINDOW:
         return [(0, length)]
-    step = WINDOW - OVERLAP
-    starts = list(range(0, length - OVERLAP, step))
-    return [(s, min(s + WINDOW, length)) for s in starts]
+    return [(s, min(s + WINDOW, length)) for s in range(0, length - OVERLAP, WINDOW - OVERLAP)]
 
 
-PHONE_FORM = re.compile(r"[+(]|\d{3}[.-]\d{3}[.-]\d{4}$|\d{3}[ .-]\d{4}\b|0\d{2,4}[ /-](?!\d\d-\d{4}$)")
-
-
-def checked(kind: str, text: str, a: int, b: int, ordinary: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
-    """The exact forms, with their kind, that a labelled span touches. Which of the two numbers one is, is settled by the
-    words before it and by its form."""
-    span = text[a:b]
-    touching = lambda form, before, after: [m for m in form.finditer(text, max(0, a - before), min(len(text), b + after)) if m.start() < b and m.end() > a]
+def possible(kind: str, span: str) -> bool:
+    """Whether a span can be of its kind at all."""
+    digits = sum(c.isdigit() for c in span)
     if kind == "email":
-        return [(m.start(), m.end() - (m[0][-1] in ".-"), kind) for m in touching(EMAIL_RE, 40, 60)]
+        return re.search(r"@|\bat\b", span, re.I) is not None and re.search(r"\.|\bdot\b", span, re.I) is not None
     if kind in ("phone", "identity"):
-        hits = []
-        for m in touching(NUMBER_RE, 24, 24):
-            before = text[max(0, m.start() - 40) : m.start()]
-            cued = IDENTITY_CUE.search(before) is not None
-            if NUMBERED.search(before) and not cued:
-                continue
-            if sum(c.isdigit() for c in m[0]) > 20 or re.search(r"\d{13}", m[0]) or re.fullmatch(r"(?:19|20)\d\d-\d\d-\d\d", m[0]):
-                continue
-            hits.append((*m.span(), "identity" if cued and m[0][0] not in "+(" or m[0][0].isalpha() else "phone" if PHONE_FORM.match(m[0]) else kind))
-        return hits
+        return digits >= 6
     if kind == "address":
-        if not re.match(r"(?:Flat|Unit|Apt)", span):
-            # from the house number or street that it touches, which may stand at the end of the line before
-            m = next((m for m in ADDRESS_RE.finditer(text, max(0, a - 12), min(len(text), b + 12)) if m.end() > a and m.start() < b and not set(m[0].split()) & FUNCTION and STREET_RE.search(text, m.start(), m.end() + 20)), None)
-            if m and m.start() - a < 40:
-                a, b = m.start(), max(b, m.end())
-                span = text[a:b]
-        if (flat := re.compile(r"\.?\s?\d+").match(text, b)) and re.search(r"(?:Apt|Flat|Unit|No)$", span):
-            b = flat.end()
-        if "\n" in span and (label := re.search(r"\n(?:\||[A-Z][a-z]*$|[A-Z][a-z-]+(?: [a-z]+)*:?\s)", span)) and any(c.isdigit() for c in span[: label.start()]) and STREET_RE.search(span[: label.start()]):
-            b, span = a + label.start(), span[: label.start()]
-        while tail := re.search(r"(?:[\s,;]+[a-zà-ÿ]+|\.\s+[^\W\d_]+|[\s.,;]+)$", text[a:b]):
-            if re.search(r"(?:straße|strasse|weg|platz|gasse|allee)$", text[a:b]):
-                break
-            b = a + tail.start()
-        span = text[a:b]
-        form = STREET_RE.search(span) and any(c.isdigit() for c in span) and sum(c.isalpha() for c in span) > 3 and re.search(r"[A-ZÀ-Þ]", span) and len(span) > 7
-        return [(a, b, kind)] if form else []
-    # the whole name that the label touches; a pair that only begins like one is stepped over by its first word
-    at, hits = max(0, a - 24), []
-    while at < b and (m := PERSON_RE.search(text, at, min(len(text), b + 40))):
-        if min(m.end(), b) - max(m.start(), a) >= min(3, b - a) and is_name(m[0], ordinary):
-            hits.append((*m.span(), kind))
-            at = m.end()
-        else:
-            at = m.start() + max(1, len(re.match(r"\w*", m[0])[0]))
-    # a name that runs into the address behind it
-    for m in ADDRESS_RE.finditer(text, a, min(len(text), b + 12)):
-        if m.start() < b and STREET_RE.search(text, m.start(), m.end() + 24) and not set(m[0].split()) & (FUNCTION | MONTHS):
-            hits += checked("address", text, m.start(), max(m.end(), min(b, m.end() + 60)), ordinary)
-    return hits
-
-
-def is_name(span: str, ordinary: frozenset[str] = frozenset()) -> bool:
-    """Whether capitalised words can be a person's name: no organisation, place, month or ordinary words."""
-    words = re.findall(r"[^\W\d_]+", span)
-    names = [w for w in words if len(w) > 1]
-    if any(c.isdigit() for c in span) or STREET_RE.search(span) or not names or not all(w[0].isupper() for w in names):
-        return False
-    if any(v in ORGANISATIONS or v in PLACES or v in MONTHS or v in FUNCTION for w in names for v in (w, w.capitalize())):
-        return False
-    title = TITLE_RE.match(span) is not None
-    usual = sum(w.lower() in ordinary for w in names)
-    if usual and ("\n" in span or all(w.isupper() for w in names)):
-        return False  # the end of one line and the start of the next, or text in capitals
-    return title or len(names) > 1 and usual < len(names)
+        return digits >= 1 and any(c.isalpha() for c in span) and len(span) > 5
+    # a single word, or the end of one sentence and the start of the next, is no person's full name
+    return digits == 0 and len(_WORD.findall(span)) > 1 and re.search(r"[^\W\d_]{5,}[.!?]\s", span) is None
 
 
 class Finder:
-    """Finds personal information in many texts at once."""
+    """Finds personal information in many texts at once. ``ordinary``: words that stand in lower case as a rule."""
 
-    def __init__(self, model: Tagger, ordinary: frozenset[str] = frozenset()):
-        self.model, self.ordinary = model, ordinary
+    def __init__(self, model: Tagger, ordinary: Container[str] = frozenset()):
+        self.model, self.ordinary, self.memo = model, ordinary, {}
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """For each text its spans (start, end, kind), in order and without overlap."""
-        places = [(i, a, b) for i, t in enumerate(texts) if t for a, b in stretches(t, self.ordinary)]
-        parts = [(k, s, e) for k, (_, a, b) in enumerate(places) for s, e in windows(b - a)]
-        parts.sort(key=lambda p: p[2] - p[1])
-        labels: dict[int, np.ndarray] = {}
-        sums: dict[int, list] = {}
-        for at in range(0, len(parts), 512):
-            own = parts[at : at + 512]
-            width = own[-1][2] - own[-1][1]
-            ids = np.zeros((len(own), width), np.int64)
-            for r, (k, s, e) in enumerate(own):
-                i, a, _ = places[k]
-                ids[r, : e - s] = symbols(texts[i][a + s : a + e])
-            scores = self.model.scores(ids)
-            scores[:, :, 0] -= EAGER
-            whole = [r for r, (k, s, e) in enumerate(own) if e - s == places[k][2] - places[k][1]]
-            if whole:
-                lengths = np.array([own[r][2] - own[r][1] for r in whole])
-                for r, y in zip(whole, self.model.decode_many(scores[whole], lengths)):
-                    labels[own[r][0]] = y
-            for r, (k, s, e) in enumerate(own):
-                n = places[k][2] - places[k][1]
-                if e - s == n:
-                    continue
-                total = sums.setdefault(k, [np.zeros((n, LABELS)), np.zeros(n)])
-                weight = np.minimum(np.arange(1, e - s + 1), np.arange(e - s, 0, -1)).clip(1, OVERLAP) / OVERLAP
-                total[0][s:e] += scores[r, : e - s] * weight[:, None]
-                total[1][s:e] += weight
-        for k, (score, weight) in sums.items():
-            labels[k] = self.model.decode(score / weight[:, None])
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for k, (i, a, _) in enumerate(places):
-            y = labels[k]
-            p = 0
-            while p < len(y):
-                if not y[p]:
-                    p += 1
-                    continue
-                kind = (y[p] - 1) // 2
-                e = p + 1
-                while e < len(y) and y[e] == 2 + 2 * kind:
-                    e += 1
-                s, t = a + p, a + e
-                while t > s and texts[i][t - 1] in " \n\t.,;:)|":
-                    t -= 1
-                while s < t and texts[i][s] in " \n\t.,;:(|":
-                    s += 1
-                if t > s:
-                    out[i] += checked(KINDS[kind], texts[i], s, t, self.ordinary)
-                p = e
-        return [apart(spans) for spans in out]
-
-
-def apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans in order without overlap; of overlapping ones the first and longest stays."""
-    out: list[tuple[int, int, str]] = []
-    for s in sorted(set(spans), key=lambda s: (s[0], -s[1], s[2])):
-        if not out or s[0] >= out[-1][1]:
-            out.append(s)
-    return out
+        at = 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and (not group or size + len(texts[at] or "") <= TOGETHER):
+                if texts[at]:
+                    group.append(at)
+                    size += len(texts[at])
+                at += 1
+            if group:
+                self._find(texts, group, out)
+        return out
+
+    def _scores(self, ids: np.ndarray, kinds: np.ndarray, starts: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """Label scores of every character of texts laid end to end."""
+        parts = sorted(((s + a, s + b, len(w) == 1) for s, n in zip(starts, sizes) for w in (windows(n),) for a, b in w), key=lambda p: p[1] - p[0])
+        total, weight = np.zeros((len(ids), LABELS), np.float32), np.zeros(len(ids), np.float32)
+        for k in range(0, len(parts), BATCH):
+            own = parts[k : k + BATCH]
+            width = own[-1][1] - own[-1][0]
+            x, z = np.zeros((len(own), width), np.uint8), np.zeros((len(own), width), np.uint8)
+            for r, (a, b, _) in enumerate(own):
+                x[r, : b - a], z[r, : b - a] = ids[a:b], kinds[a:b]
+            scores = self.model.scores(x, z)
+            for r, (a, b, alone) in enumerate(own):
+                if alone:
+                    total[a:b], weight[a:b] = scores[r, : b - a], 1
+                else:
+                    near = np.minimum(np.arange(1, b - a + 1), np.arange(b - a, 0, -1)).clip(1, OVERLAP).astype(np.float32)
+                    total[a:b] += scores[r, : b - a] * near[:, None]
+                    weight[a:b] += near
+        return total / weight[:, None]
+
+    def _open(self, scores: np.ndarray, edge: np.ndarray) -> list[tuple[int, int]]:
+        """The stretches, none across an ``edge``, where the best path can leave "outside"; it cannot elsewhere.
+
+        Keeping a label over a run of characters gains, over leaving it for the run, at most ``keep`` for each of them
+        and ``again`` once; a stretch between such runs gains at most ``enter`` by transitions and ``keep`` for each of
+        its characters.
+        """
+        t = self.model.p["t"]
+        begin, inside = np.arange(1, LABELS, 2), np.arange(2, LABELS, 2)
+        stay, out = t[inside, inside].max(), t[0, 0]
+        keep = max(float(stay - out), 0.0)
+        ends = max(t[inside, 0].max(), t[begin, 0].max())
+        again = float(stay + out - min(t[inside, 0].min(), t[begin, 0].min()) - t[0, begin].min()) + 0.5
+        enter = float(t[0, begin].max() + ends - 2 * out + max(t[begin, inside].max() - stay, 0))
+        lead = scores[:, 0] - scores[:, 1:].max(1)
+        cut = lambda inner: np.flatnonzero(edge | np.concatenate([[True], inner[1:] != inner[:-1]]))
+        away = lead > keep
+        first = cut(away)
+        size = np.diff(np.concatenate([first, [len(lead)]]))
+        over = np.where(away, lead - keep, 0).astype(np.float64)
+        so_far = np.cumsum(over)
+        before = np.repeat(so_far[first] - over[first], size)
+        whole = np.repeat(np.add.reduceat(over, first), size)
+        # a span may reach into such a run from either side until that costs more than leaving would
+        sure = away & (so_far - before > again) & (whole - (so_far - before) + over > again)
+        first = cut(sure)
+        last = np.concatenate([first[1:], [len(lead)]])
+        gain = np.add.reduceat(np.maximum(-lead, 0), first) + keep * (last - first) + enter
+        return [(int(a), int(b)) for a, b in zip(first[(gain > 0) & ~sure[first]], last[(gain > 0) & ~sure[first]])]
+
+    def _find(self, texts: list[str | None], group: list[int], out: list[list[tuple[int, int, str]]]) -> None:
+        sizes = [len(texts[i]) for i in group]
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        ids = np.concatenate([symbols(texts[i]) for i in group])
+        scores = self._scores(ids, np.concatenate([word_kinds(texts[i], self.ordinary, self.memo) for i in group]), starts, sizes)
+        edge = np.zeros(len(ids), bool)
+        edge[starts] = True
+        todo = self._open(scores, edge)
+        labels = np.zeros(len(ids), np.int64)
+        todo.sort(key=lambda p: p[1] - p[0])
+        for k in range(0, len(todo), 512):
+            own = todo[k : k + 512]
+            lengths = np.array([b - a for a, b in own])
+            padded = np.zeros((len(own), lengths[-1] + 2, LABELS), np.float32)
+            padded[:, :, 1:] = -50  # outside before and behind
+            for r, (a, b) in enumerate(own):
+                padded[r, 1 : 1 + b - a] = scores[a:b]
+            for (a, b), y in zip(own, self.model.decode_many(padded, lengths + 2)):
+                labels[a:b] = y[1:-1]
+        before = np.concatenate([[0], labels[:-1]])
+        begins = np.flatnonzero((labels > 0) & ((labels % 2 == 1) | edge | ((before + 1) // 2 != (labels + 1) // 2)))
+        of = np.searchsorted(starts, begins, "right") - 1
+        for s, j in zip(begins, of):
+            kind, stop = (labels[s] - 1) // 2, starts[j] + sizes[j]
+            e = s + 1
+            while e < stop and labels[e] == 2 + 2 * kind:
+                e += 1
+            text, a, b = texts[group[j]], int(s - starts[j]), int(e - starts[j])
+            while b > a and text[b - 1] in " \n\r\t.,;:|":
+                b -= 1
+            while a < b and text[a] in " \n\r\t.,;:|":
+                a += 1
+            if b > a and possible(KINDS[kind], text[a:b]):
+                out[group[j]].append((a, b, KINDS[kind]))
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -427,25 +242,17 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def ordinary_words(*texts: DataFrame) -> frozenset[str]:
-    """Words that stand in lower case in many of all records; see ``scans.vocabulary`` for the bound."""
-    both = texts[0]
-    for more in texts[1:]:
-        both = both.unionByName(more)
-    return frozenset(vocabulary(both))
-
-
-def personal(records: DataFrame, key: str, text: str, with_text: bool = True, ordinary: frozenset[str] | None = None) -> DataFrame:
+def personal(records: DataFrame, key: str, text: str, with_text: bool = True, ordinary: Marked | None = None, weights: str | None = None) -> DataFrame:
     """``record_key, text, kinds`` of records with or without personal information: the text with placeholders and the
     distinct kinds found in it.
 
     A null key takes no part, a repeated key counts once, null texts stay null and have no kinds; other columns are
-    ignored. ``with_text=False`` leaves the text out and gives only records with a find. ``ordinary`` are words that are
-    no names by themselves; by default those of the records.
+    ignored. ``with_text=False`` leaves the text out and gives only records with a find. ``ordinary`` are the words that
+    stand in lower case as a rule; by default those of the records.
     """
     if ordinary is None:
-        ordinary = ordinary_words(records.select(F.col(text).alias("text")))
-    sent = records.sparkSession.sparkContext.broadcast((trained(), ordinary))
+        ordinary = lower_words(records.select(F.col(text).alias("text")))
+    sent = records.sparkSession.sparkContext.broadcast((trained(weights), ordinary))
     rows = records.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("text")).where("record_key is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,10 +260,9 @@ def personal(records: DataFrame, key: str, text: str, with_text: bool = True, or
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
-            for at in range(0, len(texts), 2000):
-                for k, t, spans in zip(keys[at : at + 2000], texts[at : at + 2000], finder.find(texts[at : at + 2000])):
-                    if with_text or spans:
-                        rows.append((k, redact(t, spans) if with_text and t is not None else None, sorted({s[2] for s in spans})))
+            for k, t, spans in zip(keys, texts, finder.find(texts)):
+                if with_text or spans:
+                    rows.append((k, redact(t, spans) if with_text and t is not None else None, sorted({s[2] for s in spans})))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.string(), pa.string(), pa.list_(pa.string())))], names=["record_key", "text", "kinds"])
 
     return rows.mapInArrow(run, "record_key string, text string, kinds array<string>").dropDuplicates(["record_key"])
@@ -473,6 +279,10 @@ def redacted(segments: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def _both(segments: DataFrame, messages: DataFrame, with_text: bool) -> DataFrame:
-    ordinary = ordinary_words(segments.select("text"), messages.select(F.col("content").alias("text")))
+    ordinary = lower_words(segments.select("text").unionByName(messages.select(F.col("content").alias("text"))))
     of = lambda df, name, key, text: personal(df, key, text, with_text, ordinary).select(F.lit(name).alias("table_name"), "record_key", "text", "kinds")
     return of(segments, "segments", "document_id", "text").unionByName(of(messages, "chat_messages", "id", "content"))
+
+
+if __name__ == "__main__":  # about twenty minutes
+    save(fitted(epochs=6, seed=12, model=fitted(), rate=5e-3))

@@ -1,11 +1,13 @@
 import numpy as np
 import pytest
 
-from docloom.llm import bilstm, pii
+from docloom.llm import bilstm, pii, pii_drawn
 
+#: Written by hand, in words that the drawn training texts do not use.
 KINDS = {
     "You can reach me on (293) 555-0103, thanks.": {"phone"}, "Please contact Marta Keldov at marta+docs@mavonne.example about the ledger.": {"person", "email"}, "Write to ops [at] orvane-mail [dot] invalid.": {"email"},
     "my social security number 666-51-1486 should be in the index, can you check?": {"identity"}, "I moved to 417 Kiln Street, Kirrow, please update the memo.": {"address"}, "I moved to Saddlerstraße 467, 88790 Port Ellery, please update the memo.": {"address"},
+    "Her national insurance number is QQ 12 34 56 C.": {"identity"}, "The cheque was cashed by Ingrid Halvorsen on Tuesday.": {"person"}, "Fax the waiver to 0415 555 012 before lunch.": {"phone"}, "passport no. XK4471902 expired": {"identity"}, "| Tenant | Olga Sorenson |": {"person"},
     "Invoice 4471 5329 1180 covers 41 fittings.": set(), "Serial 884-30-0191-22 marks the dashboard.": set(), "Build 10.4.76.80 of the parser was increased.": set(), "The quarry on Canal Street was audited.": set(), "The handle @playbook is unused.": set(),
     "According to Pellucid Foods, the valve was moved.": set(), "Project Gannet depends on Tarn Valley and Cold Harbour.": set(), "": set(),
 }
@@ -13,7 +15,7 @@ KINDS = {
 
 @pytest.fixture(scope="module")
 def finder():
-    return pii.Finder(pii.trained(), frozenset("the was of on canal street quarry audited".split()))
+    return pii.Finder(pii.trained(), frozenset("you can reach me on thanks please contact at about the ledger write to my social security number should be in index check i moved update memo covers fittings marks dashboard build of parser was increased quarry canal street audited handle playbook is unused according foods valve project depends and her national insurance cheque cashed by fax waiver before lunch passport no expired".split()))
 
 
 def test_gradients():
@@ -24,6 +26,8 @@ def test_gradients():
     r = np.random.default_rng(0)
     for k, v in t.p.items():
         at = tuple(int(r.integers(0, s)) for s in v.shape) if k != "e" else (7, 2)
+        if k == "k":
+            at = (0, 1)
         old = v[at]
         v[at] = old + 1e-4
         up = t.step(ids, gold)[0]
@@ -47,25 +51,52 @@ def test_kinds(finder, text):
     assert {k for *_, k in finder.find([text])[0]} == KINDS[text]
 
 
-def test_long_text_is_read_whole(finder):
+def test_model_decides(finder, monkeypatch):
+    """The same look-alike numbers and names, told apart by their surroundings alone; without the model nothing comes."""
+    of = lambda text: {k for *_, k in finder.find([text])[0]}
+    number = "604-22-9913"
+    assert of(f"His SSN is {number}.") == {"identity"} and of(f"Serial {number} marks the pump.") == set()
+    assert of("Call 555-0142 tonight.") == {"phone"} and not of("Part 555-0142 was packed.")
+    monkeypatch.setattr(finder.model, "scores", lambda ids, kinds: np.eye(pii.LABELS, dtype=np.float32)[np.zeros(ids.shape, int)] * 9)
+    assert of(f"His SSN is {number}, ask Marta Keldov at marta@mavonne.example.") == set()
+
+
+def test_every_character_is_read(finder):
     filler = "the quarry was audited on the street. " * 3000
     text = filler + "You can reach me on (293) 555-0103, thanks. " + filler
     assert [text[a:b] for a, b, _ in finder.find([text, None])[0]] == ["(293) 555-0103"]
+    assert finder.find(["x" * 20_000, "", " "]) == [[], [], []]
+
 
+def test_decoding_only_where_it_matters(finder):
+    texts, _, _ = pii_drawn.drawn(60, seed=5)
+    got = finder.find(texts)
+    whole = lambda scores, edge: [(int(a), int(b)) for a, b in zip(np.flatnonzero(edge), [*np.flatnonzero(edge)[1:], len(edge)])]
+    own, finder._open = finder._open, whole
+    assert finder.find(texts) == got
+    finder._open = own
 
-def test_held_out(finder):
-    texts, gold = pii.drawn(400, seed=77)
+
+def test_held_out():
+    texts, gold, _ = pii_drawn.drawn(600, seed=77)
+    usual = pii_drawn.Drawer(77).usual
     hit = total = wrong = 0
-    for found, y in zip(pii.Finder(pii.trained()).find(texts), gold):
+    for found, y in zip(pii.Finder(pii.trained(), usual).find(texts), gold):
         want = {pii.KINDS[(v - 1) // 2] for v in y if v % 2}
         have = {k for *_, k in found}
         hit, total, wrong = hit + len(want & have), total + len(want), wrong + len(have - want)
-    assert hit >= 0.85 * total and wrong <= 0.12 * total
+    assert hit >= 0.95 * total and wrong <= 0.05 * total
+
+
+def test_training_learns():
+    """A few steps on drawn texts: the loss falls, and the weights are what is read back."""
+    texts, gold, kinds = pii_drawn.drawn(800, seed=3)
+    losses = bilstm.Tagger(pii.LABELS, len(pii.WORD_KINDS), pii.EMBED, pii.HIDDEN).fit(texts, gold, 4, batch=32, kinds=kinds)
+    assert losses[-1] < 0.6 * losses[0]
 
 
 def test_redact():
     assert pii.redact("a b c", [(2, 3, "person")]) == "a [PERSON] c"
-    assert pii.apart([(5, 9, "email"), (0, 6, "person"), (0, 3, "phone")]) == [(0, 6, "person")]
 
 
 def test_table(spark):
