@@ -34,7 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_threads": lambda s, d: conversations.resolve(given_parents(t(s, d, "chat_messages"))),
         "p3_paths": lambda s, d: conversations.paths(given_parents(t(s, d, "chat_messages"))),
         "p4_found": lambda s, d: neighbours.found(t(s, d, "chunk_vectors")),
-        "p4_neighbours": lambda s, d: neighbours.neighbours(t(s, d, "chunk_vectors")),
+        "p4_neighbours": lambda s, d: neighbours.neighbours(t(s, d, "chunk_vectors")).withColumn("distance", F.round("distance", 5)),
         "p5_found": lambda s, d: pairs.find_defects(t(s, d, "chat_turns")),
         "p5_by_mode": lambda s, d: pairs.by_mode(t(s, d, "chat_turns")),
         "p10_found": lambda s, d: sentences.split_sentences(t(s, d, "documents")),
@@ -198,5 +198,5 @@ FROM l JOIN b2 USING (lang, source) CROSS JOIN a GROUP BY source
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p3_threads": P3_THREADS, "p3_paths": P3_PATHS, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_leaks": P8_LEAKS, "p9_found": P9_FOUND, "p9_budgets": P9_BUDGETS,
+        "p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p3_threads": P3_THREADS, "p3_paths": P3_PATHS, "p4_found": P4_FOUND, "p4_neighbours": P4_NEIGHBOURS, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_leaks": P8_LEAKS, "p9_found": P9_FOUND, "p9_budgets": P9_BUDGETS,
     }
