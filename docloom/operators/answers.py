@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_tokens, strip
+from ..functions.text import content_tokens, merge_notes, strip
 
 # The phrase of not knowing, and the limits of the lexical check.
 UNKNOWN = "I don't know based on the provided documents."
@@ -43,6 +43,18 @@ def validate(answer: Column, corpus: Column, sources: Column) -> Column:
     )
 
 
+def fall_back(answer: Column, quote: Column, overview: Column, corpus: Column, sources: Column) -> Column:
+    """Struct ``text, warning``: an answer that does not know is replaced by a section's quote, and where that is none or
+    withheld by an overview; either is validated again, and the warnings of both are kept."""
+    of = lambda text, warning: F.struct(text.alias("text"), warning.cast("string").alias("warning"))
+    unknown = lambda c: F.lower(F.coalesce(c, F.lit(""))).contains(UNKNOWN.lower())
+    first, second = validate(quote, corpus, sources), validate(overview, corpus, sources)
+    cur, note = F.when(quote.isNotNull(), first["text"]).otherwise(answer), F.when(quote.isNotNull(), first["warning"])
+    again = unknown(cur) & overview.isNotNull()
+    text, warning = F.when(again, second["text"]).otherwise(cur), F.when(again, merge_notes(note, second["warning"])).otherwise(note)
+    return F.when(unknown(answer) & (text != answer), of(text, warning)).otherwise(of(answer, F.lit(None)))
+
+
 def refuses(text: Column) -> Column:
     """Whether an answer says that the documents do not tell."""
     t = F.lower(F.coalesce(text, F.lit("")))
@@ -92,3 +104,11 @@ def concern(note: Column) -> Column:
         F.when(n.contains("withheld"), "source_citation_withheld").when(n.contains("removed from the answer") | n.contains("did not match retrieved"), "web_link_sanitized")
         .when(n.contains("verify in sources") | n.contains("retrieved excerpts"), "lexical_support_warning")
     )
+
+
+def text_report(totals: DataFrame, categories: DataFrame) -> DataFrame:
+    """``line_no, line``: a report of ``rates`` and ``by_category`` in lines of text."""
+    head = totals.select(F.lit(0).alias("a"), F.lit("").alias("k"), F.format_string("cases %d, passed %d (%.4f), routing %.4f, anchors %.4f, false refusals %d, forbidden %d", "cases", "passed", "pass_rate", "routing_ok_rate", "anchor_rate", "false_refusals", "forbidden_hits").alias("line"))
+    rows = categories.select(F.lit(1).alias("a"), F.col("category").alias("k"), F.format_string("%s: %d of %d (%.4f)", "category", "passed", "total", "pass_rate").alias("line"))
+    # one row for each category of the evaluation set
+    return head.unionByName(rows).withColumn("line_no", F.row_number().over(Window.partitionBy().orderBy("a", "k")) - 1).select("line_no", "line")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 
+MOST_ENTITIES = 10_000
 BLANK = "[ \\t\\x{00A0}]*"
 # Forms of amounts and identifiers, and the label-value patterns of each field with the group of the value.
 AMOUNT = r"(?:₹\s*)?\d{1,3}(?:,\d{3})*(?:\.\d{2})"
@@ -31,7 +32,8 @@ LABEL_ALONE = {"email": r"^\s*(e-?mail|email)\s*[:\-]?\s*$", "phone": r"^\s*(pho
 VALUE_ALONE = {"email": rf"^{ADDRESS_OF_MAIL}$", "phone": r"^[\d()+\-\s]{10,24}$"}
 NOT_NAMES = ("or", "and", "number", "application", "loan", "amount", "date", "id", "no", "ref")
 ADDRESS_WORDS = ("street", "st.", "road", "rd.", "avenue", "ave", "lane", "drive", "blvd", "suite", "unit", "apt", "city", "state", "zip", "pin", "country", "p.o", "po box")
-# Parts of texts and the themes they stand for, in order; names of firms and persons belong into a table of the user.
+# Parts of texts and the themes they stand for, in order. Names of firms, persons and products with a theme
+# or an overview of their own are data of the library: ``themes`` and ``entity_overview`` take them as a table.
 THEMES = (
     ("loan", "loan processing and obligations"), ("applicant", "applicant details"), ("repayment", "repayment terms"), ("interest certificate", "interest documentation"), ("interest", "interest and rates"),
     ("disbursed", "disbursement amounts"), ("application number", "application tracking"), ("application", "application context"), ("company", "company or organization background"), ("role", "roles and responsibilities"),
@@ -118,6 +120,41 @@ def themes(text: Column, table: tuple[tuple[str, str], ...] = THEMES, limit: int
     return F.slice(F.array_distinct(found), 1, limit)
 
 
+def entity_overview(texts: DataFrame, entities: DataFrame, by: str = "query_id", text: str = "text") -> DataFrame:
+    """``<by>, answer``: an overview that names the known entities of a text; texts without any are left out.
+
+    ``entities(part, kind, name)``: a lower-case part of texts, the kind of entity it shows (``company``, ``person``,
+    ``role``, ``project``) and its name. Roles and projects are told only beside a company or person.
+    """
+    found = texts.select(by, F.lower(F.col(text)).alias("_t")).join(F.broadcast(entities.limit(MOST_ENTITIES)), F.col("_t").contains(F.col("part")))
+    named = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("name"))))
+    wide = found.groupBy(by).agg(*[named(k).alias(k) for k in ("company", "person", "role", "project")])
+    who = F.concat("company", "person")
+    roles = F.when(F.size("role") > 1, F.concat(F.lit("including roles as "), F.array_join("role", " and "))).when(F.size("role") == 1, F.concat(F.lit("including the role of "), F.array_join("role", "")))
+    parts = F.concat_ws(", ", F.concat(F.lit("This document provides an overview of "), F.array_join(who, " and ")), roles, F.when(F.size("project") > 0, F.concat(F.lit("projects such as "), F.array_join("project", " and "))))
+    return wide.where(F.size(who) > 0).select(by, F.concat(parts, F.lit(".")).alias("answer"))
+
+
+def raw_fields(segments: DataFrame, asked: DataFrame) -> DataFrame:
+    """``query_id, source_name, value``: a field that the index's hits did not show, from the whole texts of the library.
+
+    ``asked(query_id, kind, preferred)``; the preferred source comes first, then the others by name. Where no labelled
+    e-mail address stands anywhere in a source, its first address does.
+    """
+    fields = first_fields(segments.where("source_name is not null")).select("kind", "source_name", "value", F.lit(0).alias("loose"))
+    any_mail = (
+        segments.where(F.col("source_name").isNotNull() & F.col("text").contains("@"))
+        .select("source_name", "document_id", F.nullif(F.regexp_extract("text", rf"\b({ADDRESS_OF_MAIL})\b", 1), F.lit("")).alias("v")).where("v is not null")
+        .groupBy("source_name").agg(F.min_by("v", "document_id").alias("value")).select(F.lit("email").alias("kind"), "source_name", "value", F.lit(1).alias("loose"))
+    )
+    all_ = fields.unionByName(any_mail)
+    own = all_.groupBy("kind", F.lower("source_name").alias("_p")).agg(F.min_by(F.struct("source_name", "value"), F.struct("loose", "source_name")).alias("own"))
+    first = all_.groupBy("kind").agg(F.min_by(F.struct("source_name", "value"), F.struct("source_name", "loose")).alias("any"))
+    both = asked.join(own, (asked.kind == own.kind) & (F.lower(F.btrim("preferred")) == F.col("_p")), "left").drop(own.kind).join(F.broadcast(first), "kind")
+    best = F.coalesce("own", "any")
+    return both.select("query_id", best["source_name"].alias("source_name"), best["value"].alias("value"))
+
+
 def overview(hits: DataFrame, text: str = "text", source: str = "source_name", order: str = "rank") -> DataFrame:
     """``query_id, source_name, answer`` from the dominant source's hits: up to three prose sentences, else its themes.
 

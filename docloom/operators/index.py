@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import bounded_collect, kept
+from ..session import bounded_collect, cut, wide_partitions
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Query vectors that are sent to the tasks at once; more queries go in several such blocks.
@@ -22,9 +22,9 @@ BM25_BLOCK = 512
 
 
 def stored(chunks: DataFrame) -> DataFrame:
-    """One row for each chunk id with text, the one indexed last; null ids and texts take no part."""
+    """One row for each chunk id with text; null ids and texts take no part. Repeated rows of a chunk carry the same text,
+    so any of them stands for all."""
     rows = chunks.where("chunk_id is not null and text is not null")
-    # repeated rows of a chunk carry the same text, so no row but the last has to be shuffled with it
     return rows.dropDuplicates(["chunk_id"])
 
 
@@ -94,55 +94,59 @@ def bm25_top(queries: DataFrame, corpus: DataFrame, k: int = 24, key: str = "chu
     asked = sorted(((r.query_id, r.t) for r in rows if r.t), key=lambda r: r[0])
     words = sorted({w for _, t in asked for w in t})
     spark = corpus.sparkSession
+    # one pass for all statistics: texts and their lengths are counted under the empty token
+    each = token_lists(corpus, key).select(F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("token"), F.size("t").alias("dl"))
+    counts = cut(each.groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("dl")))
+    total = counts.where("token = ''").first()
+    n, avgdl = (total.df, total.dl / total.df or 1.0) if total else (0, 1.0)
+    raw = counts.where("token <> ''").select("token", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = raw.agg(F.avg("raw")).first()[0]
     terms = spark.createDataFrame([(w,) for w in words], "token string")
-    lists = kept(token_lists(corpus, key))  # read for the frequencies, the lengths and the scores
-    idf = {r.token: r.idf for r in _frequencies(lists, EPSILON).join(terms, "token", "left_semi").collect()}
-    avgdl = _stats(lists).first().avgdl or 1.0
-    schema, parts = f"query_id {kinds[0]}, {key} {kinds[1]}, score double", []
-    for at in range(0, max(len(asked), 1), BM25_BLOCK):
-        block = asked[at : at + BM25_BLOCK]
-        column = {w: i for i, w in enumerate(sorted({w for _, t in block for w in t if w in idf}))}
-        times = np.zeros((len(column), len(block)))
-        for j, (_, t) in enumerate(block):
-            for w in t:
-                if w in column:
-                    times[column[w], j] += 1
-        sent = spark.sparkContext.broadcast((column, times, np.array([idf[w] for w in column]), [q for q, _ in block]))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            column, times, weight, ids = sent.value
-            shares = (times > 0).astype(np.float32)
-            best: list[list[tuple]] = [[] for _ in ids]
-            for batch in batches:
-                names, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for s in range(0, len(names), 512):
-                    some = found[s : s + 512]
-                    tf = np.zeros((len(some), len(column)))
-                    dl = np.array([len(t) for t in some], np.float64)
-                    for r, t in enumerate(some):
-                        for w in t:
-                            if (c := column.get(w)) is not None:
-                                tf[r, c] += 1
-                    part = np.divide(tf * (k1 + 1), tf + (k1 * (1 - b + b * dl / avgdl))[:, None])
-                    raw = (part * weight) @ times
-                    scores = np.round(raw, 9)
-                    common = (tf > 0).astype(np.float32) @ shares > 0
-                    scores[~common] = -np.inf
-                    least = -np.sort(-scores, axis=0)[min(k, len(some)) - 1]
-                    for j in range(len(ids)):
-                        near = np.flatnonzero(common[:, j] & (scores[:, j] >= least[j]))
-                        if len(near):
-                            best[j] = sorted([*best[j], *((-scores[r, j], names[s + r], raw[r, j]) for r in near)])[:k]
-            out = [(ids[j], name, float(score)) for j, found in enumerate(best) for _, name, score in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (batch_type(kinds[0]), batch_type(kinds[1]), pa.float64()))], names=["query_id", key, "score"])
-
-        parts.append(lists.mapInArrow(run, schema))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    idf = {r.token: r.raw if r.raw >= 0 else EPSILON * mean for r in raw.join(terms, "token", "left_semi").collect()}
+    sent = spark.sparkContext.broadcast((asked, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, idf = sent.value
+        best: list[list[tuple]] = [[] for _ in asked]
+        for batch in batches:
+            names, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for s in range(0, len(names), 512):
+                some, here = found[s : s + 512], names[s : s + 512]
+                for at in range(0, len(asked), BM25_BLOCK):
+                    _score(asked[at : at + BM25_BLOCK], idf, some, here, best[at : at + BM25_BLOCK], k, k1, b, avgdl)
+        out = [(asked[j][0], name, float(score)) for j, found in enumerate(best) for _, name, score in found]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (batch_type(kinds[0]), batch_type(kinds[1]), pa.float64()))], names=["query_id", key, "score"])
+
+    scored = token_lists(corpus, key).mapInArrow(run, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
     return top(scored, k, [F.round("score", 9).desc(), F.col(key)])
 
 
+def _score(block: list[tuple], idf: dict[str, float], texts: list[list[str]], names: list, best: list[list[tuple]], k: int, k1: float, b: float, avgdl: float) -> None:
+    """Keeps in ``best``, for each query of a block, the ``k`` best of some texts and of those before."""
+    column = {w: i for i, w in enumerate(sorted({w for _, t in block for w in t if w in idf}))}
+    times = np.zeros((len(column), len(block)))
+    for j, (_, t) in enumerate(block):
+        for w in t:
+            if w in column:
+                times[column[w], j] += 1
+    weight = np.array([idf[w] for w in column])
+    tf, dl = np.zeros((len(texts), len(column))), np.array([len(t) for t in texts], np.float64)
+    for r, t in enumerate(texts):
+        for w in t:
+            if (c := column.get(w)) is not None:
+                tf[r, c] += 1
+    part = np.divide(tf * (k1 + 1), tf + (k1 * (1 - b + b * dl / avgdl))[:, None])
+    raw = (part * weight) @ times
+    scores = np.round(raw, 9)
+    common = (tf > 0).astype(np.float32) @ (times > 0).astype(np.float32) > 0
+    scores[~common] = -np.inf
+    least = -np.sort(-scores, axis=0)[min(k, len(texts)) - 1]
+    for j in range(len(block)):
+        near = np.flatnonzero(common[:, j] & (scores[:, j] >= least[j]))
+        if len(near):
+            best[j][:] = sorted([*best[j], *((-scores[r, j], names[r], raw[r, j]) for r in near)])[:k]
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, key: str, exclude_same: bool = False) -> DataFrame:
     """``<query_id>, <key>, distance, rank``: the ``k`` nearest vectors of each query by squared distance, ties by key.
 
@@ -201,13 +205,15 @@ def build(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """The stored index: chunk columns, their vector and ``pos``, the place in index order (source, chunk id).
 
     Chunks and vectors are aligned one to one by id; chunks without a vector and vectors without a chunk are left out.
-    ``pos`` comes from counts by source and a window within it, so no task orders the whole index.
+    Rows are sorted in ranges of (source, chunk id); ``pos`` is a row's place in its range behind the ranges before, so
+    that no task orders the whole index or a whole source.
     """
     rows = stored(chunks).join(vectors.where("embedding is not null").dropDuplicates(["chunk_id"]).select("chunk_id", "embedding"), "chunk_id")
-    counts = rows.groupBy("source_name").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("source_name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source_name", "before")
-    within = F.row_number().over(Window.partitionBy("source_name").orderBy("chunk_id"))
-    return rows.join(before, "source_name").withColumn("pos", F.col("before") + within - 1).drop("before")
+    placed = cut(rows.repartitionByRange(wide_partitions(rows), "source_name", "chunk_id").sortWithinPartitions("source_name", "chunk_id").withColumn("_id", F.monotonically_increasing_id()))
+    ranges = placed.groupBy(F.shiftright("_id", 33).alias("_range")).agg(F.count("*").alias("n"))  # one row a range
+    before = ranges.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_before")
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_range", F.shiftright("_id", 33)).join(F.broadcast(before), "_range").withColumn("pos", F.col("_before") + inside).drop("_id", "_range", "_before")
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -216,9 +222,20 @@ def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return todo.select(F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text").dropDuplicates(["sha"])
 
 
-def probe(found: DataFrame, limit: float = 1.48) -> DataFrame:
-    """Whether the index answers at all: the least distance of any probe query's best hit is at most ``limit``."""
-    return found.agg(F.min("distance").alias("best_distance")).select("best_distance", F.coalesce(F.col("best_distance") <= limit, F.lit(False)).alias("ok"))
+PROBES = ("summary overview introduction key topics main points", "document text content sections paragraphs")
+
+
+def probe(probes: DataFrame, vectors: DataFrame, key: str = "chunk_id", limit: float = 1.48, least: int = 3) -> DataFrame:
+    """One row ``ok, best_distance, message``: whether the index of ``vectors(<key>, embedding)`` answers at all.
+
+    The least distance of the best hits of ``probes(probe, embedding)``, such as the embedded ``PROBES``, must be at most
+    ``limit``. An empty index fails (``empty_index``); one of fewer than ``least`` vectors is passed unseen
+    (``tiny_index_skipped``).
+    """
+    n = vectors.where("embedding is not null").agg(F.count("*").alias("n"))
+    best = nearest(probes, vectors, least, "probe", key).agg(F.min("distance").alias("d"))
+    message = F.when(F.col("n") == 0, "empty_index").when(F.col("n") < least, "tiny_index_skipped").when(F.col("d").isNull(), "probe_failed").when(F.col("d") <= limit, "ok").otherwise("weak_best_hit")
+    return n.join(F.broadcast(best)).select(message.isin("ok", "tiny_index_skipped").alias("ok"), F.when(F.col("n") >= least, F.round("d", 6)).alias("best_distance"), message.alias("message"))
 
 
 __all__ = ["bm25", "bm25_top", "build", "corpus_stats", "inverse_frequencies", "missing_vectors", "nearest", "postings", "probe", "stored", "top"]

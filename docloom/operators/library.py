@@ -28,12 +28,17 @@ HEALTH_SQL = (
 
 
 def content_hashes(segments: DataFrame) -> DataFrame:
-    """``source_name, sha``: one hash for each source over its segments' hashes in order of their ids."""
+    """``source_name, sha``: one hash for each source over its segments' ids and texts.
+
+    The segments' hashes are added up (four sums of 12 digits each), which any order and any number of tasks can do; no
+    row ever holds a source's list.
+    """
     rows = segments.where("document_id is not null and text is not null")
+    mark = F.sha2(F.concat_ws(":", "document_id", F.sha2(F.col("text").cast("binary"), 256)).cast("binary"), 256)
     # repeated rows carry the same text; they are dropped by their hashes
-    each = rows.select(F.coalesce("source_name", F.lit("")).alias("source_name"), "document_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).dropDuplicates(["document_id"])
-    # 64 bytes a segment are gathered for each source, not its texts
-    return each.groupBy("source_name").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("document_id", "h"))), lambda x: x["h"]), "").cast("binary"), 256).alias("sha"))
+    each = rows.select(F.coalesce("source_name", F.lit("")).alias("source_name"), "document_id", mark.alias("h")).dropDuplicates(["document_id"])
+    part = lambda i: F.sum(F.conv(F.substring("h", 12 * i + 1, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+    return each.groupBy("source_name").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[part(i) for i in range(4)]).cast("binary"), 256).alias("sha"))
 
 
 def changes(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -52,6 +57,47 @@ def fingerprint(hashes: DataFrame) -> DataFrame:
     return hashes.agg(F.count("*").alias("sources"), F.coalesce(F.sum(pair), F.lit(0)).cast("string").alias("fingerprint"))
 
 
+def needs_sync(files: DataFrame, indexed: DataFrame) -> DataFrame:
+    """One row ``files, needs_sync, reason`` for ``files(source_name, sha)`` now and ``indexed(source_name, sha)`` of the index.
+
+    No files need nothing; files without an index, or another fingerprint than the index's, need a sync.
+    """
+    now, then = fingerprint(files).select(F.col("sources").alias("files"), F.col("fingerprint").alias("now")), fingerprint(indexed).select(F.col("sources").alias("kept"), F.col("fingerprint").alias("then"))
+    reason = F.when(F.col("files") == 0, "no files").when(F.col("kept") == 0, "no index").when(F.col("now") != F.col("then"), "changed").otherwise("fresh")
+    return now.join(F.broadcast(then)).select("files", reason.isin("no index", "changed").alias("needs_sync"), reason.alias("reason"))
+
+
+def settings_match(state: DataFrame, chunk_size: int, overlap: int, model: str) -> DataFrame:
+    """One row ``matches``: whether the index's state (``chunk_size, overlap, model``) is that of the settings; false without."""
+    same = (F.col("chunk_size") == chunk_size) & (F.col("overlap") == overlap) & (F.col("model") == model)
+    return state.agg((F.coalesce(F.bool_and(F.coalesce(same, F.lit(False))), F.lit(False))).alias("matches"))
+
+
+STATUSES = ("uploaded", "processing", "ready", "ready_limited", "failed")
+
+
+def statuses_after_index(sources: DataFrame, probe_ok: Column) -> DataFrame:
+    """``source_name, status, note`` after a build of ``sources(source_name, ok, reason, expected, indexed)``: ``failed`` with
+    its reason, ``ready_limited`` where chunks are missing or the index's probe failed, else ``ready``."""
+    ok, partial = F.coalesce("ok", F.lit(False)), (F.col("expected") > 0) & (F.col("expected") != F.col("indexed"))
+    status = F.when(~ok, "failed").when(partial, "ready_limited").when(~probe_ok, "ready_limited").otherwise("ready")
+    note = F.when(~ok, F.col("reason")).when(partial, F.concat(F.lit("indexed "), F.col("indexed"), F.lit(" of "), F.col("expected"))).when(~probe_ok, F.lit("probe failed"))
+    return sources.select("source_name", status.alias("status"), note.alias("note"))
+
+
+def statuses_after_probe(statuses: DataFrame, counts: DataFrame, probe_ok: Column) -> DataFrame:
+    """``source_name, status`` when only the probe was run anew over ``counts(source_name, expected, indexed)``: a failed
+    source stays failed, others are judged again."""
+    both = statuses.select("source_name", F.col("status").alias("_s")).join(counts, "source_name", "left")
+    partial = F.coalesce((F.col("expected") > 0) & (F.col("expected") != F.col("indexed")), F.lit(False))
+    return both.select("source_name", F.when(F.col("_s") == "failed", "failed").when(partial | ~probe_ok, "ready_limited").otherwise("ready").alias("status"))
+
+
+def status_counts(statuses: DataFrame) -> DataFrame:
+    """One row with the sources of each of ``STATUSES`` and of any ``other``."""
+    return statuses.agg(*[F.count_if(F.col("status") == x).alias(x) for x in STATUSES], F.count_if(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False))).alias("other"))
+
+
 def chunk_counts(chunks: DataFrame) -> DataFrame:
     """``source_name, chunks, documents`` with text, each chunk once."""
     rows = chunks.where("chunk_id is not null and text is not null and source_name is not null").select("source_name", "chunk_id", "document_id").dropDuplicates(["chunk_id"])

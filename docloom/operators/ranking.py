@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.queries import NUMBER_WORDS
+
 # Rank constant of the fusion, and the distance of hits that only the word index found.
 RRF_K, NO_VECTOR = 60, 2.5
 # Fixed values of the gates: (largest distance, least fusion score, distance that is good by itself, high fusion score, largest distance then).
@@ -79,10 +81,15 @@ def field_priority(hits: DataFrame, text: str = "text", order: str = "rerank_ord
 
 
 def section_priority(hits: DataFrame, text: str = "text", order: str = "rerank_order") -> DataFrame:
-    """Adds ``section_order``: hits that name the query's section (``section_number``) first, headings before others."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    named = F.regexp_like(t, F.concat(F.lit(r"(?i)\bsection\s*"), F.col("section_number").cast("string"), F.lit(r"\b")))
-    score = F.when(F.col("section_number").isNull(), 0).otherwise(5 * F.coalesce(named, F.lit(False)).cast("int") + F.regexp_like(t, F.lit(r"(?m)^#{1,6}\s")).cast("int"))
+    """Adds ``section_order``: hits that name the query's section first (``section_number``, in digits; up to ten also as a
+    word), or, where ``recovery`` is set, disaster recovery; of queries for either, hits with headings before others."""
+    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    number = F.col("section_number").cast("string")
+    word = F.try_element_at(F.array(*map(F.lit, NUMBER_WORDS)), number.try_cast("int"))
+    named = F.regexp_like(t, F.concat(F.lit(r"\bsection\s*(?:"), number, F.coalesce(F.concat(F.lit("|"), word), F.lit("")), F.lit(r")\b")))
+    recovery = F.coalesce(F.col("recovery"), F.lit(False)) if "recovery" in hits.columns else F.lit(False)
+    found = F.coalesce(named, F.lit(False)).cast("int") + (recovery & F.regexp_like(t, F.lit(r"disaster\s+recovery"))).cast("int")
+    score = F.when(F.col("section_number").isNull() & ~recovery, 0).otherwise(5 * found + F.regexp_like(t, F.lit(r"(?m)^#{1,6}\s")).cast("int"))
     return hits.withColumn("section_order", F.row_number().over(Window.partitionBy("query_id").orderBy(score.desc(), F.col(order))) - 1)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import engine_queries, retrieval_queries, routing_queries, state_queries, text_queries
+from . import engine_queries, retrieval_queries, routing_queries, state_queries, task_queries, text_queries
 
-ALL = {**text_queries.QUERIES, **retrieval_queries.QUERIES, **state_queries.QUERIES, **routing_queries.QUERIES, **engine_queries.QUERIES}
+ALL = {**text_queries.QUERIES, **retrieval_queries.QUERIES, **state_queries.QUERIES, **routing_queries.QUERIES, **task_queries.QUERIES, **engine_queries.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -39,7 +39,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, query_ve
     words = index.bm25_top(queries, corpus, depth)
     fused = ranking.fuse(near, words, pool)
     body = corpus.select("chunk_id", "text", "source_name", "file_path", "page_number")
-    return ranking.rerank(fused.join(body, "chunk_id"))
+    # a hit whose chunk is gone stays, with an empty text
+    return ranking.rerank(fused.join(body, "chunk_id", "left").withColumn("text", F.coalesce("text", F.lit(""))))
 
 
 def ask(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, model: embed.Embedder, top_k: int = 5, distance_scale: float = 1.0) -> DataFrame:
@@ -54,7 +55,7 @@ def ask(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, model: embed.
     asked = cut(
         q.select(
             "query_id", F.col("q").alias("text"), Q.is_broad_overview(F.col("q")).alias("broad"), Q.uses_relaxed_gate(F.col("q")).alias("relaxed"), Q.is_entity_lookup(F.col("q")).alias("lookup"), Q.is_section_navigation(F.col("q")).alias("section"), Q.field_kind(F.col("q")).alias("kind"),
-            Q.has(F.col("q"), Q.CONTACT_QUESTION).alias("contact"), F.nullif(F.regexp_extract("q", r"section\s*(?:#|number|num\.?)?\s*(\d+)\b", 1), F.lit("")).alias("section_number"), F.col("q").rlike(r"\b(name|email|e-?mail|phone|contact|website|url|homepage|address)\b").alias("asks_field"),
+            Q.has(F.col("q"), Q.CONTACT_QUESTION).alias("contact"), Q.section_number(F.col("q")).alias("section_number"), (F.col("q").contains("disaster") & F.col("q").contains("recover")).alias("recovery"), F.col("q").rlike(r"\b(name|email|e-?mail|phone|contact|website|url|homepage|address)\b").alias("asks_field"),
         )
     )
     hits = retrieve(asked.select("query_id", "text"), chunks, vectors, embed.embedded(asked.select("query_id", "text"), "query_id", model), scale=distance_scale)
@@ -82,6 +83,9 @@ def ask(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, model: embed.
     for part in (one, bundle, quote, broad):
         out = out.join(part, "query_id", "left")
     answer = F.coalesce("extracted", "bundled", "quoted", "overview")
-    checked = answers.validate(answer, F.col("corpus"), F.coalesce("n", F.lit(0)))
+    sources = F.coalesce("n", F.lit(0))
+    held = answers.validate(answer, F.col("corpus"), sources)
+    checked = answers.fall_back(held["text"], F.col("quoted"), F.col("overview"), F.col("corpus"), sources)
+    checked = F.struct(checked["text"].alias("text"), F.coalesce(checked["warning"], held["warning"]).alias("warning"))
     route = F.when(F.col("n").isNull(), "none").when(F.col("extracted").isNotNull(), "extract").when(F.col("bundled").isNotNull(), "contact").when(F.col("quoted").isNotNull(), "section").when(F.col("overview").isNotNull(), "overview").otherwise("context")
     return out.select("query_id", route.alias("route"), F.when(answer.isNotNull(), checked["text"]).alias("answer"), F.when(answer.isNotNull(), checked["warning"]).alias("warning"), "sources")

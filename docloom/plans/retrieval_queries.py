@@ -192,8 +192,8 @@ FIELD_SCORE = (
 
 
 def section_hits(s, d):
-    number = F.nullif(F.regexp_extract(F.lower("message"), r"section\s*(?:#|number|num\.?)?\s*(\d+)\b", 1), F.lit(""))
-    turns = table(s, d, "chat_turns").where("message is not null").dropDuplicates(["turn_id"]).select(F.col("turn_id").alias("query_id"), number.alias("section_number"))
+    q = F.lower("message")
+    turns = table(s, d, "chat_turns").where("message is not null").dropDuplicates(["turn_id"]).select(F.col("turn_id").alias("query_id"), Q.section_number(q).alias("section_number"), (q.contains("disaster") & q.contains("recover")).alias("recovery"))
     out = R.section_priority(reranked(s, d).join(turns, "query_id"), "page_content")
     return out.select("query_id", "chunk_id", F.col("section_order").cast("long").alias("section_order"))
 
@@ -220,7 +220,12 @@ def embedding_misses(s, d):
     return I.missing_vectors(table(s, d, "chunks"), table(s, d, "chunk_vectors")).select("sha", F.char_length("text").cast("long").alias("chars"))
 
 
-SECTION_NUMBER = "nullif(regexp_extract(lower(message), 'section\\s*(?:#|number|num\\.?)?\\s*(\\d+)\\b', 1), '')"
+_NUMBERS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
+SECTION_NUMBER = (
+    "coalesce(nullif(regexp_extract(lower(message), 'section\\s*(?:#|number|num\\.?)?\\s*(\\d+)\\b', 1), ''), CASE "
+    + " ".join(f"WHEN contains(lower(message), 'section') AND regexp_matches(lower(message), '\\b{w}\\b') THEN '{i}'" for i, w in enumerate(_NUMBERS, 1))
+    + " END)"
+)
 QUERIES = {
     "bm25_topk": (bm25_top, BM25 + ", asked2 AS (SELECT item_id AS query_id, query AS text FROM eval_items)" + SCORED + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM k"),
     "idf_table": (idf_table, BM25 + " SELECT token, df, round(idf, 9) AS idf FROM i"),
@@ -251,7 +256,7 @@ QUERIES = {
     ),
     "section_hit_priority": (
         section_hits,
-        f"{CHAIN}, u AS (SELECT DISTINCT turn_id AS query_id, {SECTION_NUMBER} AS n FROM chat_turns WHERE message IS NOT NULL), x AS (SELECT r.*, n, coalesce(page_content, '') AS t FROM r JOIN u USING (query_id)) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n IS NULL THEN 0 ELSE 5 * regexp_matches(t, '\\bsection\\s*' || n || '\\b', 'i')::INT + regexp_matches(t, '(?m)^#{{1,6}}\\s')::INT END DESC, rerank_order) - 1 AS section_order FROM x",
+        f"{CHAIN}, u AS (SELECT DISTINCT turn_id AS query_id, {SECTION_NUMBER} AS n, contains(lower(message), 'disaster') AND contains(lower(message), 'recover') AS rec FROM chat_turns WHERE message IS NOT NULL), x AS (SELECT r.*, n, rec, lower(coalesce(page_content, '')) AS t, {list(_NUMBERS)}[TRY_CAST(n AS INT)] AS word FROM r JOIN u USING (query_id)) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n IS NULL AND NOT rec THEN 0 ELSE 5 * (coalesce(regexp_matches(t, '\\bsection\\s*(?:' || n || coalesce('|' || word, '') || ')\\b'), false)::INT + (rec AND regexp_matches(t, 'disaster\\s+recovery'))::INT) + regexp_matches(t, '(?m)^#{{1,6}}\\s')::INT END DESC, rerank_order) - 1 AS section_order FROM x",
     ),
     "context_limits": (context_limits, f"WITH {HITS}, n AS (SELECT query_id, count(*) AS n FROM h GROUP BY 1), t AS (SELECT query_id, n, unnest(['qa', 'summarize', 'compare', 'extract']) AS task FROM n) SELECT query_id, task, {limit_sql(5)} AS chunks, {limit_sql(10)} AS broad_chunks, least(n, 18) AS pool FROM t"),
     "index_build": (

@@ -259,7 +259,8 @@ def incremental_diff(s, d):
     return L.changes(L.content_hashes(before), L.content_hashes(rows))
 
 
-HASHES = "(SELECT coalesce(source_name, '') AS source_name, sha256(string_agg(sha256(text), '' ORDER BY document_id)) AS sha FROM (SELECT DISTINCT ON (document_id) document_id, source_name, text FROM {0} WHERE document_id IS NOT NULL AND text IS NOT NULL) GROUP BY 1)"
+_PARTS = ", ".join(f"sum(('0x' || h[{12 * i + 1}:{12 * i + 12}])::BIGINT)" for i in range(4))
+HASHES = f"(SELECT source_name, sha256(concat_ws(':', count(*), {_PARTS})) AS sha FROM (SELECT coalesce(source_name, '') AS source_name, sha256(document_id || ':' || sha256(text)) AS h FROM (SELECT DISTINCT ON (document_id) document_id, source_name, text FROM {{0}} WHERE document_id IS NOT NULL AND text IS NOT NULL)) GROUP BY 1)"
 DIFF_SQL = (
     "WITH mid AS (SELECT (epoch(min(loaded_at))::BIGINT + (epoch(max(loaded_at))::BIGINT - epoch(min(loaded_at))::BIGINT) / 2) AS m FROM segments), old AS (SELECT * FROM segments WHERE floor(epoch(loaded_at)) <= (SELECT m FROM mid)), "
     f"b AS {HASHES.format('old')}, n AS {HASHES.format('segments')} SELECT coalesce(b.source_name, n.source_name) AS source_name, CASE WHEN b.sha IS NULL THEN 'added' WHEN n.sha IS NULL THEN 'removed' WHEN b.sha = n.sha THEN 'unchanged' ELSE 'changed' END AS change FROM b FULL JOIN n USING (source_name)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -104,8 +105,64 @@ def load_library(spark: SparkSession, folder: str, pdf_pages: Callable[[bytes],
 
 
 def save_index(index: DataFrame, path: str) -> None:
-    """Writes an index table, laid out by source so that a source's rows are read alone."""
-    index.repartition("source_name").sortWithinPartitions("source_name", "chunk_id").write.mode("overwrite").parquet(path)
+    """Writes an index table in ranges of source and chunk, so that a source's rows are read alone and none is written by
+    one task."""
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index.repartitionByRange(parts, "source_name", "chunk_id").sortWithinPartitions("source_name", "chunk_id").write.mode("overwrite").parquet(path)
+
+
+def save_state(state: dict, path: str, spark: SparkSession) -> None:
+    """Writes a small state as JSON beside its place and then swaps it in, so that a reader never sees half of it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new = jvm.org.apache.hadoop.fs.Path(path + ".new")
+    out = system.create(new, True)
+    out.write(bytearray(json.dumps(state, ensure_ascii=False, sort_keys=True).encode()))
+    out.close()
+    if system.exists(target):
+        system.delete(target, False)
+    if not system.rename(new, target):
+        raise OSError(f"cannot replace {path}")
+
+
+def load_state(path: str, spark: SparkSession) -> dict | None:
+    """A state written by ``save_state``; None where there is none or it cannot be read."""
+    try:
+        rows = spark.read.text(path, wholetext=True).collect()
+        state = json.loads(rows[0].value)
+        return state if isinstance(state, dict) else None
+    except Exception:  # noqa: BLE001 - a missing or damaged state counts as none
+        return None
+
+
+def store_uploads(uploads: DataFrame, existing: DataFrame, folder: str, most_bytes: int = 50 << 20) -> DataFrame:
+    """Writes the uploads that are to be saved into a folder, one file each, and returns the outcomes of all.
+
+    See ``operators.library.upload_outcomes``. Files are written by the tasks through Spark's file system into the
+    shared folder; a name that could leave it is never accepted.
+    """
+    from ..operators.library import upload_outcomes
+    from ..session import cut
+
+    outcomes = cut(upload_outcomes(uploads, existing, most_bytes))
+    saved = uploads.join(outcomes.where("outcome = 'saved'").select("name"), "name", "left_semi").dropDuplicates(["name"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for name, content in zip(names, batch.column(1).to_pylist()):
+                with system.open_output_stream(f"{root}/.{name}.new") as out:
+                    out.write(content)
+                system.move(f"{root}/.{name}.new", f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
+
+    cut(saved.select("name", "content").mapInArrow(write, "name string"))
+    return outcomes
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
