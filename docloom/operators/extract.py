@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ FIELDS = {
 }
 #: Words that every label holds; other lines are not looked at.
 LABEL_WORDS = r"(?i)(name|holder|application|amount|mail|contact|phone|mobile|cell|tel|web|url|homepage|address)"
+#: One of these parts stands in every label of a kind; only then are the kind's patterns tried on a line.
+KIND_WORDS = {
+    "loan_disbursed_amount": ("amount",), "person_name": ("name", "holder"), "application_number": ("application",), "email": ("mail", "contact"), "phone": ("contact", "phone", "mobile", "cell", "tel"), "website": ("web", "homepage", "url"), "address": ("address",),
+}
 # Labels whose value stands on the next line, and words that no name holds.
 LABEL_ALONE = {"email": r"^\s*(e-?mail|email)\s*[:\-]?\s*$", "phone": r"^\s*(phone|contact|mobile|cell|tel|contact number)\s*[:\-]?\s*$"}
 VALUE_ALONE = {"email": rf"^{ADDRESS_OF_MAIL}$", "phone": r"^[\d()+\-\s]{10,24}$"}
@@ -89,8 +95,9 @@ def first_fields(texts: DataFrame, by: str = "source_name", key: str = "document
     Lines that hold no field are dropped before anything is shuffled; the first of the rest is an aggregate, so groups
     of any size are combined on the map side.
     """
-    at = lines(texts, key, by).where(F.regexp_like("line", F.lit(LABEL_WORDS)))
-    values = F.array(*[F.struct(F.lit(k).alias("kind"), field_value(k, F.col("line"), F.col("following")).alias("value")) for k in FIELDS])
+    at = lines(texts, key, by).where(F.regexp_like("line", F.lit(LABEL_WORDS))).withColumn("_low", F.lower("line"))
+    may = lambda k: reduce(lambda a, b: a | b, [F.col("_low").contains(w) for w in KIND_WORDS[k]])
+    values = F.array(*[F.struct(F.lit(k).alias("kind"), F.when(may(k), field_value(k, F.col("line"), F.col("following"))).alias("value")) for k in FIELDS])
     found = at.select(by, key, "line_no", F.explode(values).alias("f")).where("f.value is not null").select(by, key, "line_no", "f.*")
     first = found.groupBy(by, "kind").agg(F.min(F.struct(F.col(key), "line_no", "value")).alias("m"))
     return first.select(by, "kind", "m.value", F.col(f"m.{key}").alias(key))

@@ -17,6 +17,7 @@ from ..operators import web as W
 from ..session import table
 from ..sources import files
 from . import state_queries as S
+from .field_sql import BUNDLE_SQL, FIELDS_SQL, OVERVIEW_SQL
 from .retrieval_queries import CHAIN, HITS, hits, reranked
 from .state_queries import CORPUS, HASHES, SUPPORT, TURNS, turns, with_corpus
 from .text_queries import ASKED, SEGMENTS, SP, STORED, asked, collapse_sql, keywords_sql, lit, normalize_sql, query_sql, repeated, segments
@@ -317,5 +318,5 @@ QUERIES = {
     "index_statuses": (index_statuses, STATUS_SQL), "probe_statuses": (probe_statuses, f"WITH {L.HEALTH_SQL} SELECT source_name, CASE WHEN expected = 0 THEN 'failed' ELSE 'ready_limited' END AS status FROM health"), "status_counts": (status_counts, COUNTS_SQL), "needs_sync": (needs_sync, SYNC_SQL),
     "manifest_prune": (manifest_prune, f"WITH {L.HEALTH_SQL} SELECT source_name, status FROM health WHERE source_name IN (SELECT source_name FROM segments WHERE source_name IS NOT NULL)"), "self_probe": (self_probe, PROBE_SQL), "raw_mail": (raw_mail, RAW_SQL), "entity_overviews": (entity_overviews, ENTITY_SQL),
     "read_text_files": (read_text_files, FILES_SQL), "upload_outcomes": (upload_outcomes, UPLOADS_SQL), "upload_rollup": (upload_rollup, f"WITH o AS ({UPLOADS_SQL}), c AS (SELECT count(*) FILTER (outcome = 'saved') AS saved, count(*) FILTER (outcome = 'duplicate_unchanged') AS duplicate_unchanged, count(*) FILTER (outcome = 'rejected') AS rejected FROM o) SELECT *, CASE WHEN saved > 0 AND rejected = 0 THEN 'success' WHEN saved > 0 THEN 'partial_success' WHEN duplicate_unchanged > 0 THEN CASE WHEN rejected > 0 THEN 'partial_success' ELSE 'no_op' END ELSE 'failed' END AS status FROM c"),
-    "upload_name_check": (S.name_check, f"SELECT DISTINCT source_name, {_SAFE.replace('name', 'source_name')} AS safe FROM segments WHERE source_name IS NOT NULL"), "evidence_windows": (evidence_windows, WINDOW_SQL), "web_query_shape": (S.web_queries, _shape_sql()),
+    "upload_name_check": (S.name_check, f"SELECT DISTINCT source_name, {_SAFE.replace('name', 'source_name')} AS safe FROM segments WHERE source_name IS NOT NULL"), "evidence_windows": (evidence_windows, WINDOW_SQL), "field_values": (S.field_values, FIELDS_SQL), "contact_bundle": (S.contact_bundles, BUNDLE_SQL), "overview_answers": (S.overviews, OVERVIEW_SQL), "web_query_shape": (S.web_queries, _shape_sql()),
 }
