@@ -92,32 +92,42 @@ class Tagger:
     def scores(self, ids: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
         """Label scores (batch, time, labels) of rows of symbols, padded with ``PAD`` at their ends; ``kinds`` are the
         kinds of the words that the characters belong to."""
-        ids = ids.T
-        kinds = np.zeros_like(ids) if kinds is None else kinds.T
-        whole = not (ids == PAD).any()
-        n, (time, batch) = self.hidden, ids.shape
-        half = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])  # one tanh serves for all gates
-        total = np.broadcast_to(self.p["b"], (time, batch, self.labels)).copy()
+        n, embed, (batch, time), one = self.hidden, self.p["e"].shape[1], ids.shape, np.float32(1)
+        pad = np.ascontiguousarray((ids == PAD).T)
+        whole = not pad.any()
+        count = len(self.p["k"])
+        table = (self.p["e"][:, None] + self.p["k"][None]).reshape(-1, embed)
+        codes = np.ascontiguousarray(ids.T).astype(np.int64) * count + (0 if kinds is None else kinds.T)
+        half = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])[:, None]  # one tanh serves for all gates
+        total = np.broadcast_to(self.p["b"][:, None], (time, self.labels, batch)).copy()
+        # states stand in columns, so that every gate is one run of memory; the last row of ``z`` carries the bias
         for d, order in (("f", range(time)), ("r", range(time - 1, -1, -1))):
-            char, word = (self.p["e"] @ self.p[f"x{d}"] + self.p[f"c{d}"]) * half, (self.p["k"] @ self.p[f"x{d}"]) * half
-            own, out = self.p[f"h{d}"] * half, np.empty((time, batch, n), np.float32)
-            h, c, g = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32), np.empty((batch, 4 * n), np.float32)
+            weights = np.ascontiguousarray(np.concatenate([self.p[f"h{d}"], self.p[f"x{d}"], self.p[f"c{d}"][None]]).T * half)
+            z, out = np.zeros((n + embed + 1, batch), np.float32), np.empty((time, n, batch), np.float32)
+            z[-1] = 1
+            c, g = np.zeros((n, batch), np.float32), np.empty((4 * n, batch), np.float32)
+            gates, i, f, o, u, h = g[: 3 * n], g[:n], g[n : 2 * n], g[2 * n : 3 * n], g[3 * n :], z[:n]
             for t in order:
-                np.dot(h, own, out=g)
-                g += char[ids[t]]
-                g += word[kinds[t]]
+                z[n:-1] = table.take(codes[t], axis=0).T
+                np.dot(weights, z, out=g)
                 np.tanh(g, out=g)
-                s = g[:, : 3 * n] * np.float32(0.5) + np.float32(0.5)
-                new = s[:, n : 2 * n] * c + s[:, :n] * g[:, 3 * n :]
-                state = s[:, 2 * n :] * np.tanh(new)
+                gates += one  # twice the gate
                 if whole:
-                    c, h = new, state
+                    c *= f
+                    i *= u
+                    c += i
+                    c *= np.float32(0.5)
+                    np.tanh(c, out=h)
+                    h *= o
+                    h *= np.float32(0.5)
                 else:
-                    on = (ids[t] != PAD)[:, None]
-                    c, h = np.where(on, new, c), np.where(on, state, h)
+                    new = (c * f + i * u) * np.float32(0.5)
+                    on = ~pad[t]
+                    np.copyto(c, new, where=on)
+                    np.copyto(h, np.tanh(new) * o * np.float32(0.5), where=on)
                 out[t] = h
-            total += out @ (self.p["w"][:n] if d == "f" else self.p["w"][n:])
-        return total.transpose(1, 0, 2)
+            total += np.ascontiguousarray((self.p["w"][:n] if d == "f" else self.p["w"][n:]).T) @ out
+        return total.transpose(2, 0, 1)
 
     def step(self, ids: np.ndarray, gold: np.ndarray, kinds: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Loss (negative log likelihood under the CRF, per character) and gradients of a batch."""
@@ -211,21 +221,18 @@ class Tagger:
 
     def decode_many(self, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         """Best labels of several sequences of equal width, padded at their ends."""
-        (rows, width, k), to = scores.shape, np.ascontiguousarray(self.p["t"].T)
-        at = np.arange(rows * k).reshape(rows, k) * k
-        best, back = scores[:, 0], np.empty((width, rows, k), np.int8)
-        whole, own = int(lengths.min()), np.arange(k)
+        (rows, width, k), moves = scores.shape, self.p["t"][:, :, None]
+        own = np.ascontiguousarray(scores.transpose(1, 2, 0), np.float32)
+        best, whole = np.empty((width, k, rows), np.float32), int(lengths.min())
+        best[0] = own[0]
         for a in range(1, width):
-            c = best[:, None, :] + to
-            of = c.argmax(2)
-            new = c.reshape(-1)[at + of] + scores[:, a]
-            if a >= whole:
-                on = (a < lengths)[:, None]
-                of, new = np.where(on, of, own), np.where(on, new, best)
-            back[a], best = of, new
+            new = (best[a - 1][:, None, :] + moves).max(0)
+            new += own[a]
+            best[a] = new if a < whole else np.where(a < lengths, new, best[a - 1])
         out = np.empty((width, rows), np.int64)
-        out[-1] = best.argmax(1)
-        every = np.arange(rows)
+        out[-1] = best[-1].argmax(0)
+        back = self.p["t"].T  # on the way back only the steps into the labels taken are looked at
         for a in range(width - 1, 0, -1):
-            out[a - 1] = back[a][every, out[a]]
+            came = (best[a - 1] + back[out[a]].T).argmax(0)
+            out[a - 1] = came if a < whole else np.where(a < lengths, came, out[a])
         return [out[:n, r] for r, n in enumerate(lengths)]
