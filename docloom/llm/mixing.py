@@ -109,14 +109,19 @@ def report(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULAR
     return wanted(targets).join(by, "source").select("source", "target_weight", "max_repeats", "tokens", "wanted", "budget", "short")
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str = VOCABULARY) -> DataFrame:
+def drawn_place(seed: int) -> Column:
+    """A document's place in the order of an epoch: the first 60 bits of a hash of seed, epoch and id."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "epoch", "doc_id").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str = VOCABULARY, size: Column | None = None) -> DataFrame:
     """``doc_id, source, lang, epoch, tokens``: the mixture; a document stands once for each epoch that takes it.
 
     Of every leaf's epochs, in order, the documents are taken while the tokens before them are below the budget, so a
     leaf exceeds its budget by less than one document. Documents without tokens are left out. Empty input or targets
     without documents give no rows.
     """
-    sizes = cut(sized(documents, vocabulary).where("tokens > 0"))
+    sizes = cut(sized(documents, vocabulary, size).where("tokens > 0"))
     full = F.least(F.floor(F.col("budget") / F.col("tokens") + 1e-9), F.col("max_repeats")).cast("int")
     rest = F.col("budget") - F.col("_full") * F.col("tokens")
     last = F.when((F.col("_full") < F.col("max_repeats")) & (rest > 1e-6), F.col("_full") + 1).otherwise(F.col("_full"))
@@ -126,7 +131,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 7, vocabulary: str
         .select("source", "lang", "epoch", F.when(F.col("epoch") < F.col("_full"), F.col("_all").cast("double")).otherwise(F.col("_rest")).alias("budget"))
     )
     sent = F.broadcast(plan) if bounded_collect(plan.select("epoch"), MOST_SENT) is not None else plan
-    drawn = sizes.join(sent, ["source", "lang"]).withColumn("_h", F.xxhash64(F.lit(seed), "epoch", "doc_id")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
+    drawn = sizes.join(sent, ["source", "lang"]).withColumn("_h", drawn_place(seed)).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
     leaf = ["source", "lang", "epoch"]
     sums = (
         drawn.groupBy(*leaf, "_b").agg(F.sum("tokens").alias("_s"))
@@ -157,7 +162,15 @@ def found(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
     return report(documents, targets, vocabulary).where("short").select("source")
 
 
+WORDS = r"[a-zA-Z]+|[^a-zA-Z\s]"
+
+
+def word_mixture(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """``mix`` with words and marks for tokens."""
+    return mix(documents, targets, size=F.regexp_count("text", F.lit(WORDS)))
+
+
 def word_budgets(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """``report`` with words and marks for tokens, amounts rounded to whole ones."""
-    r = report(documents, targets, size=F.regexp_count("text", F.lit(r"[a-zA-Z]+|[^a-zA-Z\s]")))
+    r = report(documents, targets, size=F.regexp_count("text", F.lit(WORDS)))
     return r.select("source", "tokens", F.round("wanted").cast("long").alias("wanted"), F.round("budget").cast("long").alias("budget"), "short")

@@ -48,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p9_found": lambda s, d: mixing.found(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_shares": lambda s, d: mixing.shares(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_budgets": lambda s, d: mixing.word_budgets(t(s, d, "documents"), t(s, d, "mix_targets")),
+        "p9_word_mixture": lambda s, d: mixing.word_mixture(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_mixture": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_targets")),
     }
 
@@ -179,8 +180,8 @@ SELECT source FROM n WHERE n * max_repeats < target_weight * (SELECT sum(n) FROM
 """
 
 # Leaves, then the level of each family (domain, language, source) that its members fill up to within their capacities.
-P9_BUDGETS = f"""
-WITH d AS (SELECT DISTINCT ON (doc_id) lower(trim(source, {BLANK})) AS source, coalesce(nullif(lower(trim(lang, {BLANK})), ''), 'und') AS lang, len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+|[^a-zA-Z\\s]')) AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL),
+_P9_LEVELS = f"""
+WITH d AS (SELECT DISTINCT ON (doc_id) doc_id, lower(trim(source, {BLANK})) AS source, coalesce(nullif(lower(trim(lang, {BLANK})), ''), 'und') AS lang, len(regexp_extract_all(coalesce(text, ''), '[a-zA-Z]+|[^a-zA-Z\\s]')) AS n FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL),
 t AS (SELECT lower(trim(source, {BLANK})) AS source, max(target_weight) AS tw, max(max_repeats) AS most FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
 h AS (SELECT source, lang, sum(n) AS n FROM d GROUP BY ALL),
 l AS (SELECT t.source, coalesce(lang, 'und') AS lang, coalesce(n, 0) AS n, tw * CASE WHEN sum(n) OVER (PARTITION BY t.source) > 0 THEN n / sum(n) OVER (PARTITION BY t.source) ELSE 1 / count(*) OVER (PARTITION BY t.source) END AS w, coalesce(n, 0) * most AS c FROM t LEFT JOIN h USING (source)),
@@ -191,12 +192,21 @@ b1 AS (SELECT lang, least(c, w * (SELECT max(v) FROM v1)) AS b FROM v1),
 n2 AS (SELECT lang, source, sum(w) AS w, sum(c) AS c, any_value(b) AS b FROM l JOIN b1 USING (lang) GROUP BY ALL),
 v2 AS (SELECT *, (b - coalesce(sum(c) OVER (PARTITION BY lang ORDER BY c / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY lang ORDER BY c / w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM n2),
 b2 AS (SELECT lang, source, least(c, w * max(v) OVER (PARTITION BY lang)) AS b FROM v2)
+"""
+P9_BUDGETS = _P9_LEVELS + """
 SELECT source, sum(n)::BIGINT AS tokens, round(sum(w) * any_value(total))::BIGINT AS wanted, round(sum(b))::BIGINT AS budget, sum(c) < sum(w) * any_value(total) * (1 - 1e-9) AS short
 FROM l JOIN b2 USING (lang, source) CROSS JOIN a GROUP BY source
 """
+# Whole epochs of a leaf while its budget lasts, then a part of one; of each the documents by their drawn place.
+P9_WORD_MIXTURE = _P9_LEVELS + """,
+q AS (SELECT l.lang, l.source, l.n, b, most, least(floor(b / l.n + 1e-9), most)::INT AS whole FROM l JOIN b2 USING (lang, source) JOIN t USING (source) WHERE l.n > 0 AND b > 0),
+e AS (SELECT lang, source, n, b, whole, unnest(range(0, whole + CASE WHEN whole < most AND b - whole * n > 1e-6 THEN 1 ELSE 0 END)) AS epoch FROM q),
+m AS (SELECT d.doc_id, d.source, d.lang, e.epoch, d.n AS tokens, CASE WHEN e.epoch < e.whole THEN e.n ELSE e.b - e.whole * e.n END AS budget, ('0x' || md5('7:' || e.epoch || ':' || d.doc_id)[1:15])::BIGINT AS h FROM d JOIN e USING (lang, source) WHERE d.n > 0)
+SELECT doc_id, source, lang, epoch::INT AS epoch, tokens FROM m QUALIFY coalesce(sum(tokens) OVER (PARTITION BY source, lang, epoch ORDER BY h % 4096, h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < budget
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p3_threads": P3_THREADS, "p3_paths": P3_PATHS, "p4_found": P4_FOUND, "p4_neighbours": P4_NEIGHBOURS, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_leaks": P8_LEAKS, "p9_found": P9_FOUND, "p9_budgets": P9_BUDGETS,
+        "p2_found": P2_FOUND, "p2_groups": P2_GROUPS, "p3_found": P3_FOUND, "p3_conversations": P3_CONVERSATIONS, "p3_threads": P3_THREADS, "p3_paths": P3_PATHS, "p4_found": P4_FOUND, "p4_neighbours": P4_NEIGHBOURS, "p6_found": P6_FOUND, "p8_found": P8_FOUND, "p8_leaks": P8_LEAKS, "p9_found": P9_FOUND, "p9_budgets": P9_BUDGETS, "p9_word_mixture": P9_WORD_MIXTURE,
     }
