@@ -322,7 +322,20 @@ def event_windows(s, d):
     return hourly(table(s, d, "events")).select("event_type", F.col("window_start").cast("string").alias("window_start"), "events", F.round("total", 4).alias("total"))
 
 
+def event_sessions(s, d):
+    """Runs of a user's events without a gap of more than half an hour: the batch form of the session stream."""
+    from ..streaming.windows import sessions
+
+    return sessions(table(s, d, "events")).select("user_id", F.unix_micros(F.col("started").cast("timestamp")).alias("started"), F.unix_micros(F.col("ended").cast("timestamp")).alias("ended"), "events")
+
+
+SESSION_SQL = (
+    "WITH e AS (SELECT user_id, ts, ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) "
+    "SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS ended, count(*) AS events FROM g GROUP BY user_id, g"
+)
+
 QUERIES = {
+    "event_sessions": (event_sessions, SESSION_SQL),
     "field_values": (field_values, None),
     "contact_bundle": (contact_bundles, None),
     "email_fields": (email_fields, EMAIL_SQL),
