@@ -52,25 +52,36 @@ _STREET_END = re.compile(r"(?:stra(?:ß|ss)e|weg|platz|gasse|allee)$")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+_letters: list[np.ndarray] = []
+
+
 def word_kinds(text: str, ordinary: Container[str], memo: dict[str, int] | None = None) -> np.ndarray:
     """The kind of word that each character of ``text`` belongs to; 0 between words."""
-    out = np.zeros(len(text), np.uint8)
     memo = {} if memo is None else memo
-    for m in _WORD.finditer(text):
-        w = m[0]
-        k = memo.get(w)
-        if k is None:
-            low = w.lower()
-            k = _KIND.get(low)
-            if k is None or k == 2 and w[0].isupper() and len(w) == 1:
-                k = WORD_KINDS.index("street") if _STREET_END.search(low) else int(low in ordinary)
-            if len(memo) < 500_000:
-                memo[w] = k
-        if k:
-            out[m.start() : m.end()] = k
+    if not _letters:  # which code points stand in words
+        _letters.append(np.array([_WORD.match(chr(i)) is not None for i in range(0x20000)]))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _letters[0].take(points, mode="clip") if points.max(initial=0) < 0x20000 else np.array([_WORD.match(c) is not None for c in text], bool)
+    words = _WORD.findall(text)
+    known = memo.get
+    kinds = np.fromiter((k if (k := known(w)) is not None else _kind(w, ordinary, memo) for w in words), np.uint8, len(words))
+    out = np.zeros(len(text), np.uint8)
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    out[inside] = kinds[np.cumsum(starts)[inside] - 1]
     return out
 
 
+def _kind(w: str, ordinary: Container[str], memo: dict[str, int]) -> int:
+    low = w.lower()
+    k = _KIND.get(low)
+    if k is None or k == 2 and w[0].isupper() and len(w) == 1:
+        k = WORD_KINDS.index("street") if _STREET_END.search(low) else int(low in ordinary)
+    if len(memo) < 500_000:
+        memo[w] = k
+    return k
+
+
 # --- the model -----------------------------------------------------------------------------------------------------
 
 _models: dict[str, Tagger] = {}
@@ -148,24 +159,25 @@ class Finder:
         return out
 
     def _scores(self, ids: np.ndarray, kinds: np.ndarray, starts: np.ndarray, sizes: list[int]) -> np.ndarray:
-        """Label scores of every character of texts laid end to end."""
+        """Label scores (labels, characters) of texts laid end to end."""
         parts = sorted(((s + a, s + b, len(w) == 1) for s, n in zip(starts, sizes) for w in (windows(n),) for a, b in w), key=lambda p: p[1] - p[0])
-        total, weight = np.zeros((len(ids), LABELS), np.float32), np.zeros(len(ids), np.float32)
+        total, weight = np.zeros((LABELS, len(ids)), np.float32), np.zeros(len(ids), np.float32)
         for k in range(0, len(parts), BATCH):
             own = parts[k : k + BATCH]
             width = own[-1][1] - own[-1][0]
             x, z = np.zeros((len(own), width), np.uint8), np.zeros((len(own), width), np.uint8)
             for r, (a, b, _) in enumerate(own):
                 x[r, : b - a], z[r, : b - a] = ids[a:b], kinds[a:b]
-            scores = self.model.scores(x, z)
+            scores = np.ascontiguousarray(self.model.scores(x, z).transpose(0, 2, 1))
             for r, (a, b, alone) in enumerate(own):
                 if alone:
-                    total[a:b], weight[a:b] = scores[r, : b - a], 1
+                    total[:, a:b], weight[a:b] = scores[r, :, : b - a], 1
                 else:
                     near = np.minimum(np.arange(1, b - a + 1), np.arange(b - a, 0, -1)).clip(1, OVERLAP).astype(np.float32)
-                    total[a:b] += scores[r, : b - a] * near[:, None]
+                    total[:, a:b] += scores[r, :, : b - a] * near
                     weight[a:b] += near
-        return total / weight[:, None]
+        total /= weight
+        return total
 
     def _open(self, scores: np.ndarray, edge: np.ndarray) -> list[tuple[int, int]]:
         """The stretches, none across an ``edge``, where the best path can leave "outside"; it cannot elsewhere.
@@ -181,7 +193,7 @@ class Finder:
         ends = max(t[inside, 0].max(), t[begin, 0].max())
         again = float(stay + out - min(t[inside, 0].min(), t[begin, 0].min()) - t[0, begin].min()) + 0.5
         enter = float(t[0, begin].max() + ends - 2 * out + max(t[begin, inside].max() - stay, 0))
-        lead = scores[:, 0] - scores[:, 1:].max(1)
+        lead = scores[0] - scores[1:].max(0)
         cut = lambda inner: np.flatnonzero(edge | np.concatenate([[True], inner[1:] != inner[:-1]]))
         away = lead > keep
         first = cut(away)
@@ -210,11 +222,11 @@ class Finder:
         for k in range(0, len(todo), 512):
             own = todo[k : k + 512]
             lengths = np.array([b - a for a, b in own])
-            padded = np.zeros((len(own), lengths[-1] + 2, LABELS), np.float32)
-            padded[:, :, 1:] = -50  # outside before and behind
+            padded = np.zeros((len(own), LABELS, lengths[-1] + 2), np.float32)
+            padded[:, 1:] = -50  # outside before and behind
             for r, (a, b) in enumerate(own):
-                padded[r, 1 : 1 + b - a] = scores[a:b]
-            for (a, b), y in zip(own, self.model.decode_many(padded, lengths + 2)):
+                padded[r, :, 1 : 1 + b - a] = scores[:, a:b]
+            for (a, b), y in zip(own, self.model.decode_many(padded.transpose(0, 2, 1), lengths + 2)):
                 labels[a:b] = y[1:-1]
         before = np.concatenate([[0], labels[:-1]])
         begins = np.flatnonzero((labels > 0) & ((labels % 2 == 1) | edge | ((before + 1) // 2 != (labels + 1) // 2)))
