@@ -185,6 +185,8 @@ def search(x: np.ndarray, home: np.ndarray, ids: list[str], k: int, radius: floa
     stored, stored_list = own[put], in_list[put]
     edges = np.arange(len(c) + 1)
     qa, ia = np.searchsorted(ask_list, edges), np.searchsorted(stored_list, edges)
+    rank = np.empty(len(ids), np.int64)
+    rank[np.array(sorted(range(len(ids)), key=ids.__getitem__))] = np.arange(len(ids))
     found = []
     for i in range(len(c)):
         members, queries = stored[ia[i] : ia[i + 1]], ask_row[qa[i] : qa[i + 1]]
@@ -203,16 +205,18 @@ def search(x: np.ndarray, home: np.ndarray, ids: list[str], k: int, radius: floa
             a, b = a[keep], b[keep]
             d = ((x[a].astype(np.float64) - x[b].astype(np.float64)) ** 2).sum(1)
             near_enough = d <= radius
-            found.append((a[near_enough], b[near_enough], d[near_enough]))
+            # no more than k of a list can be among the k nearest, so a dense region keeps no more either
+            found.append(_best(a[near_enough], b[near_enough], d[near_enough], rank, k))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    a, b, d = (np.concatenate(v) for v in zip(*found))
-    rank = np.empty(len(ids), np.int64)
-    rank[np.array(sorted(range(len(ids)), key=ids.__getitem__))] = np.arange(len(ids))
+    return _best(*(np.concatenate(v) for v in zip(*found)), rank, k)
+
+
+def _best(a: np.ndarray, b: np.ndarray, d: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (row, other, distance) the ``k`` nearest others of each row, ties by ``rank``."""
     order = np.lexsort((rank[b], d, a))
     a, b, d = a[order], b[order], d[order]
-    first = np.searchsorted(a, a)
-    top = np.arange(len(a)) - first < k
+    top = np.arange(len(a)) - np.searchsorted(a, a) < k
     return a[top], b[top], d[top]
 
 
