@@ -276,8 +276,9 @@ def within_buckets(rows: DataFrame, threshold: float, stats: bool = False) -> Da
     return ordered.mapInArrow(run, "level int, pairs long, dropped long" if stats else "a long, b long")
 
 
-def between_blocks(rows: DataFrame, threshold: float, block: int) -> DataFrame:
-    """``a, b`` of the possible pairs in buckets of any size, by a dual traversal that starts at blocks.
+def between_blocks(rows: DataFrame, threshold: float, block: int, stats: bool = False) -> DataFrame:
+    """``a, b`` of the possible pairs in buckets of any size, by a dual traversal that starts at blocks; with ``stats`` instead
+    ``level, pairs, dropped`` of the traversals.
 
     Rows of a bucket are put into blocks of about ``block`` rows by size; block nodes are paired under the node bound,
     and each surviving pair of blocks becomes one task-sized group.
@@ -307,16 +308,20 @@ def between_blocks(rows: DataFrame, threshold: float, block: int) -> DataFrame:
         for s in (0, 1):
             part = group.filter(pc.equal(group["side"], s)).sort_by("n")
             sides.append((part["cls"].to_numpy(), (np.stack([part[f"b{i}"].to_numpy() for i in range(BITS // 64)], axis=1).view(np.uint64), part["n"].to_numpy().astype(np.int64))))
-        i, j = traverse(sides[0][1], sides[1][1], threshold)
+        seen: dict[int, list[int]] = {}
+        i, j = traverse(sides[0][1], sides[1][1], threshold, seen)
+        if stats:
+            return pa.table({"level": pa.array([*seen], pa.int32()), "pairs": pa.array([v[0] for v in seen.values()], pa.int64()), "dropped": pa.array([v[1] for v in seen.values()], pa.int64())})
         both = np.stack([sides[0][0][i], sides[1][0][j]])
         both = np.unique(np.sort(both[:, both[0] != both[1]], axis=0), axis=1)
         return pa.table({"a": both[0], "b": both[1]})
 
-    return left.unionByName(right).groupBy("key", "block", "q_block").applyInArrow(join, "a long, b long")
+    return left.unionByName(right).groupBy("key", "block", "q_block").applyInArrow(join, "level int, pairs long, dropped long" if stats else "a long, b long")
 
 
-def candidates(reps: DataFrame, threshold: float, hot: int, block: int) -> DataFrame:
-    """``a, b``: class pairs that pass the signature bounds somewhere in the forest."""
+def candidates(reps: DataFrame, threshold: float, hot: int, block: int, stats: bool = False) -> DataFrame:
+    """``a, b``: class pairs that pass the signature bounds somewhere in the forest; with ``stats`` instead ``level, pairs,
+    dropped`` of the traversals."""
     cols = ["cls", "n", *(f"b{i}" for i in range(BITS // 64))]
     rows = reps.select(F.explode("bands").alias("key"), *cols)
     # A subtree's size is estimated on one text in SAMPLED; both ways below keep every pair of a subtree, so a wrong guess
@@ -324,11 +329,11 @@ def candidates(reps: DataFrame, threshold: float, hot: int, block: int) -> DataF
     sampled = rows.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLED)) == 0).groupBy("key").agg(F.count("*").alias("c"))
     hot_keys = cut(sampled.where(F.col("c") * SAMPLED > hot).select("key"))
     if hot_keys.isEmpty():
-        return within_buckets(rows, threshold)
+        return within_buckets(rows, threshold, stats)
     known = bounded_collect(hot_keys, 10_000)
     by = F.broadcast(hot_keys) if known is not None else hot_keys
-    cold = within_buckets(rows.join(by, "key", "left_anti"), threshold)
-    return cold.unionByName(between_blocks(rows.join(by, "key", "left_semi"), threshold, block))
+    cold = within_buckets(rows.join(by, "key", "left_anti"), threshold, stats)
+    return cold.unionByName(between_blocks(rows.join(by, "key", "left_semi"), threshold, block, stats))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int, least_words: int) -> DataFrame:
@@ -400,12 +405,11 @@ def found(chunks: DataFrame, threshold: float = 0.5, shown: int = 64) -> DataFra
     return across.unionByName(inside).unionByName(more).select(F.least("x", "y").alias("chunk_id_a"), F.greatest("x", "y").alias("chunk_id_b")).distinct()
 
 
-def pruning(chunks: DataFrame, threshold: float = 0.5, width: int = 3, least_words: int = 20, bands: int = 7) -> DataFrame:
+def pruning(chunks: DataFrame, threshold: float = 0.5, width: int = 3, least_words: int = 20, bands: int = 7, hot: int = 20_000, block: int = 10_000) -> DataFrame:
     """``level, pairs, dropped``: node pairs that the dual traversals compare and drop, leaves being level 0 and pairs of
-    texts level -1. Subtrees of any size are read as a whole here."""
-    reps = signatures(chunks.where("chunk_id is not null and text is not null"), "chunk_id", width, least_words, bands).drop("chunk_id").dropDuplicates(["cls"])
-    rows = reps.select(F.explode("bands").alias("key"), "cls", "n", *(f"b{i}" for i in range(BITS // 64)))
-    return within_buckets(rows, threshold, stats=True).groupBy("level").agg(F.sum("pairs").alias("pairs"), F.sum("dropped").alias("dropped"))
+    texts level -1."""
+    reps = cut(signatures(chunks.where("chunk_id is not null and text is not null"), "chunk_id", width, least_words, bands).drop("chunk_id").dropDuplicates(["cls"]))
+    return candidates(reps, threshold, hot, block, stats=True).groupBy("level").agg(F.sum("pairs").alias("pairs"), F.sum("dropped").alias("dropped"))
 
 
 def groups(chunks: DataFrame, threshold: float = 0.5) -> DataFrame:

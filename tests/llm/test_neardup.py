@@ -111,3 +111,4 @@ def test_trees_drop_most_node_pairs(spark):
     out = {x.level: x for x in N.pruning(spark.createDataFrame(texts, "chunk_id string, text string")).collect()}
     pairs, dropped = (sum(x[c] for k, x in out.items() if k >= 0) for c in ("pairs", "dropped"))
     assert dropped > 0.9 * pairs
+    assert N.pruning(spark.createDataFrame(texts[:200], "chunk_id string, text string"), hot=3, block=8).where("pairs >= dropped").count() > 0
