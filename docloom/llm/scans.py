@@ -234,7 +234,7 @@ def folded(line: str) -> str:
 
 
 def line_symbol(line: str, before: str, page: int | None) -> tuple[str, str | None]:
-    """Symbol of a line, and the key under which a title-like one may recur.
+    """Symbol of a line, and the text, without number, under which a title-like one may recur.
 
     ``b`` blank, ``p`` the page's own number alone, ``v`` the same behind a label, ``s`` sentence, table row, list item
     or form line, ``t`` title-like, ``n`` title-like with the page's own number.
@@ -243,19 +243,20 @@ def line_symbol(line: str, before: str, page: int | None) -> tuple[str, str | No
     if not s:
         return "b", None
     own = str(page) if page is not None else None
-    if (m := NUMBER_LINE.match(s)) and own == m[1].lstrip("0"):
+    numbers = own is not None and own in s
+    if numbers and (m := NUMBER_LINE.match(s)) and own == m[1].lstrip("0"):
         return ("v" if s.isdigit() and LABEL.match(before.strip()) and before.strip()[0].isupper() else "p"), None
     if len(s) > 110 or s[0] in "|-*•#" or s[-1] in ".,;:!?。、" + HYPHENS and not s.endswith(")"):
         return "s", None
     rest = s
     numbered = False
-    for pattern in (NUMBER_TAIL, NUMBER_HEAD):
-        if own and (m := pattern.search(s)) and m[1].lstrip("0") == own and len(r := (s[: m.start()] + s[m.end() :]).strip(" |·•—–-")) > 3:
+    for pattern in (NUMBER_TAIL, NUMBER_HEAD) if numbers else ():
+        if (m := pattern.search(s)) and m[1].lstrip("0") == own and len(r := (s[: m.start()] + s[m.end() :]).strip(" |·•—–-")) > 3:
             rest, numbered = r, True
             break
     if re.fullmatch(r"[\W\d]*", rest) or not re.search(r"[^\W\d_]{3}", rest):
         return "s", None
-    return ("n" if numbered else "t"), folded(rest)
+    return ("n" if numbered else "t"), rest
 
 
 STATES = ("header", "number", "first", "more", "break", "label", "value")
@@ -287,7 +288,7 @@ def read_page(text: str, page: int | None) -> tuple[str, str, list[str | None]]:
     inner = [i for i, s in enumerate(symbols) if s not in MARGIN]
     if inner:
         keys[inner[0] : inner[-1] + 1] = [None] * (inner[-1] + 1 - inner[0])
-    return "".join(symbols), "".join(cues), keys
+    return "".join(symbols), "".join(cues), [k and folded(k) for k in keys]
 
 
 def placed(symbols: str) -> list[str]:
@@ -447,15 +448,16 @@ def labelled(segments: DataFrame) -> DataFrame:
     often = keys.groupBy("source_name", "key").agg(F.count("*").alias("pages")).where("pages >= 3").drop("pages")
     known = keys.join(often, ["source_name", "key"], "left_semi").groupBy("document_id").agg(F.collect_list("key").alias("often"))  # of one page's lines
 
+    model = segments.sparkSession.sparkContext.broadcast(LineModel())
+
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LineModel()
         for batch in batches:
             docs, symbols, cues, keys, of, often = (batch.column(i).to_pylist() for i in range(6))
             shown = []
             for s, k, at, o in zip(symbols, keys, of, often):
                 recurs = {k.index(x) for x in o} if o else ()
                 shown.append("".join(c.upper() if i in recurs else c for c, i in zip(s, at)) if recurs else s)
-            states = model.label(list(zip(shown, cues)))
+            states = model.value.label(list(zip(shown, cues)))
             header = [any(c in "TN" and x == HEADER for c, x in zip(s, y)) for s, y in zip(shown, states)]
             number = [any(c == "p" and x == NUMBER or c in "Nn" and x == HEADER for c, x in zip(s, y)) for s, y in zip(shown, states)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(header, pa.bool_()), pa.array(number, pa.bool_()), pa.array(["".join(map(str, y)) for y in states], pa.string())], names=["document_id", "header", "page_number", "states"])
