@@ -69,6 +69,13 @@ def wide_partitions(df: DataFrame, per_core: int = 3) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), per_core * sc.defaultParallelism)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over at least as many partitions as the session has cores, for stages that work long on each row: shuffled by
+    ``key`` if its own splits are fewer, else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(wide_partitions(df), key)
+
+
 def bounded_collect(df: DataFrame, most: int) -> list | None:
     """The rows of ``df`` if they are at most ``most``, else None. Reads no more than ``most`` + 1 rows."""
     rows = df.limit(most + 1).collect()
