@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .bilstm import Tagger, symbols
 from .sketch import Marked, lower_words
 
@@ -277,7 +278,7 @@ def personal(records: DataFrame, key: str, text: str, with_text: bool = True, or
                     rows.append((k, redact(t, spans) if with_text and t is not None else None, sorted({s[2] for s in spans})))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, (pa.string(), pa.string(), pa.list_(pa.string())))], names=["record_key", "text", "kinds"])
 
-    return rows.mapInArrow(run, "record_key string, text string, kinds array<string>").dropDuplicates(["record_key"])
+    return spread(rows, "record_key").mapInArrow(run, "record_key string, text string, kinds array<string>").dropDuplicates(["record_key"])
 
 
 def found(segments: DataFrame, messages: DataFrame) -> DataFrame:
