@@ -38,6 +38,8 @@ BITS = 768
 LEAF, FAN, SMALL = 2, 16, 16
 #: Node pairs looked at together, and the share of texts on which the size of a subtree is estimated.
 AT_ONCE, SAMPLED = 16_384, 64
+#: Texts that are signed together, so that their arrays stay near.
+SLICE = 256
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,19 +48,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
 
 
+class _Numbers(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, w: str) -> int:
+        n = xxhash.xxh64_intdigest(w)
+        if len(self) < 500_000:
+            self[w] = n
+        return n
+
+
 class Shingler:
     """64-bit hashes of runs of words, alike in every process."""
 
     def __init__(self, width: int, least_words: int):
-        self.width, self.least, self.known = width, least_words, {}
-
-    def _number(self, w: str) -> int:
-        n = self.known.get(w)
-        if n is None:
-            n = xxhash.xxh64_intdigest(w)
-            if len(self.known) < 500_000:
-                self.known[w] = n
-        return n
+        self.width, self.least, self.known = width, least_words, _Numbers()
 
     @staticmethod
     def class_of(tokens: np.ndarray) -> int:
@@ -70,17 +74,21 @@ class Shingler:
         words = WORD.findall(text.lower()) if text else ()
         if len(words) < max(self.least, self.width):
             return None
-        ids = np.fromiter(map(self._number, words), np.uint64, len(words))
+        ids = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = len(ids) - self.width + 1
         out = np.zeros(n, np.uint64)
         for i in range(self.width):
             out = (out + ids[i : i + n]) * MULTIPLY
             out ^= out >> np.uint64(32)
-        return np.unique(out)
+        out.sort()
+        first = np.empty(n, bool)
+        first[0] = True
+        np.not_equal(out[1:], out[:-1], out=first[1:])
+        return out[first]
 
 
 def signatures(texts: DataFrame, key: str, width: int, least_words: int, bands: int) -> DataFrame:
-    """``<key>, cls, n, b0..b3, bands``: class, size, bitmap and tree keys of every text that takes part."""
+    """``<key>, cls, n, b0.., bands``: class, size, bitmap and tree keys of every text that takes part."""
     fields = ", ".join(["cls long", "n int", *(f"b{i} long" for i in range(BITS // 64)), "bands array<long>"])
     rng = np.random.default_rng(20240229)
     factors = rng.integers(1, 1 << 63, bands, dtype=np.uint64) | np.uint64(1)
@@ -88,7 +96,7 @@ def signatures(texts: DataFrame, key: str, width: int, least_words: int, bands:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width, least_words)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             keep, sets = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if (t := shingler.tokens(text)) is not None:
@@ -104,8 +112,9 @@ def signatures(texts: DataFrame, key: str, width: int, least_words: int, bands:
             bits = np.packbits(marks, axis=1, bitorder="little").view(np.int64)
             cls = _mix(np.add.reduceat(_mix(flat), starts) + n.astype(np.uint64)).view(np.int64)
             named = np.empty((len(sets), bands), np.uint64)
+            high = flat >> np.uint64(17)
             for k in range(bands):
-                named[:, k] = np.minimum.reduceat(flat * factors[k] ^ (flat >> np.uint64(17)) * shifts[k], starts) 
+                named[:, k] = np.minimum.reduceat(flat * factors[k] ^ high * shifts[k], starts)
             named = _mix(named + np.arange(1, bands + 1, dtype=np.uint64)[None, :] * MULTIPLY)
             lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(a).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
