@@ -6,8 +6,8 @@ logarithm of the longest conversation. Rows whose pointer names no row are orpha
 exceed the logarithm of the row count lie on, or behind, a cycle. Given pointers can branch; ``paths`` then gives each
 path from a root to a leaf as a conversation.
 
-Where the order gives the pointers, no step holds a session in one task: a session is read in blocks of the order
-column, within a block its rows know their place, and only the blocks' first rows point at one another and jump.
+Every row jumps, whether its pointer was given or comes from the order. No step holds a session in one task: to find the
+rows before, a session is read in blocks of the order column, and from there on rows meet by their ids alone.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ ASSISTANT_ROLES = ("assistant", "ai", "bot", "model", "chatbot", "gpt", "agent",
 SYSTEM_ROLES = ("system", "sys", "developer")
 
 BLOCK = 1_000_000
+#: Open rows that are sent to all tasks rather than shuffled.
+FEW = 20_000
 
 
 def speaker(role: Column | str) -> Column:
@@ -35,68 +37,58 @@ def speaker(role: Column | str) -> Column:
     )
 
 
-def with_previous(df: DataFrame, key: str, order: str, values: dict[str, Column], block: int = BLOCK, jump: bool = False) -> DataFrame:
+def with_previous(df: DataFrame, key: str, order: str, values: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """``df`` with ``prev_<name>`` for each of ``values``: its value in the row before, by ``order``, of the same ``key``.
 
     ``prev_<name>`` is null in a key's first row. ``order`` must be a unique whole number within ``key``. A key is
-    looked at in blocks of ``block`` order values; one small row for each block joins them. With ``jump`` there are also
-    ``root``, the order of the key's first row, ``depth``, the rows before it, and ``state``, by pointer jumping over
-    the blocks.
+    looked at in blocks of ``block`` order values; one small row for each block joins them.
     """
     df = df.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_vals", F.struct(*[v.alias(n) for n, v in values.items()]))
     within = Window.partitionBy(key, "_block").orderBy(order)
     along = Window.partitionBy(key).orderBy("_block")
-    blocks = (
-        df.groupBy(key, "_block")
-        .agg(F.max_by("_vals", order).alias("_last"), F.min(order).alias("_head"), F.count("*").alias("_size"))
-        .select(key, "_block", F.lag("_last").over(along).alias("_before"), "_head", F.lag("_head").over(along).alias("_up"), F.lag("_size").over(along).alias("_step"))
-    )
-    if jump:
-        blocks = cut(blocks)
-        heads = resolve(blocks.select(F.col("_head").alias("id"), F.col("_up").alias("parent"), F.col("_step").alias("step"))).withColumnsRenamed({"id": "_head", "root": "root", "depth": "_depth"})
-        blocks = blocks.join(heads, "_head").drop("_head", "_up", "_step")
-    else:
-        blocks = blocks.select(key, "_block", "_before")
+    blocks = df.groupBy(key, "_block").agg(F.max_by("_vals", order).alias("_last")).select(key, "_block", F.lag("_last").over(along).alias("_before"))
     seen = df.withColumn("_prev", F.lag("_vals").over(within)).withColumn("_place", F.row_number().over(within))
     out = seen.join(blocks, [key, "_block"]).withColumn("_prev", F.when(F.col("_place") == 1, F.col("_before")).otherwise(F.col("_prev")))
-    if jump:
-        out = out.withColumn("depth", F.col("_depth") + F.col("_place") - 1).drop("_depth")
     return out.withColumns({f"prev_{n}": F.col(f"_prev.{n}") for n in values}).drop("_block", "_vals", "_prev", "_place", "_before")
 
 
 def resolve(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """Root and distance of every row of ``links(id, parent)``; a column ``step`` tells a parent's distance if it is not 1.
+    """Root and distance of every row of ``links(id, parent)``.
 
     Result: ``id, root, depth, state``. A row without parent is a root at depth 0. ``state`` is ``ok``, ``orphan`` (the
     chain ends in a parent that is no row; root is the last row found) or ``cycle`` (root and depth are null).
     ``id`` must be unique; a null id is left out. Empty input gives no rows.
     """
     links = links.where(F.col("id").isNotNull())
-    step = F.col("step") if "step" in links.columns else F.lit(1)
     ids = links.select(F.col("id").alias("_known"))
     # rows without parent take no part in the join, so that they do not meet under one empty key
     some, none = links.where(F.col("parent").isNotNull()), links.where(F.col("parent").isNull())
     start = some.join(ids, some.parent == F.col("_known"), "left").unionByName(none.withColumn("_known", F.lit(None).cast(dict(ids.dtypes)["_known"]))).select(
         "id",
         F.when(F.col("_known").isNull(), F.col("id")).otherwise(F.col("parent")).alias("ptr"),
-        F.when(F.col("_known").isNull(), 0).otherwise(step).cast("long").alias("depth"),
+        F.col("_known").isNotNull().cast("long").alias("depth"),
         F.col("_known").isNull().alias("done"),
         (F.col("parent").isNotNull() & F.col("_known").isNull()).alias("orphan"),
     )
     state = cut(start)
     total, still = state.agg(F.count("*"), F.count_if(~F.col("done"))).first()
     most_rounds = most_rounds or math.ceil(math.log2(max(total, 2))) + 1
+    settled = None
     for _ in range(most_rounds):
         if not still:
             break
-        # only open rows are joined; the side that they meet has each id once
-        p = state.select(*[F.col(c).alias(f"p_{c}") for c in ("id", "ptr", "depth", "done", "orphan")])
-        jumped = state.where(~F.col("done")).join(p, F.col("ptr") == F.col("p_id")).select(
+        # only open rows are joined and written again; the side that they meet has each id once
+        opened, rest = state.where(~F.col("done")), state.where("done")
+        known = state if settled is None else settled.unionByName(state)
+        p = known.select(*[F.col(c).alias(f"p_{c}") for c in ("id", "ptr", "depth", "done", "orphan")])
+        few = still <= FEW
+        jumped = (F.broadcast(opened) if few else opened).join(p, F.col("ptr") == F.col("p_id")).select(
             "id", F.col("p_ptr").alias("ptr"), (F.col("depth") + F.col("p_depth")).alias("depth"), F.col("p_done").alias("done"), F.col("p_orphan").alias("orphan")
         )
-        state = cut(state.where("done").unionByName(jumped))
+        settled = rest if settled is None else settled.unionByName(rest)
+        state = cut(jumped.repartition(1) if few else jumped)
         still = state.where(~F.col("done")).count()
-    return state.select(
+    return (state if settled is None else settled.unionByName(state)).select(
         "id",
         F.when(F.col("done"), F.col("ptr")).alias("root"),
         F.when(F.col("done"), F.col("depth")).alias("depth"),
@@ -104,14 +96,16 @@ def resolve(links: DataFrame, most_rounds: int | None = None) -> DataFrame:
     )
 
 
-def paths(links: DataFrame) -> DataFrame:
+def paths(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Each path from a root to a leaf of ``links(id, parent)`` as a conversation: ``leaf, root, turn, id``.
 
     ``turn`` is 0 for the root. Rows on or behind a cycle, or whose chain ends in a parent that is no row, are left out
     with all below them. In round k every row of a path so far also gives its ancestor 2^k steps up, found by pointer
-    jumping. A message stands in the path of every leaf below it.
+    jumping. A message stands in the path of every leaf below it. ``known``: what ``resolve`` gave for these rows, if it
+    has run.
     """
-    good = cut(links.where(F.col("id").isNotNull()).select("id", "parent").join(resolve(links).where("state = 'ok'"), "id"))
+    known = resolve(links) if known is None else known
+    good = cut(links.where(F.col("id").isNotNull()).select("id", "parent").join(known.where("state = 'ok'"), "id"))
     leaves = good.join(good.where("parent is not null").select(F.col("parent").alias("id")).distinct(), "id", "left_anti")
     found = cut(leaves.select(F.col("id").alias("leaf"), "root", "id", "depth"))
     jump = good.where("parent is not null").select("id", F.col("parent").alias("up"))
@@ -156,11 +150,12 @@ def rebuild(messages: DataFrame, parent: str | None = None, block: int = BLOCK,
     said = kept.where(F.col("speaker") != "other")
     if parent:
         of = said.select(F.col("id").alias("_given"), F.col("speaker").alias("parent_speaker"))
-        said = cut(said.join(of, "_given", "left").withColumn("parent", F.col("_given")).drop("_given"))
-        said, foreign = said.join(resolve(said.select("id", "parent")), "id"), foreign.drop("_given")
+        said, foreign = said.join(of, "_given", "left").withColumn("parent", F.col("_given")).drop("_given"), foreign.drop("_given")
     else:
-        said = with_previous(said, "session_id", "id", {"id": F.col("id"), "speaker": F.col("speaker")}, block, jump=True)
+        said = with_previous(said, "session_id", "id", {"id": F.col("id"), "speaker": F.col("speaker")}, block)
         said = said.withColumnsRenamed({"prev_id": "parent", "prev_speaker": "parent_speaker"})
+    said = cut(said)
+    said = said.join(resolve(said.select("id", "parent")), "id")
     out = said.unionByName(foreign, allowMissingColumns=True)
     if with_content:  # texts join at the end, so that no round and no window carries them
         out = out.join(messages.where("id is not null").select(F.col("id").cast("long").alias("id"), "content").dropDuplicates(["id"]), "id", "left")
@@ -201,12 +196,14 @@ def found(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     return defects(rebuild(messages, with_content=False), sessions)
 
 
-def conversations(messages: DataFrame, sessions: DataFrame) -> DataFrame:
+def conversations(messages: DataFrame, sessions: DataFrame, parent: str | None = None) -> DataFrame:
     """Whole conversations, one row for each message: ``session_id, root, turn, speaker, content, turns``.
 
-    Sessions with a defect are left out.
+    A conversation is a path from a root to a leaf; where given parents branch, a message stands in each path that it
+    is part of. Sessions with a defect are left out.
     """
-    nodes = cut(rebuild(messages))
-    good = nodes.join(defects(nodes, sessions).select("session_id").distinct(), "session_id", "left_anti")
-    sizes = good.groupBy("root").agg((F.max("depth") + 1).alias("turns"))
-    return good.join(sizes, "root").select("session_id", "root", F.col("depth").alias("turn"), "speaker", "content", "turns")
+    nodes = cut(rebuild(messages, parent))
+    good = cut(nodes.join(defects(nodes, sessions).select("session_id").distinct(), "session_id", "left_anti"))
+    along = paths(good.select("id", "parent"), good.select("id", "root", "depth", "state"))
+    sizes = along.groupBy("leaf").agg((F.max("turn") + 1).alias("turns"))
+    return along.join(sizes, "leaf").join(good.select("id", "session_id", "speaker", "content"), "id").select("session_id", "root", "turn", "speaker", "content", "turns")

@@ -60,3 +60,21 @@ def test_empty_tables(spark):
 def test_speaker(spark):
     df = spark.createDataFrame([(" USER\n",), ("Human",), ("bot",), (None,), ("",)], "r string")
     assert [r.s for r in df.select(C.speaker(F.col("r")).alias("s")).collect()] == ["user", "user", "assistant", "other", "other"]
+
+
+def test_every_row_jumps(spark, monkeypatch):
+    """Pointers that come from the order are resolved row by row, and what comes of that decides on defects."""
+    rows = [(i, "a", "user" if i % 2 else "assistant", f"t{i}") for i in range(1, 9)] + [(20, "b", "user", "q"), (21, "b", "bot", "r")]
+    seen, own = [], C.resolve
+    monkeypatch.setattr(C, "resolve", lambda links: seen.append({(r.id, r.parent) for r in links.collect()}) or own(links))
+    assert found(spark, rows, ["a", "b"]) == set()
+    assert seen == [{(1, None), *((i, i - 1) for i in range(2, 9)), (20, None), (21, 20)}]
+    monkeypatch.setattr(C, "resolve", lambda links: own(links).withColumn("state", F.expr("if(id = 5, 'cycle', state)")))
+    assert found(spark, rows, ["a", "b"]) == {("a", "broken")}
+
+
+def test_conversations_are_paths(spark):
+    rows = [(1, "a", "user", "q", None), (2, "a", "assistant", "r", 1), (3, "a", "assistant", "other", 1), (4, "a", "user", "q2", 3), (5, "a", "assistant", "r2", 4)]
+    m = spark.createDataFrame(rows, "id long, session_id string, role string, content string, up long")
+    out = C.conversations(m, spark.createDataFrame([("a",)], "id string"), parent="up").collect()
+    assert sorted((r.turns, r.turn, r.content) for r in out) == [(2, 0, "q"), (2, 1, "r"), (4, 0, "q"), (4, 1, "other"), (4, 2, "q2"), (4, 3, "r2")]
