@@ -3,8 +3,8 @@
 Copies are found by compression: with the request as zstandard dictionary, a response that only gives it back shrinks to
 next to nothing, whatever its case and marks, and so does the request with the response as dictionary. Refusals and
 languages come from dictionaries of words, and broken-off endings from a terminal-context model: how often a word closes
-a sentence or a list item, and a logistic model over what stands at the end, both fitted on a bounded sample of
-responses, whole and cut off at random.
+a sentence or a list item, and a logistic model over what stands at the end, both fitted on all responses, whole and cut
+off at random. Words and ends are counted where the responses lie; the driver sees sums of fixed size only.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import random
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Responses that the terminal-context model is fitted on, at most.
-SAMPLE = 20_000
+from ..session import cut
+
 #: Log odds of a response that breaks off before anything is known of it. (It is fitted on as many cut as whole ones.)
 PRIOR = -1.0
 
@@ -81,10 +82,17 @@ COURTESY_RE = re.compile(
 )
 
 
+def _of(*categories: str, but: str = "") -> re.Pattern[str]:
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x110000)) if unicodedata.category(c) in categories and c not in but) + "]+")
+
+
+_HIDDEN, _FORMAT = _of("Cf", "Cc", but="\n\t"), _of("Cf")
+
+
+@lru_cache(64)
 def bare(text: str) -> str:
     """Text without source marks, outer blanks and invisible characters."""
-    text = MARK.sub(" ", text)
-    return "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc") or c in "\n\t").strip()
+    return _HIDDEN.sub("", MARK.sub(" ", text)).strip()
 
 
 def is_empty(text: str | None) -> bool:
@@ -193,91 +201,128 @@ def is_refusal(text: str) -> bool:
     return any(flags) and all(f or (COURTESY_RE.search(p) is not None and len(p) < 140) or len(p.split()) < 3 for f, p in zip(flags, parts))
 
 
-class Endings:
-    """Terminal-context model: how often a word closes a sentence or list item, which words exist, and a logistic model
-    over the features of a text's end, fitted on ``texts`` as they are and cut off at random places."""
+def ending(text: str) -> tuple[bytes, str]:
+    """What stands at the end of a text, as small numbers, and its last word; the first number is 1.
 
-    def __init__(self, texts: list[str], seed: int = 5):
-        self.closes: Counter[str] = Counter()
+    Those at ``_RATED`` still want the word's rate, those at ``_NEW`` hold only for a word that hardly occurs (``filled``).
+    """
+    raw = _FORMAT.sub("", text).rstrip()
+    mark = re.search(r"[\[(【](?:s(?:o(?:u(?:r(?:ce?s?)?)?)?)?)?\s*:?\s*\d*$", raw, re.I) is not None
+    s = bare(text)
+    tail = s.rstrip(CLOSING + " \t\n")
+    lines = s.split("\n")
+    flat = re.sub(r"(?m)^\s*\d+\)", "", s)
+    open_ = any(flat.count(a) > flat.count(b) for a, b in OPENERS.items())
+    open_ = open_ or s.count("„") > s.count("“") + s.count("”") or "„" not in s and s.count("“") > s.count("”") or s.count("«") > s.count("»") and "»" not in s[: s.find("«") + 1]
+    words = WORD.findall(lines[-1])
+    last = words[-1] if words else ""
+    w = last.lower()
+    ends = bool(tail) and tail[-1] in TERMINAL
+    wanting = ends and bool(lines[-1].split()) and lines[-1].split()[-1].lower() in _WANTING
+    item = ITEM.match(lines[-1]) is not None
+    others = [len(WORD.findall(m[1])) for l in lines[:-1] if (m := ITEM.match(l))] if item else []
+    fewer = bool(others) and len(WORD.findall(ITEM.match(lines[-1])[1])) < min(others)
+    script = ord(tail[-1]) if tail else 0
+    unmarked = 0x0E00 <= script <= 0x0EFF or 0x1780 <= script <= 0x17FF or 0x1000 <= script <= 0x109F
+    wide = 0x3040 <= script <= 0x9FFF or 0x0900 <= script <= 0x097F
+    bare_end = not ends and not item and not unmarked and not wide  # a line of words without a closing mark
+    new = w.isalpha() and last.islower()
+    value = any(c.isdigit() for c in w) or last[:1].isupper() or w in _MEASURES
+    said = sum(x in _ALL_FUNCTION for x in words if x.islower())
+    several = len(sentences(s)) > 1
+    return bytes([
+        1, ends and not wanting, wanting, mark, open_, bool(s) and s[-1] in ",;:-–—/(&+=" and not item, not tail, item, item and fewer, item and new, item and w in _LAST_NEVER, item and not words, unmarked, wide, wide and len(tail) > 12,
+        bare_end, bare_end and several, bare_end and len(words) > 7, bare_end and w in _LAST_NEVER, bare_end and new, bare_end and value, bare_end and value and len(words) > 4 and said > 0, bare_end and not value and len(words) > 1, bare_end and len(words) <= 1,
+        bare_end and bool(words) and words[0] in _OPENING, bare_end, item, min(len(words), 12) * bare_end, min(said, 4) * bare_end, bare_end and len(words) <= 1 and new, bare_end and value and len(words) <= 2 and not several, bare_end and value and 2 < len(words) <= 4 and not several,
+    ]), w
+
+
+def filled(ends: np.ndarray, seen: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """The features of ``ends``, whose last words stand ``seen`` times, ``closes`` times at the end of a sentence."""
+    x = ends * _SCALE
+    x[:, _RATED] *= np.log((closes + 0.5) / (seen + 1))[:, None]
+    x[:, _NEW] *= (seen < 2)[:, None]
+    return x
+
+
+class Counts:
+    """Words and ends of texts: how often a word stands and closes a sentence; how often an end, with its last word,
+    stands under whole texts (0) and under texts cut off at a place drawn from the text and its key (1)."""
+
+    def __init__(self, seed: int = 5):
+        self.seed = seed
         self.seen: Counter[str] = Counter()
-        self.weights = np.zeros(0)
-        whole = []
-        for text in texts:
-            if is_empty(text):
-                continue
-            whole.append(text)
-            for s in sentences(bare(text)):
-                words = [w.lower() for w in WORD.findall(s)]
-                self.seen.update(words)
-                if words and s.rstrip(CLOSING + " ")[-1:] in TERMINAL:
-                    self.closes[words[-1]] += 1
-        self.fit(whole, seed)
-
-    def fit(self, whole: list[str], seed: int) -> None:
-        r = random.Random(seed)
-        cut = []
-        for text in whole:
-            if len(text) < 12:
-                continue
-            at = r.randint(min(6, len(text) // 2), len(text) - 2)
-            if r.random() < 0.5 and (space := text.rfind(" ", 4, at)) > 0:
-                at = space
-            part = text[:at].rstrip()
-            if not is_empty(part) and part.rstrip(CLOSING + " ")[-1:] not in TERMINAL:
-                cut.append(part)
-        if not whole or not cut:
+        self.closes: Counter[str] = Counter()
+        self.ends: Counter[tuple[bytes, str, int]] = Counter()
+
+    def add(self, text: str, key: int) -> None:
+        if is_empty(text):
             return
-        ends = np.array([self.features(t) for t in whole])
+        for s in sentences(bare(text)):
+            words = [w.lower() for w in WORD.findall(s)]
+            self.seen.update(words)
+            if words and s.rstrip(CLOSING + " ")[-1:] in TERMINAL:
+                self.closes[words[-1]] += 1
+        end, word = ending(text)
         # no example of a whole text: an open bracket or quotation, half a source mark, a comma or a hyphen at the end
-        ends = ends[~ends[:, _BREAKS].any(1)]
-        x = np.concatenate([ends, [self.features(t) for t in cut]])
-        y = np.concatenate([np.zeros(len(ends)), np.ones(len(cut))])
-        keep = np.ones(len(y), bool)
-        for _ in range(3):  # whole ones that look cut are left out the next time
-            w = np.zeros(x.shape[1])
-            for _ in range(12):  # Newton steps
-                p = 1 / (1 + np.exp(-np.clip(x[keep] @ w, -30, 30)))
-                grad = x[keep].T @ (p - y[keep]) + 1e-2 * w
-                w -= np.linalg.solve((x[keep].T * (p * (1 - p))) @ x[keep] + 1e-2 * np.eye(len(w)), grad)
-            keep = (y == 1) | (x @ w < 1.5)
-        self.weights = w
-
-    def features(self, text: str) -> list[float]:
-        """What stands at the end of a text, as numbers; the first is 1."""
-        raw = "".join(c for c in text if unicodedata.category(c) not in ("Cf",)).rstrip()
-        mark = re.search(r"[\[(【](?:s(?:o(?:u(?:r(?:ce?s?)?)?)?)?)?\s*:?\s*\d*$", raw, re.I) is not None
-        s = bare(text)
-        tail = s.rstrip(CLOSING + " \t\n")
-        lines = s.split("\n")
-        flat = re.sub(r"(?m)^\s*\d+\)", "", s)
-        open_ = any(flat.count(a) > flat.count(b) for a, b in OPENERS.items())
-        open_ = open_ or s.count("„") > s.count("“") + s.count("”") or "„" not in s and s.count("“") > s.count("”") or s.count("«") > s.count("»") and "»" not in s[: s.find("«") + 1]
-        words = WORD.findall(lines[-1])
-        last = words[-1] if words else ""
-        w = last.lower()
-        ends = bool(tail) and tail[-1] in TERMINAL
-        wanting = ends and bool(lines[-1].split()) and lines[-1].split()[-1].lower() in _WANTING
-        item = ITEM.match(lines[-1]) is not None
-        others = [len(WORD.findall(m[1])) for l in lines[:-1] if (m := ITEM.match(l))] if item else []
-        fewer = bool(others) and len(WORD.findall(ITEM.match(lines[-1])[1])) < min(others)
-        script = ord(tail[-1]) if tail else 0
-        unmarked = 0x0E00 <= script <= 0x0EFF or 0x1780 <= script <= 0x17FF or 0x1000 <= script <= 0x109F
-        wide = 0x3040 <= script <= 0x9FFF or 0x0900 <= script <= 0x097F
-        bare_end = not ends and not item and not unmarked and not wide  # a line of words without a closing mark
-        rate = math.log((self.closes[w] + 0.5) / (self.seen[w] + 1))
-        new = w.isalpha() and self.seen[w] < 2 and last.islower()
-        value = any(c.isdigit() for c in w) or last[:1].isupper() or w in _MEASURES
-        said = sum(x in _ALL_FUNCTION for x in words if x.islower())
-        several = len(sentences(s)) > 1
-        return [
-            1.0, ends and not wanting, wanting, mark, open_, bool(s) and s[-1] in ",;:-–—/(&+=" and not item, not tail, item, item and fewer, item and new, item and w in _LAST_NEVER, item and not words, unmarked, wide, wide and len(tail) > 12,
-            bare_end, bare_end and several, bare_end and len(words) > 7, bare_end and w in _LAST_NEVER, bare_end and new, bare_end and value, bare_end and value and len(words) > 4 and said > 0, bare_end and not value and len(words) > 1, bare_end and len(words) <= 1,
-            bare_end and bool(words) and words[0] in _OPENING, rate * bare_end, rate * item, min(len(words), 12) / 12 * bare_end, min(said, 4) / 4 * bare_end, bare_end and len(words) <= 1 and new, bare_end and value and len(words) <= 2 and not several, bare_end and value and 2 < len(words) <= 4 and not several,
-        ]
+        if not any(end[k] for k in _BREAKS):
+            self.ends[end, word, 0] += 1
+        if len(text) < 12:
+            return
+        r = random.Random(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), (key + self.seed) & (1 << 63) - 1))
+        at = r.randint(min(6, len(text) // 2), len(text) - 2)
+        if r.random() < 0.5 and (space := text.rfind(" ", 4, at)) > 0:
+            at = space
+        part = text[:at].rstrip()
+        if not is_empty(part) and part.rstrip(CLOSING + " ")[-1:] not in TERMINAL:
+            self.ends[(*ending(part), 1)] += 1
+
+
+def sums(x: np.ndarray, y: np.ndarray, n: np.ndarray, w: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and second derivatives of the logistic loss at ``w`` over examples that stand ``n`` times; whole ones that
+    looked cut under the weights ``before`` are left out."""
+    if before is not None:
+        keep = (y == 1) | (x @ before < 1.5)
+        x, y, n = x[keep], y[keep], n[keep]
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (n * (p - y)), (x.T * (n * p * (1 - p))) @ x
+
+
+def fitted(of: Callable[[np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weights by Newton's method; ``of`` gives ``sums`` over all examples."""
+    w, before = np.zeros(len(_SCALE)), None
+    for _ in range(3):
+        for _ in range(12):
+            first, second = of(w, before)
+            step = np.linalg.solve(second + 1e-2 * np.eye(len(w)), first + 1e-2 * w)
+            w = w - step
+            if np.abs(step).max() < 1e-4:
+                break
+        before = w
+    return w
+
+
+class Endings:
+    """Terminal-context model: how often a word closes a sentence or list item, which words exist, and a logistic model
+    over the features of a text's end, fitted on ``texts`` as they are and cut off at random places."""
+
+    def __init__(self, texts: Iterable[str], seed: int = 5):
+        self.counts, self.weights = Counts(seed), np.zeros(0)
+        for key, text in enumerate(texts):
+            self.counts.add(text, key)
+        ends = self.counts.ends
+        y, n = np.array([k[2] for k in ends], float), np.array(list(ends.values()), float)
+        if y.any():
+            x = self._filled([k[:2] for k in ends])
+            self.weights = fitted(lambda w, before: sums(x, y, n, w, before))
+
+    def _filled(self, ends: list[tuple[bytes, str]]) -> np.ndarray:
+        seen, closes = (np.array([c[w] for _, w in ends], float) for c in (self.counts.seen, self.counts.closes))
+        return filled(np.array([list(e) for e, _ in ends], float), seen, closes)
 
     def is_truncated(self, text: str) -> bool:
         """Whether the end of ``text`` is more like the ends of cut responses than like those of whole ones."""
-        return len(self.weights) > 0 and float(np.dot(self.features(text), self.weights)) + PRIOR > 0
+        return len(self.weights) > 0 and float(self._filled([ending(text)])[0] @ self.weights) + PRIOR > 0
 
 
 # Abbreviations that something must follow.
@@ -293,25 +338,81 @@ _LAST_NEVER = frozenset(
 
 #: Features that no whole text has: a waiting abbreviation, half a source mark, something open, a comma or hyphen.
 _BREAKS = [2, 3, 4, 5]
+#: Features that want the last word's rate, those that want it to be new, and what each small number counts.
+_RATED, _NEW = [25, 26], [9, 19, 29]
+_SCALE = np.array([*[1.0] * 27, 1 / 12, 1 / 4, *[1.0] * 3])
 _ALL_FUNCTION = frozenset().union(*_FUNCTION.values())
 
 
-def find_defects(turns: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def counted(turns: DataFrame) -> DataFrame:
+    """``word, end, y, n, closes`` over all responses: words (without end) stand ``n`` times and close ``closes``
+    sentences; ends with their last word stand ``n`` times under whole (``y`` 0) or cut (1) responses."""
+
+    def rows(counts: Counts) -> pa.RecordBatch:
+        words = [(w, None, None, n, counts.closes[w]) for w, n in counts.seen.items()]
+        ends = [(w, e, y, n, 0) for (e, w, y), n in counts.ends.items()]
+        cols = zip(*words, *ends) if words or ends else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64()))], names=["word", "end", "y", "n", "closes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts.add(text, key)
+            if len(counts.seen) + len(counts.ends) > 200_000:
+                yield rows(counts)
+                counts = Counts()
+        yield rows(counts)
+
+    texts = turns.where("cast(turn_id as long) is not null and text is not null").select(F.col("turn_id").cast("long").alias("turn_id"), "text").distinct()
+    return texts.mapInArrow(run, "word string, end binary, y int, n long, closes long").groupBy("word", "end", "y").agg(F.sum("n").alias("n"), F.sum("closes").alias("closes"))
+
+
+def weights(examples: DataFrame) -> np.ndarray:
+    """Weights fitted over all of ``examples(end, y, n, seen, closes)``: each Newton step is one pass over them, of which
+    every task gives its sums."""
+    if not examples.where("y = 1").take(1):
+        return np.zeros(0)
+
+    def of(w: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, second = np.zeros(len(w)), np.zeros((len(w), len(w)))
+            for batch in batches:
+                if batch.num_rows:
+                    ends = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, len(w))
+                    y, n, seen, closes = (batch.column(k).to_numpy().astype(float) for k in range(1, 5))
+                    a, b = sums(filled(ends, seen, closes), y, n, w, before)
+                    first, second = first + a, second + b
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([first, second.ravel()]).tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        parts = examples.mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
+        total = np.zeros(len(w) * (len(w) + 1))
+        for r in parts.collect():
+            total[r["at"]] = r["v"]
+        return total[: len(w)], total[len(w) :].reshape(len(w), -1)
+
+    return fitted(of)
+
+
+def find_defects(turns: DataFrame) -> DataFrame:
     """``turn_id, defect``: the first that fits of ``empty, copy, refusal, other_language, truncated``.
 
     ``turns`` needs ``turn_id, message, text``. A turn id counts once, a null id takes no part; a null request can
-    neither be copied nor differ in language; other columns are ignored. The terminal-context model is fitted on at
-    most ``sample`` responses, drawn by a hash of the turn id; without any it finds no truncated ones.
+    neither be copied nor differ in language; other columns are ignored. The terminal-context model is fitted on all
+    responses; without any it finds no truncated ones.
     """
     rows = turns.where("turn_id is not null").select("turn_id", "message", "text")
-    picked = rows.where("text is not null").select("text", F.xxhash64("turn_id").alias("h")).distinct().orderBy("h").limit(sample).select("text").collect()
-    model = turns.sparkSession.sparkContext.broadcast(Endings([r.text for r in picked]))
+    known = cut(counted(rows))
+    words = known.where("end is null").select("word", F.col("n").alias("seen"), "closes")
+    none = F.lit(0).cast("long")
+    examples = known.where("end is not null").select("word", "end", "y", "n").join(words, "word", "left")
+    model = weights(cut(examples.select("end", "y", "n", F.coalesce("seen", none).alias("seen"), F.coalesce("closes", none).alias("closes"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        endings = model.value
         for batch in batches:
-            ids, kinds = [], []
+            out = []
             for i, message, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                word = fixed = rated = new = None
                 if is_empty(text):
                     kind = "empty"
                 elif is_copy(message, text):
@@ -320,15 +421,29 @@ def find_defects(turns: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     kind = "refusal"
                 elif is_other_language(message, text):
                     kind = "other_language"
-                elif endings.is_truncated(text):
+                elif len(model):
+                    end, word = ending(text)
+                    parts = np.frombuffer(end, np.uint8) * _SCALE * model
+                    rated, new = float(parts[_RATED].sum()), float(parts[_NEW].sum())
+                    fixed = float(parts.sum()) - rated - new + PRIOR
                     kind = "truncated"
+                    if rated == new == 0:  # the last word does not matter
+                        if fixed <= 0:
+                            continue
+                        word = None
                 else:
                     continue
-                ids.append(i)
-                kinds.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string())], names=["turn_id", "defect"])
-
-    return rows.select(F.col("turn_id").cast("long").alias("turn_id"), "message", "text").mapInArrow(run, "turn_id long, defect string").dropDuplicates(["turn_id"])
+                out.append((i, kind, word, fixed, rated, new))
+            kinds = (pa.int64(), pa.string(), pa.string(), *[pa.float64()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)], names=["turn_id", "defect", "word", "fixed", "rated", "new"])
+
+    told = rows.select(F.col("turn_id").cast("long").alias("turn_id"), "message", "text").mapInArrow(run, "turn_id long, defect string, word string, fixed double, rated double, new double")
+    # rows without a word get keys of their own, so that they do not meet under one empty key
+    keyed = told.withColumn("_key", F.coalesce("word", F.concat(F.lit(" "), F.col("turn_id").cast("string"))))
+    seen, closes = F.coalesce("seen", none), F.coalesce("closes", none)
+    score = F.col("fixed") + F.col("rated") * F.log((closes + 0.5) / (seen + 1)) + F.when(seen < 2, F.col("new")).otherwise(0.0)
+    found = keyed.join(words.withColumnRenamed("word", "_key"), "_key", "left").where(F.col("word").isNull() | (score > 0))
+    return found.select("turn_id", "defect").dropDuplicates(["turn_id"])
 
 
 def by_mode(turns: DataFrame) -> DataFrame:

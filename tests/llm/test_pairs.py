@@ -77,3 +77,19 @@ def test_table(spark):
     assert P.find_defects(df.limit(0)).count() == 0
     by = {(r.mode, r.defect): r.turns for r in P.by_mode(df.withColumnRenamed("defect", "mode")).collect()}
     assert by == {("a", "empty"): 1, ("b", "none"): 1}
+
+
+def test_model_is_fitted_on_all_responses(spark):
+    """The same words, ends and weights however the responses lie, each of them counted once."""
+    texts = [*dict.fromkeys(SOUND), *(f"The depot {k} was moved by crew {k % 7}." for k in range(150))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "turn_id long, text string").repartition(5)
+    model, known = P.Endings(texts), P.counted(df).collect()
+    assert {r.word: (r.n, r.closes) for r in known if r.end is None} == {w: (n, model.counts.closes[w]) for w, n in model.counts.seen.items()}
+    assert {(bytes(r.end), r.word, r.y): r.n for r in known if r.end is not None} == model.counts.ends
+    rows = [(bytes(e), y, n, model.counts.seen[w], model.counts.closes[w]) for (e, w, y), n in model.counts.ends.items()]
+    examples = spark.createDataFrame(rows, "end binary, y int, n long, seen long, closes long").repartition(3)
+    assert P.weights(examples) == pytest.approx(model.weights, abs=1e-6)
+    cut = [t[: 9 + i] for i, t in enumerate(texts[:20]) if len(t) > 40]
+    more = spark.createDataFrame([(i, "q", t) for i, t in enumerate([*texts, *cut])], "turn_id long, message string, text string")
+    own = P.Endings([*texts, *cut])
+    assert {r.turn_id for r in P.find_defects(more).where("defect = 'truncated'").collect()} == {i for i, t in enumerate([*texts, *cut]) if own.is_truncated(t)}
