@@ -91,43 +91,62 @@ class Tagger:
 
     def scores(self, ids: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
         """Label scores (batch, time, labels) of rows of symbols, padded with ``PAD`` at their ends; ``kinds`` are the
-        kinds of the words that the characters belong to."""
-        n, embed, (batch, time), one = self.hidden, self.p["e"].shape[1], ids.shape, np.float32(1)
-        pad = np.ascontiguousarray((ids == PAD).T)
-        whole = not pad.any()
+        kinds of the words that the characters belong to. What stands at padding has no meaning."""
+        n, k, embed, (batch, time), one = self.hidden, self.labels, self.p["e"].shape[1], ids.shape, np.float32(1)
+        size = (ids != PAD).sum(1)
+        order = np.argsort(-size, kind="stable")  # longest first: rows that have ended are dropped from the right
+        size = size[order]
         count = len(self.p["k"])
         table = (self.p["e"][:, None] + self.p["k"][None]).reshape(-1, embed)
-        codes = np.ascontiguousarray(ids.T).astype(np.int64) * count + (0 if kinds is None else kinds.T)
-        half = np.repeat(np.array([0.5, 1], np.float32), [3 * n, n])[:, None]  # one tanh serves for all gates
-        total = np.broadcast_to(self.p["b"][:, None], (time, self.labels, batch)).copy()
-        # states stand in columns, so that every gate is one run of memory; the last row of ``z`` carries the bias
-        for d, order in (("f", range(time)), ("r", range(time - 1, -1, -1))):
-            weights = np.ascontiguousarray(np.concatenate([self.p[f"h{d}"], self.p[f"x{d}"], self.p[f"c{d}"][None]]).T * half)
-            z, out = np.zeros((n + embed + 1, batch), np.float32), np.empty((time, n, batch), np.float32)
-            z[-1] = 1
-            c, g = np.zeros((n, batch), np.float32), np.empty((4 * n, batch), np.float32)
-            gates, i, f, o, u, h = g[: 3 * n], g[:n], g[n : 2 * n], g[2 * n : 3 * n], g[3 * n :], z[:n]
-            for t in order:
-                z[n:-1] = table.take(codes[t], axis=0).T
-                np.dot(weights, z, out=g)
-                np.tanh(g, out=g)
-                gates += one  # twice the gate
-                if whole:
-                    c *= f
-                    i *= u
-                    c += i
-                    c *= np.float32(0.5)
-                    np.tanh(c, out=h)
-                    h *= o
-                    h *= np.float32(0.5)
-                else:
-                    new = (c * f + i * u) * np.float32(0.5)
-                    on = ~pad[t]
-                    np.copyto(c, new, where=on)
-                    np.copyto(h, np.tanh(new) * o * np.float32(0.5), where=on)
-                out[t] = h
-            total += np.ascontiguousarray((self.p["w"][:n] if d == "f" else self.p["w"][n:]).T) @ out
-        return total.transpose(2, 0, 1)
+        codes = (ids.astype(np.uint16) * np.uint16(count) + (0 if kinds is None else kinds.astype(np.uint16)))[order]
+        # each direction begins at its own end of a row, so that no padding comes before a character
+        back = np.zeros_like(codes)
+        for row, own, m in zip(back, codes, size):
+            row[:m] = own[:m][::-1]
+        both = np.zeros((time + 1, 2, batch), np.intp)
+        both[:-1, 0], both[:-1, 1] = np.ascontiguousarray(codes.T), np.ascontiguousarray(back.T)
+        # states stand in columns, so that every gate is one run of memory; a column of ``z`` is twice the state, the
+        # character and a one for the biases. Rows of ``g``: memory, then what ``weights`` gives: input, the three gates,
+        # and the scores of the character before.
+        order_of = np.r_[3 * n : 4 * n, n : 2 * n, :n, 2 * n : 3 * n]
+        half = np.repeat(np.array([1, 0.5], np.float32), [n, 3 * n])[:, None]  # one tanh serves for all gates
+        weights = np.zeros((2, 4 * n + k, n + embed + 1), np.float32)
+        for d, own, w in zip("fr", weights, (self.p["w"][:n], self.p["w"][n:])):
+            own[: 4 * n] = np.concatenate([self.p[f"h{d}"] * np.float32(0.5), self.p[f"x{d}"], self.p[f"c{d}"][None]]).T[order_of] * half
+            own[4 * n :, :n] = w.T * np.float32(0.5)
+        weights[0, 4 * n :, -1] = self.p["b"]
+        scores = np.empty((time, 2, k, batch), np.float32)
+        left = np.searchsorted(-size, -np.arange(time + 1), "right")  # rows of which a character or its score is to come
+        width = 0
+        for t in range(time + 1):
+            if not t or width - left[t] >= 16:
+                old, width = (np.zeros((2, n, batch), np.float32),) * 2 if not t else (h, c), int(left[t])
+                z, g = np.empty((2, n + embed + 1, width), np.float32), np.empty((2, 5 * n + k, width), np.float32)
+                h, x, c, u, i, o = z[:, :n], z[:, n:-1], g[:, :n], g[:, n : 2 * n], g[:, 3 * n : 4 * n], g[:, 4 * n : 5 * n]
+                made, inner, gates, both_in, both_by, label = g[:, n:], g[:, n : 5 * n], g[:, 2 * n : 5 * n], g[:, : 2 * n], g[:, 2 * n : 4 * n], g[:, 5 * n :]
+                h[:], c[:], z[:, -1] = old[0][:, :, :width], old[1][:, :, :width], 1
+            x[:] = table.take(both[t, :, :width], axis=0).transpose(0, 2, 1)
+            np.matmul(weights, z, out=made)
+            if t:
+                scores[t - 1, :, :, :width] = label
+            np.tanh(inner, out=inner)
+            gates += one  # twice the gate
+            both_in *= both_by  # memory by forget gate, input by input gate
+            c += u
+            c *= np.float32(0.5)
+            np.tanh(c, out=h)
+            h *= o
+        out = np.zeros((batch, k, time), np.float32)
+        if time and size[-1] == time:
+            scores[:, 0] += scores[::-1, 1]
+            for at in range(0, batch, 16):
+                out[order[at : at + 16]] = np.ascontiguousarray(scores[:, 0, :, at : at + 16].transpose(2, 1, 0))
+            return out.transpose(0, 2, 1)
+        for at in range(0, batch, 16):
+            ahead, back = (np.ascontiguousarray(scores[:, d, :, at : at + 16].transpose(2, 1, 0)) for d in (0, 1))
+            for r, m, a, b in zip(order[at:], size[at:], ahead, back):
+                np.add(a[:, :m], b[:, :m][:, ::-1], out=out[r, :, :m])
+        return out.transpose(0, 2, 1)
 
     def step(self, ids: np.ndarray, gold: np.ndarray, kinds: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
         """Loss (negative log likelihood under the CRF, per character) and gradients of a batch."""

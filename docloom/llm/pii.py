@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Container, Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -56,31 +58,36 @@ _WORD = re.compile(r"[^\W\d_]+")
 _letters: list[np.ndarray] = []
 
 
-def word_kinds(text: str, ordinary: Container[str], memo: dict[str, int] | None = None) -> np.ndarray:
+class Memo(dict):
+    """Kinds of the words looked up so far, bounded. ``ordinary``: words that stand in lower case as a rule."""
+
+    def __init__(self, ordinary: Container[str]):
+        self.ordinary = ordinary
+
+    def __missing__(self, w: str) -> int:
+        low = w.lower()
+        k = _KIND.get(low)
+        if k is None or k == 2 and w[0].isupper() and len(w) == 1:
+            k = WORD_KINDS.index("street") if _STREET_END.search(low) else int(low in self.ordinary)
+        if len(self) < 500_000:
+            self[w] = k
+        return k
+
+
+def word_kinds(text: str, ordinary: Container[str], memo: Memo | None = None) -> np.ndarray:
     """The kind of word that each character of ``text`` belongs to; 0 between words."""
-    memo = {} if memo is None else memo
+    memo = Memo(ordinary) if memo is None else memo
     if not _letters:  # which code points stand in words
         _letters.append(np.array([_WORD.match(chr(i)) is not None for i in range(0x20000)]))
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = _letters[0].take(points, mode="clip") if points.max(initial=0) < 0x20000 else np.array([_WORD.match(c) is not None for c in text], bool)
     words = _WORD.findall(text)
-    known = memo.get
-    kinds = np.fromiter((k if (k := known(w)) is not None else _kind(w, ordinary, memo) for w in words), np.uint8, len(words))
-    out = np.zeros(len(text), np.uint8)
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    out[inside] = kinds[np.cumsum(starts)[inside] - 1]
-    return out
-
-
-def _kind(w: str, ordinary: Container[str], memo: dict[str, int]) -> int:
-    low = w.lower()
-    k = _KIND.get(low)
-    if k is None or k == 2 and w[0].isupper() and len(w) == 1:
-        k = WORD_KINDS.index("street") if _STREET_END.search(low) else int(low in ordinary)
-    if len(memo) < 500_000:
-        memo[w] = k
-    return k
+    kinds = np.fromiter(map(memo.__getitem__, words), np.uint8, len(words))
+    # words begin and end where ``inside`` changes
+    turns = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    spans = np.zeros(len(turns) + 1, np.uint8)
+    spans[1::2] = kinds
+    return np.repeat(spans, np.diff(turns, prepend=0, append=len(text)))
 
 
 # --- the model -----------------------------------------------------------------------------------------------------
@@ -142,7 +149,7 @@ class Finder:
     """Finds personal information in many texts at once. ``ordinary``: words that stand in lower case as a rule."""
 
     def __init__(self, model: Tagger, ordinary: Container[str] = frozenset()):
-        self.model, self.ordinary, self.memo = model, ordinary, {}
+        self.model, self.ordinary, self.memo = model, ordinary, Memo(ordinary)
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """For each text its spans (start, end, kind), in order and without overlap."""
@@ -161,67 +168,82 @@ class Finder:
 
     def _scores(self, ids: np.ndarray, kinds: np.ndarray, starts: np.ndarray, sizes: list[int]) -> np.ndarray:
         """Label scores (labels, characters) of texts laid end to end."""
-        parts = sorted(((s + a, s + b, len(w) == 1) for s, n in zip(starts, sizes) for w in (windows(n),) for a, b in w), key=lambda p: p[1] - p[0])
-        total, weight = np.zeros((LABELS, len(ids)), np.float32), np.zeros(len(ids), np.float32)
+        # a window, and how many characters at its two ends it shares with its neighbours
+        parts = sorted(((s + a, s + b, OVERLAP * (a > 0), OVERLAP * (b < n)) for s, n in zip(starts, sizes) for a, b in windows(n)), key=lambda p: p[1] - p[0])
+        total, weight = np.zeros((LABELS, len(ids)), np.float32), np.ones(len(ids), np.float32)
+        for a, b, _, after in parts:
+            if after:
+                weight[b - after : b] = 0
         for k in range(0, len(parts), BATCH):
             own = parts[k : k + BATCH]
             width = own[-1][1] - own[-1][0]
             x, z = np.zeros((len(own), width), np.uint8), np.zeros((len(own), width), np.uint8)
-            for r, (a, b, _) in enumerate(own):
+            for r, (a, b, *_) in enumerate(own):
                 x[r, : b - a], z[r, : b - a] = ids[a:b], kinds[a:b]
             scores = np.ascontiguousarray(self.model.scores(x, z).transpose(0, 2, 1))
-            for r, (a, b, alone) in enumerate(own):
-                if alone:
-                    total[:, a:b], weight[a:b] = scores[r, :, : b - a], 1
-                else:
-                    near = np.minimum(np.arange(1, b - a + 1), np.arange(b - a, 0, -1)).clip(1, OVERLAP).astype(np.float32)
-                    total[:, a:b] += scores[r, :, : b - a] * near
-                    weight[a:b] += near
+            for got, (a, b, before, after) in zip(scores, own):
+                total[:, a + before : b - after] = got[:, before : b - a - after]
+                for i, j in ((0, before), (b - a - after, b - a)):
+                    if i < j:
+                        near = np.minimum(np.arange(i + 1, j + 1), np.arange(b - a - i, b - a - j, -1)).clip(1, OVERLAP).astype(np.float32)
+                        total[:, a + i : a + j] += got[:, i:j] * near
+                        weight[a + i : a + j] += near
         total /= weight
         return total
 
     def _open(self, scores: np.ndarray, edge: np.ndarray) -> list[tuple[int, int]]:
         """The stretches, none across an ``edge``, where the best path can leave "outside"; it cannot elsewhere.
 
-        Keeping a label over a run of characters gains, over leaving it for the run, at most ``keep`` for each of them
-        and ``again`` once; a stretch between such runs gains at most ``enter`` by transitions and ``keep`` for each of
-        its characters.
+        A run of other labels gains over "outside" at most ``first`` at its first character, ``last`` at its last one
+        and ``each`` at every one (see ``_bounds``). A character is open if some run that holds it can gain.
+        """
+        enter, leave, keep, base = self._bounds
+        most = scores[1:].max(0)
+        each = (most - scores[0] + keep).astype(np.float64)
+        first = (scores[1:] + enter[:, None]).max(0) - most
+        last = (scores[1:] + leave[:, None]).max(0) - most
+        # no run crosses an edge: the sums fall there by more than any run gains
+        so_far = np.cumsum(each - np.where(edge, np.maximum(each, 0).sum() + 100, 0))
+        best = np.maximum.accumulate(first - so_far + each) + np.maximum.accumulate((so_far + last)[::-1])[::-1]
+        able = best + base > -0.01
+        begins = np.flatnonzero(able & (edge | ~np.concatenate([[False], able[:-1]])))
+        ends = np.flatnonzero(able & np.concatenate([edge[1:] | ~able[1:], [True]])) + 1
+        return list(zip(begins.tolist(), ends.tolist()))
+
+    @cached_property
+    def _bounds(self) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """What a run of labels other than "outside" can gain by transitions: ``enter`` by its first label, ``leave`` by
+        its last one, ``keep`` a character, and ``base`` once.
+
+        No way round through these labels brings more than ``mean`` a step, so with ``height`` (the most that steps from
+        a label on bring beyond that) a step from i to j brings at most ``mean + height[i] - height[j]``.
         """
-        t = self.model.p["t"]
-        begin, inside = np.arange(1, LABELS, 2), np.arange(2, LABELS, 2)
-        stay, out = t[inside, inside].max(), t[0, 0]
-        keep = max(float(stay - out), 0.0)
-        ends = max(t[inside, 0].max(), t[begin, 0].max())
-        again = float(stay + out - min(t[inside, 0].min(), t[begin, 0].min()) - t[0, begin].min()) + 0.5
-        enter = float(t[0, begin].max() + ends - 2 * out + max(t[begin, inside].max() - stay, 0))
-        lead = scores[0] - scores[1:].max(0)
-        cut = lambda inner: np.flatnonzero(edge | np.concatenate([[True], inner[1:] != inner[:-1]]))
-        away = lead > keep
-        first = cut(away)
-        size = np.diff(np.concatenate([first, [len(lead)]]))
-        over = np.where(away, lead - keep, 0).astype(np.float64)
-        so_far = np.cumsum(over)
-        before = np.repeat(so_far[first] - over[first], size)
-        whole = np.repeat(np.add.reduceat(over, first), size)
-        # a span may reach into such a run from either side until that costs more than leaving would
-        sure = away & (so_far - before > again) & (whole - (so_far - before) + over > again)
-        first = cut(sure)
-        last = np.concatenate([first[1:], [len(lead)]])
-        gain = np.add.reduceat(np.maximum(-lead, 0), first) + keep * (last - first) + enter
-        return [(int(a), int(b)) for a, b in zip(first[(gain > 0) & ~sure[first]], last[(gain > 0) & ~sure[first]])]
+        t = self.model.p["t"].astype(np.float64)
+        inner, n = t[1:, 1:], LABELS - 1
+        walks = [np.zeros(n)]
+        for _ in range(n):
+            walks.append((inner + walks[-1]).max(1))
+        mean = float(max(min((walks[n][i] - walks[k][i]) / (n - k) for k in range(n)) for i in range(n))) + 1e-6
+        height = np.zeros(n)
+        for _ in range(n):
+            height = np.maximum(height, (inner - mean + height).max(1))
+        keep = mean - t[0, 0]
+        return (t[0, 1:] + height).astype(np.float32), (t[1:, 0] - height).astype(np.float32), keep, -2 * t[0, 0] - keep
 
     def _find(self, texts: list[str | None], group: list[int], out: list[list[tuple[int, int, str]]]) -> None:
         sizes = [len(texts[i]) for i in group]
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        ids = np.concatenate([symbols(texts[i]) for i in group])
-        scores = self._scores(ids, np.concatenate([word_kinds(texts[i], self.ordinary, self.memo) for i in group]), starts, sizes)
+        ids = symbols("".join(texts[i] for i in group))
+        kinds = word_kinds("\n".join(texts[i] for i in group), self.ordinary, self.memo)
+        scores = self._scores(ids, np.delete(kinds, (starts + np.arange(len(group)))[1:] - 1), starts, sizes)
         edge = np.zeros(len(ids), bool)
         edge[starts] = True
         todo = self._open(scores, edge)
         labels = np.zeros(len(ids), np.int64)
         todo.sort(key=lambda p: p[1] - p[0])
-        for k in range(0, len(todo), 512):
-            own = todo[k : k + 512]
+        while todo:  # stretches of like lengths together, at most 512
+            own = todo[: bisect_right(todo, 2 * (todo[0][1] - todo[0][0]) + 16, hi=min(len(todo), 512), key=lambda p: p[1] - p[0])]
+            todo = todo[len(own) :]
             lengths = np.array([b - a for a, b in own])
             padded = np.zeros((len(own), LABELS, lengths[-1] + 2), np.float32)
             padded[:, 1:] = -50  # outside before and behind

@@ -77,6 +77,53 @@ def test_decoding_only_where_it_matters(finder):
     finder._open = own
 
 
+def test_little_is_decoded(finder):
+    """Few characters are left to the decoder beside those in spans: the bound on what a span can gain is tight."""
+    texts, _, _ = pii_drawn.drawn(60, seed=5)
+    texts = [t + " the quarry was audited on the street. " * 20 for t in texts]
+    seen, own = [], finder._open
+    finder._open = lambda scores, edge: seen.extend([own(scores, edge), len(edge)]) or seen[-2]
+    spans = sum(b - a for found in finder.find(texts) for a, b, _ in found)
+    del finder._open
+    stretches = [s for r in seen[::2] for s in r]
+    assert spans <= sum(b - a for a, b in stretches) < 0.2 * sum(seen[1::2])
+
+
+def test_bounds(finder):
+    """No run of labels gains more by its transitions than the bounds say."""
+    enter, leave, keep, base = finder._bounds
+    t, r = finder.model.p["t"].astype(float), np.random.default_rng(4)
+    for _ in range(3000):
+        size, begin = int(r.integers(1, 9)), 1 + 2 * int(r.integers(0, 5))
+        run = [begin, *[begin + 1] * (size - 1)] if r.random() < 0.5 else r.integers(1, pii.LABELS, size).tolist()
+        path = [0, *run, 0]
+        gain = sum(t[i, j] for i, j in zip(path, path[1:])) - t[0, 0] * (len(run) + 1)
+        assert gain <= enter[run[0] - 1] + leave[run[-1] - 1] + keep * len(run) + base + 1e-3
+
+
+def test_scores_of_rows_of_any_length():
+    """Scores in rows of unequal lengths are those of each row by itself, and those that the training sees."""
+    m, r = pii.trained(), np.random.default_rng(8)
+    sizes = [1, 2, 3, 40, 41, 77, 90, 90] + [int(n) for n in r.integers(1, 90, 40)]
+    ids, kinds = np.zeros((len(sizes), 90), np.uint8), np.zeros((len(sizes), 90), np.uint8)
+    for row, kind, n in zip(ids, kinds, sizes):
+        row[:n], kind[:n] = r.integers(1, bilstm.SYMBOLS, n), r.integers(0, len(pii.WORD_KINDS), n)
+    got = m.scores(ids, kinds)
+    for row, kind, n, s in zip(ids, kinds, sizes, got):
+        x = (m.p["e"][row[:n]] + m.p["k"][kind[:n]])[:, None]
+        on = np.ones((n, 1, 1), np.float32)
+        hidden = np.concatenate([m._run(x, on, "f", False)[0], m._run(x[::-1], on, "r", False)[0][::-1]], 2)
+        assert s[:n] == pytest.approx((hidden @ m.p["w"] + m.p["b"])[:, 0], abs=1e-3)
+
+
+def test_word_kinds_of_joined_texts():
+    texts = ["Anna", "lives in Kiln Street", "", "7", "Straße x", "\U0001d400b Anna"]
+    memo = pii.Memo({"lives"})
+    whole = pii.word_kinds("\n".join(texts), {"lives"}, memo)
+    assert whole.tolist() == [k for t in texts for k in [*pii.word_kinds(t, {"lives"}), 0]][:-1]
+    assert pii.word_kinds("Anna", ()).tolist() == [pii.WORD_KINDS.index("given")] * 4
+
+
 def test_held_out():
     texts, gold, _ = pii_drawn.drawn(600, seed=77)
     usual = pii_drawn.Drawer(77).usual
