@@ -115,18 +115,19 @@ class Tagger:
             own[: 4 * n] = np.concatenate([self.p[f"h{d}"] * np.float32(0.5), self.p[f"x{d}"], self.p[f"c{d}"][None]]).T[order_of] * half
             own[4 * n :, :n] = w.T * np.float32(0.5)
         weights[0, 4 * n :, -1] = self.p["b"]
-        scores = np.empty((time, 2, k, batch), np.float32)
+        scores = np.empty((time, k, 2, batch), np.float32)
         left = np.searchsorted(-size, -np.arange(time + 1), "right")  # rows of which a character or its score is to come
         width = 0
         for t in range(time + 1):
             if not t or width - left[t] >= 16:
-                old, width = (np.zeros((2, n, batch), np.float32),) * 2 if not t else (h, c), int(left[t])
-                z, g = np.empty((2, n + embed + 1, width), np.float32), np.empty((2, 5 * n + k, width), np.float32)
-                h, x, c, u, i, o = z[:, :n], z[:, n:-1], g[:, :n], g[:, n : 2 * n], g[:, 3 * n : 4 * n], g[:, 4 * n : 5 * n]
-                made, inner, gates, both_in, both_by, label = g[:, n:], g[:, n : 5 * n], g[:, 2 * n : 5 * n], g[:, : 2 * n], g[:, 2 * n : 4 * n], g[:, 5 * n :]
-                h[:], c[:], z[:, -1] = old[0][:, :, :width], old[1][:, :, :width], 1
-            x[:] = table.take(both[t, :, :width], axis=0).transpose(0, 2, 1)
-            np.matmul(weights, z, out=made)
+                old, width = (np.zeros((n, 2, batch), np.float32),) * 2 if not t else (h, c), int(left[t])
+                z, g = np.empty((n + embed + 1, 2, width), np.float32), np.empty((5 * n + k, 2, width), np.float32)
+                h, x, c, u, o, label = z[:n], z[n:-1], g[:n], g[n : 2 * n], g[4 * n : 5 * n], g[5 * n :]
+                inner, gates, both_in, both_by = g[n : 5 * n], g[2 * n : 5 * n], g[: 2 * n], g[2 * n : 4 * n]
+                by_way, made = z.transpose(1, 0, 2), g[n:].transpose(1, 0, 2)
+                h[:], c[:], z[-1] = old[0][:, :, :width], old[1][:, :, :width], 1
+            x[:] = table.take(both[t, :, :width], axis=0).transpose(2, 0, 1)
+            np.matmul(weights, by_way, out=made)
             if t:
                 scores[t - 1, :, :, :width] = label
             np.tanh(inner, out=inner)
@@ -138,12 +139,12 @@ class Tagger:
             h *= o
         out = np.zeros((batch, k, time), np.float32)
         if time and size[-1] == time:
-            scores[:, 0] += scores[::-1, 1]
+            whole = scores[:, :, 0] + scores[::-1, :, 1]
             for at in range(0, batch, 16):
-                out[order[at : at + 16]] = np.ascontiguousarray(scores[:, 0, :, at : at + 16].transpose(2, 1, 0))
+                out[order[at : at + 16]] = np.ascontiguousarray(whole[:, :, at : at + 16].transpose(2, 1, 0))
             return out.transpose(0, 2, 1)
         for at in range(0, batch, 16):
-            ahead, back = (np.ascontiguousarray(scores[:, d, :, at : at + 16].transpose(2, 1, 0)) for d in (0, 1))
+            ahead, back = (np.ascontiguousarray(scores[:, :, d, at : at + 16].transpose(2, 1, 0)) for d in (0, 1))
             for r, m, a, b in zip(order[at:], size[at:], ahead, back):
                 np.add(a[:, :m], b[:, :m][:, ::-1], out=out[r, :, :m])
         return out.transpose(0, 2, 1)

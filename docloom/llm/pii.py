@@ -34,7 +34,7 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity": "[IDENTITY]"
 #: Labels: 0 outside, then begin and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
 #: The longest window, the overlap of windows, windows read at once, and characters of several texts read together.
-WINDOW, OVERLAP, BATCH, TOGETHER = 480, 64, 160, 400_000
+WINDOW, OVERLAP, BATCH, TOGETHER = 480, 64, 192, 1_000_000
 HIDDEN, EMBED = 24, 16
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 
@@ -170,6 +170,7 @@ class Finder:
         """Label scores (labels, characters) of texts laid end to end."""
         # a window, and how many characters at its two ends it shares with its neighbours
         parts = sorted(((s + a, s + b, OVERLAP * (a > 0), OVERLAP * (b < n)) for s, n in zip(starts, sizes) for a, b in windows(n)), key=lambda p: p[1] - p[0])
+        ahead = np.arange(1, WINDOW + 1, dtype=np.float32)
         total, weight = np.zeros((LABELS, len(ids)), np.float32), np.ones(len(ids), np.float32)
         for a, b, _, after in parts:
             if after:
@@ -182,13 +183,15 @@ class Finder:
                 x[r, : b - a], z[r, : b - a] = ids[a:b], kinds[a:b]
             scores = np.ascontiguousarray(self.model.scores(x, z).transpose(0, 2, 1))
             for got, (a, b, before, after) in zip(scores, own):
-                total[:, a + before : b - after] = got[:, before : b - a - after]
-                for i, j in ((0, before), (b - a - after, b - a)):
-                    if i < j:
-                        near = np.minimum(np.arange(i + 1, j + 1), np.arange(b - a - i, b - a - j, -1)).clip(1, OVERLAP).astype(np.float32)
+                n = b - a
+                total[:, a + before : b - after] = got[:, before : n - after]
+                for i, j in ((0, before), (n - after, n)):
+                    if i < j:  # by the distance from the window's nearer edge
+                        near = np.minimum(ahead[i:j], ahead[n - j : n - i][::-1])
                         total[:, a + i : a + j] += got[:, i:j] * near
                         weight[a + i : a + j] += near
-        total /= weight
+        shared = np.flatnonzero(weight != 1)
+        total[:, shared] /= weight[shared]
         return total
 
     def _open(self, scores: np.ndarray, edge: np.ndarray) -> list[tuple[int, int]]:
@@ -198,10 +201,14 @@ class Finder:
         and ``each`` at every one (see ``_bounds``). A character is open if some run that holds it can gain.
         """
         enter, leave, keep, base = self._bounds
-        most = scores[1:].max(0)
-        each = (most - scores[0] + keep).astype(np.float64)
-        first = (scores[1:] + enter[:, None]).max(0) - most
-        last = (scores[1:] + leave[:, None]).max(0) - most
+        most, first, last = scores[1].copy(), scores[1] + enter[0], scores[1] + leave[0]
+        for row, begin, end in zip(scores[2:], enter[1:], leave[1:]):
+            np.maximum(most, row, out=most)
+            np.maximum(first, row + begin, out=first)
+            np.maximum(last, row + end, out=last)
+        first -= most
+        last -= most
+        each = (most - scores[0]).astype(np.float64) + keep
         # no run crosses an edge: the sums fall there by more than any run gains
         so_far = np.cumsum(each - np.where(edge, np.maximum(each, 0).sum() + 100, 0))
         best = np.maximum.accumulate(first - so_far + each) + np.maximum.accumulate((so_far + last)[::-1])[::-1]
