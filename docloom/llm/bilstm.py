@@ -22,7 +22,7 @@ def symbols(text: str) -> np.ndarray:
     if not _table:  # one number for each code point of the first planes; a rare character beyond them is a mark
         _table.append(np.array([_symbol(chr(i)) for i in range(0x20000)], np.uint8))
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _table[0][np.where(points < 0x20000, points, 0x1FFFF)]
+    return _table[0].take(points, mode="clip")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -126,7 +126,7 @@ class Tagger:
                 inner, gates, both_in, both_by = g[n : 5 * n], g[2 * n : 5 * n], g[: 2 * n], g[2 * n : 4 * n]
                 by_way, made = z.transpose(1, 0, 2), g[n:].transpose(1, 0, 2)
                 h[:], c[:], z[-1] = old[0][:, :, :width], old[1][:, :, :width], 1
-            x[:] = table.take(both[t, :, :width], axis=0).transpose(2, 0, 1)
+            x[:] = table.take(both[t, :, :width], axis=0, mode="clip").transpose(2, 0, 1)
             np.matmul(weights, by_way, out=made)
             if t:
                 scores[t - 1, :, :, :width] = label
@@ -137,12 +137,12 @@ class Tagger:
             c *= np.float32(0.5)
             np.tanh(c, out=h)
             h *= o
-        out = np.zeros((batch, k, time), np.float32)
         if time and size[-1] == time:
-            whole = scores[:, :, 0] + scores[::-1, :, 1]
+            whole, out = scores[:, :, 0] + scores[::-1, :, 1], np.empty((batch, k, time), np.float32)
             for at in range(0, batch, 16):
-                out[order[at : at + 16]] = np.ascontiguousarray(whole[:, :, at : at + 16].transpose(2, 1, 0))
+                out[at : at + 16] = whole[:, :, at : at + 16].transpose(2, 1, 0)
             return out.transpose(0, 2, 1)
+        out = np.zeros((batch, k, time), np.float32)
         for at in range(0, batch, 16):
             ahead, back = (np.ascontiguousarray(scores[:, :, d, at : at + 16].transpose(2, 1, 0)) for d in (0, 1))
             for r, m, a, b in zip(order[at:], size[at:], ahead, back):

@@ -17,7 +17,7 @@ import os
 import re
 from bisect import bisect_right
 from collections.abc import Container, Iterator
-from functools import cached_property
+from functools import cache, cached_property
 from pathlib import Path
 
 import numpy as np
@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from .bilstm import Tagger, symbols
-from .sketch import Marked, lower_words
+from .sketch import Marked, letters, lower_words, words
 
 KINDS = ("email", "phone", "identity", "address", "person")
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity": "[IDENTITY]", "address": "[ADDRESS]", "person": "[PERSON]"}
 #: Labels: 0 outside, then begin and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
-#: The longest window, the overlap of windows, windows read at once, and characters of several texts read together.
-WINDOW, OVERLAP, BATCH, TOGETHER = 480, 64, 192, 1_000_000
+#: The longest window, the overlap of windows, windows read at once (so many that a step's product is small enough for
+#: the BLAS to leave its operands where they are), and characters of several texts read together.
+WINDOW, OVERLAP, BATCH, TOGETHER = 480, 64, 224, 1_000_000
 HIDDEN, EMBED = 24, 16
 WEIGHTS = Path(__file__).with_name("pii_weights.npz")
 
@@ -50,14 +51,11 @@ IDENTITY_CUES = "id ssn passport licence license nino identity identification na
 NUMBER_CUES = "invoice serial build ticket version order tracking application reference batch part model isbn article case item policy account lot release revision asset project ref page section clause table figure room row pages rows".split()
 WORD_KINDS = ("none", "ordinary", "function", "given", "title", "firm", "place", "month", "street", "identity", "number")
 _LISTS = {"number": NUMBER_CUES, "identity": IDENTITY_CUES, "street": STREETS, "place": PLACES, "firm": FIRMS, "month": MONTHS, "given": GIVEN, "title": TITLES, "function": FUNCTION}
-_KIND = {w.lower(): WORD_KINDS.index(k) for k, words in _LISTS.items() for w in words}
+_KIND = {w.lower(): WORD_KINDS.index(k) for k, own in _LISTS.items() for w in own}
 _STREET_END = re.compile(r"(?:stra(?:ß|ss)e|weg|platz|gasse|allee)$")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-_letters: list[np.ndarray] = []
-
-
 class Memo(dict):
     """Kinds of the words looked up so far, bounded. ``ordinary``: words that stand in lower case as a rule."""
 
@@ -77,16 +75,11 @@ class Memo(dict):
 def word_kinds(text: str, ordinary: Container[str], memo: Memo | None = None) -> np.ndarray:
     """The kind of word that each character of ``text`` belongs to; 0 between words."""
     memo = Memo(ordinary) if memo is None else memo
-    if not _letters:  # which code points stand in words
-        _letters.append(np.array([_WORD.match(chr(i)) is not None for i in range(0x20000)]))
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = _letters[0].take(points, mode="clip") if points.max(initial=0) < 0x20000 else np.array([_WORD.match(c) is not None for c in text], bool)
-    words = _WORD.findall(text)
-    kinds = np.fromiter(map(memo.__getitem__, words), np.uint8, len(words))
+    points, inside = letters(text)
     # words begin and end where ``inside`` changes
     turns = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     spans = np.zeros(len(turns) + 1, np.uint8)
-    spans[1::2] = kinds
+    spans[1::2] = np.fromiter(map(memo.__getitem__, words(points, inside)), np.uint8, len(turns) // 2)
     return np.repeat(spans, np.diff(turns, prepend=0, append=len(text)))
 
 
@@ -145,6 +138,25 @@ def possible(kind: str, span: str) -> bool:
     return digits == 0 and len(_WORD.findall(span)) > 1 and re.search(r"[^\W\d_]{5,}[.!?]\s", span) is None
 
 
+@cache
+def _shares(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How much a whole window and one of ``size`` behind it count where they overlap: by the distance from the window's
+    nearer edge."""
+    before = np.arange(OVERLAP, 0, -1, dtype=np.float32)
+    behind = np.minimum(before[::-1], np.arange(size, size - OVERLAP, -1, dtype=np.float32))
+    return before / (before + behind), behind / (before + behind)
+
+
+def _gains(each: np.ndarray, first: np.ndarray | float, last: np.ndarray | float, base: float, edge: np.ndarray) -> np.ndarray:
+    """Which characters stand in a run that can gain, none across an ``edge``; see ``Finder._open``."""
+    step = each.copy()
+    step[edge] -= np.maximum(each, 0).sum() + 100  # more than any run gains
+    so_far = np.cumsum(step)
+    best = np.maximum.accumulate(first - so_far + each)
+    best += np.maximum.accumulate((so_far + last)[::-1])[::-1]
+    return best > -0.01 - base
+
+
 class Finder:
     """Finds personal information in many texts at once. ``ordinary``: words that stand in lower case as a rule."""
 
@@ -168,13 +180,9 @@ class Finder:
 
     def _scores(self, ids: np.ndarray, kinds: np.ndarray, starts: np.ndarray, sizes: list[int]) -> np.ndarray:
         """Label scores (labels, characters) of texts laid end to end."""
-        # a window, and how many characters at its two ends it shares with its neighbours
-        parts = sorted(((s + a, s + b, OVERLAP * (a > 0), OVERLAP * (b < n)) for s, n in zip(starts, sizes) for a, b in windows(n)), key=lambda p: p[1] - p[0])
-        ahead = np.arange(1, WINDOW + 1, dtype=np.float32)
-        total, weight = np.zeros((LABELS, len(ids)), np.float32), np.ones(len(ids), np.float32)
-        for a, b, _, after in parts:
-            if after:
-                weight[b - after : b] = 0
+        # a window, its size if one stands before it, and the size of one behind it
+        parts = sorted(((s + a, s + b, (b - a) * (a > 0), min(n - b + OVERLAP, WINDOW) * (b < n)) for s, n in zip(starts, sizes) for a, b in windows(n)), key=lambda p: p[1] - p[0])
+        total = np.zeros((LABELS, len(ids)), np.float32)
         for k in range(0, len(parts), BATCH):
             own = parts[k : k + BATCH]
             width = own[-1][1] - own[-1][0]
@@ -182,16 +190,12 @@ class Finder:
             for r, (a, b, *_) in enumerate(own):
                 x[r, : b - a], z[r, : b - a] = ids[a:b], kinds[a:b]
             scores = np.ascontiguousarray(self.model.scores(x, z).transpose(0, 2, 1))
-            for got, (a, b, before, after) in zip(scores, own):
-                n = b - a
-                total[:, a + before : b - after] = got[:, before : n - after]
-                for i, j in ((0, before), (n - after, n)):
-                    if i < j:  # by the distance from the window's nearer edge
-                        near = np.minimum(ahead[i:j], ahead[n - j : n - i][::-1])
-                        total[:, a + i : a + j] += got[:, i:j] * near
-                        weight[a + i : a + j] += near
-        shared = np.flatnonzero(weight != 1)
-        total[:, shared] /= weight[shared]
+            for got, (a, b, size, behind) in zip(scores, own):
+                if size:
+                    got[:, :OVERLAP] *= _shares(min(size, 2 * OVERLAP))[1]
+                if behind:
+                    got[:, b - a - OVERLAP : b - a] *= _shares(min(behind, 2 * OVERLAP))[0]
+                total[:, a:b] += got[:, : b - a]
         return total
 
     def _open(self, scores: np.ndarray, edge: np.ndarray) -> list[tuple[int, int]]:
@@ -201,21 +205,15 @@ class Finder:
         and ``each`` at every one (see ``_bounds``). A character is open if some run that holds it can gain.
         """
         enter, leave, keep, base = self._bounds
-        most, first, last = scores[1].copy(), scores[1] + enter[0], scores[1] + leave[0]
-        for row, begin, end in zip(scores[2:], enter[1:], leave[1:]):
-            np.maximum(most, row, out=most)
-            np.maximum(first, row + begin, out=first)
-            np.maximum(last, row + end, out=last)
-        first -= most
-        last -= most
-        each = (most - scores[0]).astype(np.float64) + keep
-        # no run crosses an edge: the sums fall there by more than any run gains
-        so_far = np.cumsum(each - np.where(edge, np.maximum(each, 0).sum() + 100, 0))
-        best = np.maximum.accumulate(first - so_far + each) + np.maximum.accumulate((so_far + last)[::-1])[::-1]
-        able = best + base > -0.01
-        begins = np.flatnonzero(able & (edge | ~np.concatenate([[False], able[:-1]])))
-        ends = np.flatnonzero(able & np.concatenate([edge[1:] | ~able[1:], [True]])) + 1
-        return list(zip(begins.tolist(), ends.tolist()))
+        each = (scores[1:].max(0) - scores[0]).astype(np.float64) + keep
+        at = np.flatnonzero(_gains(each, enter.max(), leave.max(), base, edge))
+        # once more within what is left, with each character's own bounds at a run's ends
+        own, new = scores[1:, at], edge[at]
+        new[1:] |= np.diff(at) > 1
+        most = own.max(0)
+        at = at[_gains(each[at], (own + enter[:, None]).max(0) - most, (own + leave[:, None]).max(0) - most, base, new)]
+        cuts = np.flatnonzero(edge[at[1:]] | (np.diff(at) > 1)) + 1
+        return [(int(run[0]), int(run[-1]) + 1) for run in np.split(at, cuts) if len(run)]
 
     @cached_property
     def _bounds(self) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -246,7 +244,7 @@ class Finder:
         edge = np.zeros(len(ids), bool)
         edge[starts] = True
         todo = self._open(scores, edge)
-        labels = np.zeros(len(ids), np.int64)
+        labels = np.zeros(len(ids), np.int8)
         todo.sort(key=lambda p: p[1] - p[0])
         while todo:  # stretches of like lengths together, at most 512
             own = todo[: bisect_right(todo, 2 * (todo[0][1] - todo[0][0]) + 16, hi=min(len(todo), 512), key=lambda p: p[1] - p[0])]
@@ -258,8 +256,9 @@ class Finder:
                 padded[r, :, 1 : 1 + b - a] = scores[:, a:b]
             for (a, b), y in zip(own, self.model.decode_many(padded.transpose(0, 2, 1), lengths + 2)):
                 labels[a:b] = y[1:-1]
-        before = np.concatenate([[0], labels[:-1]])
-        begins = np.flatnonzero((labels > 0) & ((labels % 2 == 1) | edge | ((before + 1) // 2 != (labels + 1) // 2)))
+        at = np.flatnonzero(labels)
+        now, before = labels[at], np.where(edge[at], 0, labels[at - 1])
+        begins = at[(now % 2 == 1) | ((before + 1) // 2 != (now + 1) // 2)]
         of = np.searchsorted(starts, begins, "right") - 1
         for s, j in zip(begins, of):
             kind, stop = (labels[s] - 1) // 2, starts[j] + sizes[j]

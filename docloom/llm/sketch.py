@@ -18,6 +18,25 @@ from pyspark.sql import functions as F
 
 BITS = 22
 WORD = re.compile(r"[^\W\d_]+")
+_letters: list[np.ndarray] = []
+
+
+def letters(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of ``text``, and which of them stand in words."""
+    if not _letters:  # of the first planes; the few characters beyond them are looked at one by one
+        _letters.append(np.zeros(0x20000, bool))
+        for m in WORD.finditer("".join(map(chr, range(0x20000)))):
+            _letters[0][m.start() : m.end()] = True
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _letters[0].take(points, mode="clip")
+    for at in np.flatnonzero(points >= 0x20000):
+        inside[at] = WORD.match(text[at]) is not None
+    return points, inside
+
+
+def words(points: np.ndarray, inside: np.ndarray) -> list[str]:
+    """What ``WORD`` finds in a text, of which ``letters`` gives the arguments."""
+    return np.where(inside, points, np.uint32(32)).tobytes().decode("utf-32-le", "surrogatepass").split()
 
 
 def slot(word: str, bits: int = BITS) -> int:
@@ -63,8 +82,9 @@ def lower_words(texts: DataFrame, bits: int = BITS) -> Marked:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(WORD.findall(text))
+            texts = batch.column(0).to_pylist()
+            for k in range(0, len(texts), 500):
+                seen.update(words(*letters("\n".join(texts[k : k + 500]))))
             if len(seen) > 300_000:
                 yield summed(seen)
                 seen = Counter()

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from docloom.llm import bilstm, pii, pii_drawn
+from docloom.llm import bilstm, pii, pii_drawn, sketch
 
 #: Written by hand, in words that the drawn training texts do not use.
 KINDS = {
@@ -124,6 +124,24 @@ def test_word_kinds_of_joined_texts():
     assert pii.word_kinds("Anna", ()).tolist() == [pii.WORD_KINDS.index("given")] * 4
 
 
+def test_words_are_those_of_the_pattern():
+    for text in ["", "Anna's 2nd re-read: naïve_x\n\u00a0Größe", "\U00020000\U00020001b \U0001f600 c", "a\ud800b \u2028 c\x1cd", "ⅷ ª º ²x ٣y"]:
+        assert sketch.words(*sketch.letters(text)) == sketch.WORD.findall(text)
+        assert (pii.word_kinds(text, {w.lower() for w in sketch.WORD.findall(text)}) > 0).tolist() == [sketch.WORD.match(c) is not None for c in text]
+
+
+def test_windows_are_shared_out(finder):
+    """Where windows overlap, their shares sum to one, whatever the size of the last; constant scores stay what they are."""
+    for size in (65, 66, 100, 127, 128, 480):
+        assert sum(pii._shares(min(size, 128))) == pytest.approx(np.ones(pii.OVERLAP))
+    ids = np.full(3000, 9, np.uint8)
+    finder = pii.Finder(bilstm.Tagger(pii.LABELS, len(pii.WORD_KINDS), pii.EMBED, pii.HIDDEN))
+    finder.model.scores = lambda x, z: np.tile(np.arange(pii.LABELS, dtype=np.float32), (*x.shape, 1))
+    sizes = [480, 481, 545, 500, 994]
+    got = finder._scores(ids, ids * 0, np.cumsum([0, *sizes[:-1]]), sizes)
+    assert got == pytest.approx(np.tile(np.arange(pii.LABELS)[:, None], 3000), abs=1e-5)
+
+
 def test_held_out():
     texts, gold, _ = pii_drawn.drawn(600, seed=77)
     usual = pii_drawn.Drawer(77).usual
